@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import line_runs
+from chronoweave.llm import line_runs, substring_dedup, url_redirects
 from chronoweave.session import table
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_redirects.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_runs.line_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op8_url_filter": op8_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.WINDOW_SQL,
+    "op8_url_filter": url_redirects.URL_SQL,
     "op10_line_dedup": line_runs.LINE_SQL,
 }
