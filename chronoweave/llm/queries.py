@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import line_runs, substring_dedup, url_redirects
+from chronoweave.llm import line_runs, neardup_hamming, substring_dedup, url_redirects
 from chronoweave.session import table
 
 
@@ -10,6 +10,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark, sf_dir):
+    return neardup_hamming.class_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_redirects.judge_pages(table(spark, sf_dir, "pages"))
 
@@ -20,12 +24,14 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op4_substring_dedup": substring_dedup.WINDOW_SQL,
+    "op5_near_dedup": neardup_hamming.NEAR_SQL,
     "op8_url_filter": url_redirects.URL_SQL,
     "op10_line_dedup": line_runs.LINE_SQL,
 }
