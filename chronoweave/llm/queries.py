@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import line_runs, neardup_hamming, substring_dedup, url_redirects
+from chronoweave.llm import langid_kn, line_runs, media_ts, neardup_hamming, substring_dedup, url_redirects
 from chronoweave.session import table
 
 
+def op2_transport_streams(spark, sf_dir):
+    return media_ts.read_media(media_ts.text_media(table(spark, sf_dir, "documents")))
+
+
+def op3_language_id(spark, sf_dir):
+    return langid_kn.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,8 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_transport_streams": op2_transport_streams,
+    "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op8_url_filter": op8_url_filter,

@@ -68,6 +68,18 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and row offsets of UTF-8 rows; bytes that are not UTF-8 become U+FFFD."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32), np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
+    heads = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), heads[offsets]
+
+
 def pieces(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
