@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import langid_kn, line_runs, media_ts, neardup_hamming, substring_dedup, url_redirects
+from chronoweave.llm import decontam, gru_lm, langid_kn, line_runs, media_ts, neardup_hamming, substring_dedup, url_redirects
 from chronoweave.session import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_transport_streams(spark, sf_dir):
     return media_ts.read_media(media_ts.text_media(table(spark, sf_dir, "documents")))
 
@@ -26,16 +30,22 @@ def op8_url_filter(spark, sf_dir):
     return url_redirects.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_recurrent_lm(spark, sf_dir):
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_runs.line_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_transport_streams": op2_transport_streams,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_recurrent_lm": op9_recurrent_lm,
     "op10_line_dedup": op10_line_dedup,
 }
 
