@@ -185,6 +185,36 @@ def _search(shared):
     return run
 
 
+def _indexes(benchmark: DataFrame, edits: float) -> Iterator[ItemIndex]:
+    """Indexes of the benchmark's items, block by block."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+    for k in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield ItemIndex([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], edits)
+
+
+def _keep(shared, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = wordscan.column_bytes(batch.column(place))
+            clean = np.ones(batch.num_rows, bool)
+            for i, j in wordscan.pieces(offsets, 1 << 20):
+                for r, *_ in find(shared.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    clean[i + r] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of docs, with all their columns, in which leaks() finds no item."""
+    for index in _indexes(benchmark, edits):
+        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, shared, edits, start_byte, end_byte: the best occurrence of each item in each document.
 
@@ -195,14 +225,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
     null id. Repeated rows and repeated items each give their rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = ItemIndex([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], edits)
+    for index in _indexes(benchmark, edits):
         found = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), FOUND_DDL)
         out = found if out is None else out.unionByName(found)
     return out

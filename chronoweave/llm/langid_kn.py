@@ -238,6 +238,20 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double, rejected boolean, bits double")
 
 
+def _keep(models, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~models.value.predict(batch.column(place))[2]))
+
+    return run
+
+
+def accepted(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+
+
 def fold_of(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 

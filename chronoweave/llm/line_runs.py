@@ -73,16 +73,15 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """Drop the lines of widespread keys from all documents but the one with the largest id.
 
-    docs: doc_id and text; other columns are passed over. Returns one row for each row of docs:
-    doc_id, text as given, lines (array), drops (sorted 1-based positions of dropped lines, null
-    if none) and kept (array).
+    Returns one row for each row of docs: doc_id, text as given, row (all columns as given), lines
+    (array), drops (sorted 1-based positions of dropped lines, null if none) and kept (array).
 
     Null or empty text is one empty line. A key counts once in a document however often it is
     there, and rows with one doc_id are one document. Rows without an id count for no key and keep
     all lines. Repeated rows get equal results. Keys are compared by 128-bit hashes.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
     keyed = (
         base.where(F.length("text") >= min_chars)
         .select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
@@ -110,13 +109,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         )
     )
     return (
-        out.select("doc_id", "text", lines_of(F.col("text")).alias("lines"), "drops")
+        out.select("doc_id", "text", "row", lines_of(F.col("text")).alias("lines"), "drops")
         .withColumn("edges", F.concat(F.array(F.lit(0)), F.col("drops"), F.array(F.size("lines") + 1)))
         .withColumn("kept", F.when(F.col("drops").isNull(), lines).otherwise(between))
         .drop("edges")
     )
 
 
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with all their columns; text (and n_chars) without the dropped lines. Texts that lose none stay, null included."""
+    out = dedup_lines(docs, **options)
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    row = out.withColumn("new_text", text)
+    new = {"text": F.col("new_text"), "n_chars": F.when(F.col("drops").isNull(), F.col("row.n_chars")).otherwise(F.length("new_text").cast("bigint")) if "n_chars" in docs.columns else None}
+    return row.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def line_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of dedup_lines()."""
     return dedup_lines(docs, **options).select(

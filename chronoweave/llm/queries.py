@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import decontam, gru_lm, langid_kn, line_runs, media_ts, neardup_hamming, substring_dedup, url_redirects
+from chronoweave.llm import decontam, gru_lm, langid_kn, line_runs, media_ts, mixing_soft, neardup_hamming, secret_forest, substring_dedup, url_redirects
 from chronoweave.session import table
 
 
@@ -26,6 +26,14 @@ def op5_near_dedup(spark, sf_dir):
     return neardup_hamming.class_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secret_forest.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_soft_mixing(spark, sf_dir):
+    return mixing_soft.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_redirects.judge_pages(table(spark, sf_dir, "pages"))
 
@@ -44,6 +52,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_line_dedup": op10_line_dedup,
