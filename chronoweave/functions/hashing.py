@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 PERMUTATIONS = 32
 BAND_SIZE = 4
@@ -16,7 +16,7 @@ def shingle_hash(seed: int, shingle: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{shingle}".encode(), digest_size=8).digest(), "big")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def minhash_signature(sets: pd.Series) -> pd.Series:
     """For each permutation the least hash of the set, as 16 hex digits; none for an empty set."""
     known: dict[str, list[int]] = {}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import reads
+from chronoweave.plans import names, reads
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (reads,):
+for part in (reads, names):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
