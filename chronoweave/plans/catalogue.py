@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import names, reads
+from chronoweave.plans import facts, names, reads
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (reads, names):
+for part in (reads, names, facts):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE

@@ -105,8 +105,9 @@ def priority_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    """Supplies of parts; line numbers repeat within an order, so the parts and suppliers are in the key."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
     src = F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string"))
     dst = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
     return _edges(li, "supply", key, src, "SUPPLIES", dst, F.col("l_shipdate"))
@@ -142,9 +143,10 @@ nodes AS (SELECT node_id, group_id, name, labels, seq, TIMESTAMP '{BASE}' + to_m
     "priority": """priority AS (SELECT 'order:' || o_orderkey AS edge_id, 'order' AS group_id, 'customer:' || o_custkey AS src, 'HAS_PRIORITY' AS rel,
   'priority:' || o_orderpriority AS dst, 'customer:' || o_custkey || ' HAS_PRIORITY priority:' || o_orderpriority AS fact,
   o_orderdate AS valid_at, 'ep-' || o_orderkey AS episode_id FROM orders)""",
-    "supply": """supply AS (SELECT 'supply:' || l_orderkey || '-' || l_linenumber AS edge_id, 'supply' AS group_id, 'supplier:' || l_suppkey AS src,
+    "supply": """supply AS (SELECT 'supply:' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS edge_id, 'supply' AS group_id, 'supplier:' || l_suppkey AS src,
   'SUPPLIES' AS rel, 'part:' || l_partkey AS dst, 'supplier:' || l_suppkey || ' SUPPLIES part:' || l_partkey AS fact,
-  l_shipdate AS valid_at, 'ep-' || l_orderkey || '-' || l_linenumber AS episode_id FROM lineitem)""",
+  min(l_shipdate) AS valid_at, 'ep-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS episode_id
+  FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber)""",
     "place": f"""place AS (SELECT 'place:c:' || c_custkey AS edge_id, 'place' AS group_id, 'customer:' || c_custkey AS src, 'LIVES_IN' AS rel,
   'nation:' || c_nationkey AS dst, 'customer:' || c_custkey || ' LIVES_IN nation:' || c_nationkey AS fact,
   TIMESTAMP '{BASE}' + to_minutes(c_custkey) AS valid_at, 'ep-c:' || c_custkey AS episode_id FROM customer
