@@ -10,6 +10,7 @@ from chronoweave.functions.hashing import MIN_JACCARD, lsh_bands, minhash_signat
 from chronoweave.functions.text import has_high_entropy, jaccard, normalize_exact, normalize_fuzzy, promoted_labels, shingles
 from chronoweave.functions.vectors import cosine
 from chronoweave.operators import temporal
+from chronoweave.session import materialize
 
 # Fixed values.
 POOL_SIZE = 15
@@ -66,7 +67,7 @@ def resolve_names(drafts: DataFrame, stored: DataFrame) -> DataFrame:
 
     Only drafts without an exact hit go on to the costly tier; an ambiguous hit does not.
     """
-    exact = exact_matches(drafts, stored)
+    exact = materialize(exact_matches(drafts, stored))
     rest = exact.where("n_matches = 0").select("draft_id", "group_id", "name")
     fuzzy = fuzzy_matches(rest, stored).select("draft_id", F.col("node_id").alias("_fuzzy"))
     how = F.when(F.col("n_matches") == 1, "exact").when(F.col("n_matches") > 1, "ambiguous").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("new")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import facts, names, reads
+from chronoweave.plans import facts, names, reads, states
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (reads, names, facts):
+for part in (reads, names, facts, states):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
