@@ -1,0 +1,327 @@
+"""Media, language, benchmark, secret, url, mixing and language-model operators."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from chronoweave.llm import decontam, gru_lm, langid_kn, media_ts, mixing_soft, secret_forest, url_redirects, wordscan
+from chronoweave.session import table
+from tests.llm.conftest import HARD, crc, words
+
+
+def test_words_and_grams():
+    rng = random.Random(1)
+    texts = HARD + ["".join(rng.choice("aBé \n\t漢") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    known = {}
+    for i, j, w in wordscan.scan(pa.array(texts, pa.string()), False, 4000):
+        for r in range(i, j):
+            a, b = w.first[r - i], w.first[r - i + 1]
+            want = words(texts[r])
+            assert b - a == len(want)
+            for k, word in enumerate(want):
+                assert known.setdefault(int(w.hash[a + k]), word) == word
+        if j - i > 1:
+            _, rows, place = w.grams(3)
+            assert list(zip(rows.tolist(), place.tolist(), strict=True)) == [(r - i, p) for r in range(i, j) for p in range(len(words(texts[r])) - 2)]
+    assert len(known) == len(set(known.values()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 18_432, 18_433, 70_000])
+def test_stream_round_trip(n):
+    payload = media_ts.padded("ü" * (n // 2) + "x" * (n % 2))
+    media = media_ts.mux(payload)
+    s = media_ts.demux(media)
+    assert s.payload == payload and s.error is None and s.continuity_errors == 0
+    assert len(s.pts) == len(s.random_access) == -(-len(payload) // 18_432)
+    assert len(media) % 188 == 0 and {media[k] for k in range(0, len(media), 188)} == {0x47}
+    assert media_ts.section_crc(b"123456789") == 0x0376E6E7
+
+
+def test_broken_streams():
+    media = media_ts.mux(media_ts.padded("y" * 40_000))
+    lost = media[: 188 * 5] + media[188 * 6 :]
+    assert media_ts.demux(lost).continuity_errors == 1
+    for bad in (None, b"", b"abc", b"\0" * 376, media[: 188 * 1], media[188:], media[: 188 * 3]):
+        assert media_ts.demux(bad).error
+
+
+def test_media_columns(make):
+    got = {r["doc_id"]: r for r in media_ts.read_media(media_ts.text_media(make(HARD))).collect()}
+    for k, t in enumerate(HARD, 1):
+        payload, r = media_ts.padded(t), got[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len((t or "").encode()), len(payload), zlib.crc32(payload[-32:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["error"] is None
+
+
+def test_kneser_ney_sums_to_one():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abca ") for _ in range(60)) for _ in range(40)]
+    model = langid_kn.CharModel(*langid_kn.letters(*wordscan.column_bytes(pa.array(texts))), alphabet=4)
+    for context in ("ab", "ca ", "bb", "c"):
+        total = 0.0
+        for c in "abc ":
+            data, at = wordscan.column_bytes(pa.array([f"x{context}{c}"]))
+            chars, at = langid_kn.letters(data, at)
+            if c == " ":
+                chars = np.append(chars[:-1], np.uint32(32)) if chars[-1] != 32 else chars
+            chars = np.array([32, *map(ord, f"{context}{c}")], np.uint32)
+            at = np.array([0, len(chars)])
+            grams = [g[-1:] for g in langid_kn.gram_hashes(chars, at, langid_kn.ORDER)]
+            contexts = [np.full(1, np.uint64(1))] + [langid_kn.CharModel.context(chars, at, k)[-1:] for k in range(1, langid_kn.ORDER)]
+            total += 2 ** float(model.log2(grams, contexts)[0])
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_language_accuracy(spark, small):
+    docs = table(spark, small, "documents")
+    got = {r["doc_id"]: r for r in langid_kn.language_digest(docs).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [k for k in truth if crc(k) % 4 == 2]
+    assert all(got[k]["held_out"] == (crc(k) % 4 == 2) for k in truth)
+    assert np.mean([got[k]["lang_pred"] == truth[k] for k in held]) > 0.95
+    assert np.mean([got[k]["rejected"] for k in truth]) < 0.02
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_hard_cases(make, spark, small):
+    models = langid_kn.fit(table(spark, small, "documents"))
+    got = {r["doc_id"]: r for r in langid_kn.identify(make([*HARD, "123 !?", "zxqw kjhgvbnq wzxk qqpzxkcd jjfwvvq"]), models).collect()}
+    for k in (1, 2, 3, 4, len(HARD) + 1):
+        assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0 and got[k]["rejected"]
+    assert got[len(HARD) + 2]["rejected"] and got[len(HARD) + 2]["lang_pred"] != "und"
+    empty = make([(1, "x")]).where("false")
+    assert {r["lang_pred"] for r in langid_kn.identify(make(["abc"]), langid_kn.fit(empty)).collect()} == {"und"}
+
+
+def fewest_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (t != c), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_brute_force():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7)))
+    items = [" ".join(word() for _ in range(rng.randint(10, 40))) for _ in range(8)]
+    index = decontam.ItemIndex(list(enumerate(items)))
+    hits = 0
+    for _ in range(60):
+        k = rng.randrange(8)
+        s = list(items[k])
+        for _ in range(rng.randint(0, int(index.budgets[k] * 1.3))):
+            p, o = rng.randrange(len(s)), rng.random()
+            if o < 0.4:
+                s[p] = rng.choice("abcdefghij ")
+            elif o < 0.7:
+                del s[p]
+            else:
+                s.insert(p, rng.choice("abcdefghij"))
+        text = " ".join(word() for _ in range(rng.randint(0, 30))) + "\n  " + "".join(s).upper() + " " + " ".join(word() for _ in range(20))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        plain = decontam.folded(raw, np.array([0, len(raw)]))[0].tobytes().decode()
+        want = fewest_edits(items[k], plain)
+        found = [x for x in decontam.find(index, raw, np.array([0, len(raw)])) if x[1] == k]
+        if want <= index.budgets[k]:
+            assert found and found[0][3] == want
+            hits += 1
+        else:
+            assert not found
+    assert hits > 20
+
+
+def test_leaks(make, spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards watch from the hill"
+    bench = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (4, item[::-1])], "item_id bigint, text string")
+    docs = [*HARD, f"before {item.upper()} after", "a clean text about foxes and dogs on the hill", "pad " * 30_000 + item.replace("quick", "quik")]
+    df = make(docs)
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontam.leaks(df, bench).collect())
+    n = len(HARD)
+    assert got == [(n + 1, 1, 0), (n + 3, 1, 1)]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 50)  # items in several blocks
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontam.leaks(df, bench).collect()) == got
+    clean = decontam.clean(df, bench)
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == set(range(1, n + 4)) - {n + 1, n + 3}
+    assert decontam.leaks(df, bench.where("false")).count() == 0 and decontam.leaks(df.where("false"), bench).count() == 0
+
+
+def test_secret_findings(make):
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'start token = "{secret}" and card 4785380592391139 then commit {secret[::-1]} end thisisalongwordwithoutdigits'
+    got = {r["candidate"]: r["is_secret"] for r in secret_forest.scan(make([text, *HARD, f'{secret}', text])).where("doc_id = 1").collect()}
+    assert got == {secret: True, "4785380592391139": False, secret[::-1]: False}
+
+
+def test_secret_candidates_against_brute_force(make, spark, small):
+    import re
+
+    pattern = re.compile(secret_forest.CANDIDATE)
+    docs = table(spark, small, "documents")
+    want = sorted((r["doc_id"], k + 1, m.group(), r["text"][: m.start()][-40:]) for r in docs.collect() for k, m in enumerate(pattern.finditer(r["text"] or "")))
+    got = secret_forest.findings(docs).collect()
+    assert sorted((r["doc_id"], r["nth"], r["candidate"]) for r in got) == [w[:3] for w in want]
+    lefts = {w[:3]: w[3] for w in want}
+    assert all(lefts[r["doc_id"], r["nth"], r["candidate"]].endswith(r["left"]) for r in got)
+
+
+def test_forest_is_repeatable(spark):
+    labelled = secret_forest.example_findings(spark, 400)
+    a, b = secret_forest.fit(labelled), secret_forest.fit(labelled.repartition(5))
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
+def test_url_rules(spark):
+    urls = ["https://A.Example.COM/en/1?x", "http://www.example.com/en/2", "ftp://x.net/es/1", "http://example.com/fr", "http://evil-example.com.org/en/", None, "no url", "http://net/fr/#a", "http://h.com"]
+    df = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id bigint, url string, node int")
+    got = {r["page_id"]: tuple(r)[1:5] for r in url_redirects.judge_pages(df).collect()}
+    assert got == {
+        0: ("a.example.com", "/en/1", "example.com/en/", "block"), 1: ("www.example.com", "/en/2", "www.example.com/en/", "allow"), 2: ("x.net", "/es/1", "net/es/", "block"),
+        3: ("example.com", "/fr", "com/", "allow"), 4: ("evil-example.com.org", "/en/", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
+        7: ("net", "/fr/", "net/fr/", "block"), 8: ("h.com", "", None, "allow"),
+    }
+
+
+def test_url_classes(spark):
+    canonical = lambda u: f'<html><link href="{u}" rel="canonical"></html>'
+    pages = [
+        (1, "http://a.org/x", canonical("http://b.org/y")),
+        (2, "http://b.org/y", '<meta http-equiv="refresh" content="0; url=http://c.net/es/1">'),
+        (3, "http://d.org/x", canonical("http://c.net/fr/2")),
+        (4, "http://d.org/x?copy", canonical("https://ok.com/1")),
+        (5, "http://e.org/lone", "<p>no links</p>"),
+        (6, "http://f.org/a", canonical("/b")),
+        (7, "http://f.org/b", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    edges = spark.createDataFrame([("http://f.org/b", "http://z.net/es/"), (None, "http://q.org/")], "src string, dst string")
+    got = {r["page_id"]: r["verdict"] for r in url_redirects.judge_pages(df, edges).collect()}
+    # 1, 2: blocked through c.net; 3, 4: ok.com's allow goes before the block; 6, 7: blocked through a given edge
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"}
+    assert url_redirects.judge_pages(df.where("false")).count() == 0
+
+
+def test_mixing_meets_targets(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    model = mixing_soft.fit(docs, labels)
+    m = mixing_soft.Mix(docs, model)
+    rows = m.rates().collect()
+    assert len(rows) == docs.count() and min(r["rate"] for r in rows) >= 0
+    got = sum(np.array(r["posteriors"]) * r["rate"] * r["n_tokens"] for r in rows)
+    assert np.allclose(got, m.targets, rtol=1e-3, atol=1e-3 * m.targets.max())
+    hard = mixing_soft.Mix(docs, model, {"q1t0": 0.999, "q0t1": 0.001}, keep=0.2)
+    assert hard.residual < 0.05 and min(r["rate"] for r in hard.rates().collect()) >= 0
+
+
+def test_mixing_hard_cases(make, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (None, 1, 1), (3, None, 0)], "doc_id bigint, quality int, toxic int")
+    df = make([*HARD, (None, "a b c"), (1, None)])
+    out = mixing_soft.mix(df, labels)
+    assert out.count() == df.count() and out.where("rate < 0 or rate is null or copies < 0").count() == 0
+    assert mixing_soft.mix(df, labels.where("false")).columns == ["doc_id", "n_tokens", "p_all", "rate", "copies"]
+    assert mixing_soft.mix(df.where("false"), labels).count() == 0
+
+
+def test_gru_gradients(monkeypatch):
+    monkeypatch.setattr(gru_lm, "f32", np.float64)
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(np.float64) for k, v in gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY))).items()}
+    x, y = rng.integers(0, 2048, (5, 3)), rng.integers(0, 2048, (5, 3))
+    mask = np.ones((5, 3), bool)
+    mask[4, 1] = False
+    h = rng.standard_normal((3, gru_lm.HIDDEN)) * 0.1
+    g = gru_lm.gradients(x, y, mask, h, w)[0]
+    for k in w:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        kept = w[k][at]
+        losses = []
+        for e in (1e-5, -1e-5):
+            w[k][at] = kept + e
+            losses.append(gru_lm.gradients(x, y, mask, h, w)[1])
+        w[k][at] = kept
+        assert (losses[0] - losses[1]) / 2e-5 / mask.sum() == pytest.approx(g[k][at], rel=1e-5)
+
+
+def test_gru_is_a_distribution_and_carries_state():
+    rng = np.random.default_rng(1)
+    w = gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY)))
+    h = rng.standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
+    logs = gru_lm.log_output(np.repeat(h, gru_lm.VOCABULARY, 0), np.arange(gru_lm.VOCABULARY), w)
+    assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    rows = [rng.integers(0, 2048, n) for n in (1, 500, 3, 130)]
+    first = np.r_[0, np.cumsum([len(r) for r in rows])]
+    together = gru_lm.log_states(np.concatenate(rows), first, w)
+    for r, got in zip(rows, together, strict=True):  # one step at a time
+        h, last, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.END, 0.0
+        table_ = (w["embed"] @ w["input"] + w["bias"]).astype(np.float32)
+        for t in r:
+            h = gru_lm._step(table_[[last]], h, w)[0]
+            total += float(gru_lm.log_output(h, np.array([t]), w)[0])
+            last = t
+        assert got == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_scores(spark, small):
+    docs = table(spark, small, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts, n_docs = Counter(), 0
+    for i, t in rows.items():
+        if crc(i) % 10:
+            counts.update(words(t, fold=True))
+            n_docs += 1
+    n = sum(counts.values()) + n_docs
+    below = n + 0.1 * (len(counts) + 2)
+    got = {r["doc_id"]: r for r in gru_lm.score_documents(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows.items():
+        w = words(t, fold=True)
+        r = got[i]
+        base = sum(math.log10((counts[x] + 0.1) / below) for x in w) + math.log10((n_docs + 0.1) / below)
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (crc(i) % 10 == 0, len(w) + 1, n)
+        assert r["n_known"] == sum(counts[x] > 0 for x in w) + 1
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_hard_cases(make):
+    got = {r["doc_id"]: r for r in gru_lm.score_documents(make([*HARD, (None, "a b")])).collect()}
+    assert got[1]["n_tokens"] == 1 and got[8]["n_tokens"] == 20_001 and got[None]["n_tokens"] == 3
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got.values())
+    assert gru_lm.score_documents(make([(1, "x")]).where("false")).count() == 0
+
+
+def test_broken_utf8():
+    bad = pa.Array.from_buffers(pa.binary(), 2, pa.array([b"ab\xff", "ü".encode()], pa.binary()).buffers()).view(pa.string())
+    data, at = wordscan.column_bytes(bad)
+    codes, at = wordscan.code_points(data, at)
+    assert at.tolist() == [0, 3, 4] and chr(codes[2]) == "�"
+
+
+def test_pipeline(spark, small, make):
+    import corpus_pipeline
+
+    docs = table(spark, small, "documents")
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns == [*docs.columns, "mix_rate", "mix_copies"]
+    ids = {r["doc_id"] for r in out.collect()}
+    leaked = {r["doc_id"] for r in decontam.leaks(docs, table(spark, small, "benchmark")).collect()}
+    assert leaked and not ids & leaked
+    assert len(ids) > 0.7 * docs.count()
+    # the stages take hard rows and empty tables
+    hard = make([*HARD, (None, "the cat"), (1, None)]).select(*docs.columns)
+    for rows in (hard, hard.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, rows, small)
+            assert got.columns[: len(docs.columns)] == docs.columns, name
+            got.count()
+    _ = F
