@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import facts, names, reads, states
+from chronoweave.plans import facts, names, reads, requests, states
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for part in (reads, names, facts, states):
+for part in (reads, names, facts, states, requests):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
