@@ -100,13 +100,13 @@ def collapse_draft_edges(spark, d):
 
 
 SMALL_GROUPS = """, g AS (SELECT edge_id, src AS group_id, src, dst, fact, valid_at FROM priority),
-dr AS (SELECT edge_id AS draft_id, src AS group_id, src, dst FROM g WHERE edge_id LIKE '%7')"""
+dr AS (SELECT edge_id AS draft_id, src AS group_id, src, dst FROM g)"""
 
 
 def _priority_groups(spark, d):
-    """Orders' edges with a group for each customer, and as drafts those whose id ends in 7."""
+    """Orders' edges with a group for each customer, as stored edges and as drafts."""
     e = views.priority_edges(spark, d).withColumn("group_id", F.col("src"))
-    return e, e.where(F.col("edge_id").endswith("7")).withColumnRenamed("edge_id", "draft_id")
+    return e, e.withColumnRenamed("edge_id", "draft_id")
 
 
 @query(
@@ -127,15 +127,13 @@ def candidate_pools(spark, d):
     "verbatim_fast_path",
     with_views(
         "supply",
-        f""", s AS (SELECT group_id, src, dst, {exact('fact')} AS norm, min((fact, edge_id)) AS m FROM supply WHERE edge_id NOT LIKE '%-1' GROUP BY ALL)
-SELECT d.edge_id AS draft_id, m[2] AS edge_id FROM supply d JOIN s ON s.src = d.src AND s.dst = d.dst AND norm = {exact("upper(d.fact)")} WHERE d.edge_id LIKE '%-1'""",
+        f""", s AS (SELECT group_id, src, dst, {exact('fact')} AS norm, min((fact, edge_id)) AS m FROM supply GROUP BY ALL)
+SELECT d.edge_id AS draft_id, m[2] AS edge_id FROM supply d JOIN s ON s.src = d.src AND s.dst = d.dst AND norm = {exact("upper(d.fact)")}""",
     ),
 )
 def verbatim_fast_path(spark, d):
     e = views.supply_edges(spark, d)
-    first = F.col("edge_id").endswith("-1")
-    drafts = e.where(first).withColumn("fact", F.upper("fact")).withColumnRenamed("edge_id", "draft_id")
-    return resolution.verbatim(drafts, e.where(~first))
+    return resolution.verbatim(e.withColumn("fact", F.upper("fact")).withColumnRenamed("edge_id", "draft_id"), e)
 
 
 @query(
@@ -246,26 +244,27 @@ def min_fold(spark, d):
     "resolve_edges",
     with_views(
         "priority",
-        f""", s AS (SELECT * FROM priority WHERE edge_id NOT LIKE '%7'), dr AS (SELECT edge_id AS draft_id, src, dst, fact, valid_at FROM priority WHERE edge_id LIKE '%7'),
-v AS (SELECT draft_id, min((s.fact, s.edge_id))[2] AS dup FROM dr JOIN s ON s.src = dr.src AND s.dst = dr.dst GROUP BY draft_id),
-r AS (SELECT dr.draft_id, dr.src, dr.dst, dup, CASE WHEN dup IS NULL THEN dr.valid_at ELSE (SELECT valid_at FROM s WHERE s.edge_id = dup) END AS valid_at FROM dr LEFT JOIN v USING (draft_id)),
-x AS (SELECT r.draft_id, min(s.valid_at) AS later FROM r JOIN s ON s.src = r.src AND s.dst <> r.dst AND s.valid_at > r.valid_at WHERE dup IS NULL GROUP BY r.draft_id),
-y AS (SELECT r.*, later FROM r LEFT JOIN x USING (draft_id)),
-z AS (SELECT y.draft_id, list_sort(list(s.edge_id)) AS ended FROM y JOIN s ON s.src = y.src AND s.dst <> y.dst AND s.valid_at < y.valid_at
-  AND NOT coalesce(y.later <= s.valid_at, false) WHERE dup IS NULL GROUP BY y.draft_id)
+        f""", v AS (SELECT src, dst, min((fact, edge_id))[2] AS dup FROM priority GROUP BY src, dst),
+r AS (SELECT p.edge_id AS draft_id, p.src, p.dst, CASE WHEN o_orderstatus = 'F' THEN dup END AS dup, p.valid_at FROM priority p JOIN orders ON p.edge_id = 'order:' || o_orderkey JOIN v USING (src, dst)),
+q AS (SELECT r.* REPLACE (CASE WHEN dup IS NULL THEN r.valid_at ELSE s.valid_at END AS valid_at) FROM r LEFT JOIN priority s ON s.edge_id = r.dup),
+x AS (SELECT q.draft_id, min(s.valid_at) AS later FROM q JOIN priority s ON s.src = q.src AND s.dst <> q.dst AND s.valid_at > q.valid_at GROUP BY q.draft_id),
+y AS (SELECT q.*, later FROM q LEFT JOIN x USING (draft_id)),
+z AS (SELECT y.draft_id, list_sort(list(s.edge_id)) AS ended FROM y JOIN priority s ON s.src = y.src AND s.dst <> y.dst AND s.valid_at < y.valid_at
+  AND NOT coalesce(y.later <= s.valid_at, false) GROUP BY y.draft_id)
 SELECT y.draft_id, dup AS duplicate_of, strftime(valid_at, {TIME}) AS valid_at, strftime(later, {TIME}) AS invalid_at, coalesce(array_to_string(ended, '|'), '') AS ended FROM y LEFT JOIN z USING (draft_id)""",
     ),
 )
 def resolve_edges(spark, d):
-    """Drafts against stored priorities: equal facts are duplicates, others of the customer contradict."""
+    """Orders as drafts against all of them: filled ones are judged duplicates, other objects of the customer contradict."""
     e = views.priority_edges(spark, d).withColumn("group_id", F.col("src"))
     none = F.lit(None).cast("timestamp_ntz")
-    e = e.withColumns({"invalid_at": none, "expired_at": none})
-    is_draft = F.col("edge_id").endswith("7")
-    stored, drafts = e.where(~is_draft), e.where(is_draft).withColumnRenamed("edge_id", "draft_id").withColumn("reference_time", F.col("valid_at"))
+    stored = e.withColumns({"invalid_at": none, "expired_at": none})
+    drafts = stored.withColumnRenamed("edge_id", "draft_id").withColumns({"reference_time": F.col("valid_at"), "fact": F.concat(F.lit("now "), F.col("fact"))})
+    filled = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("draft_id"))
+    first = stored.groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))
+    judged = drafts.join(filled, "draft_id", "left_semi").select("draft_id", "src", "dst").join(first, ["src", "dst"]).select("draft_id", "edge_id")
     contra = drafts.select("draft_id", "src", F.col("dst").alias("dd")).join(stored.select("src", "dst", "edge_id"), "src").where("dst <> dd").select("draft_id", "edge_id")
-    no_judged = spark.createDataFrame([], "draft_id string, edge_id string")
-    resolved, decisions = resolution.resolve_edges(drafts, stored, no_judged, contra, None, now())
+    resolved, decisions = resolution.resolve_edges(drafts, stored, judged, contra, None, now())
     ended = decisions.groupBy("draft_id").agg(F.array_join(F.sort_array(F.collect_list("edge_id")), "|").alias("ended"))
     out = resolved.join(ended, "draft_id", "left")
     return out.select("draft_id", "duplicate_of", time_text("valid_at").alias("valid_at"), time_text("invalid_at").alias("invalid_at"), F.coalesce("ended", F.lit("")).alias("ended"))

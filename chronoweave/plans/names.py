@@ -32,22 +32,22 @@ ENTROPY = """CASE WHEN length(replace({0}, ' ', '')) = 0 THEN 0.0 ELSE -list_sum
 SHINGLES = """CASE WHEN length(replace({0}, ' ', '')) >= 3 THEN list_sort(list_distinct(list_transform(range(1, length(replace({0}, ' ', '')) - 1),
   lambda i: substr(replace({0}, ' ', ''), i, 3)))) WHEN length(replace({0}, ' ', '')) = 1 THEN [replace({0}, ' ', '')] ELSE []::VARCHAR[] END"""
 JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END"
-HEAD = "substr(text, 1, 200)"
+TEXT = "coalesce(text, '')"
 
 
-def _heads(spark, d):
-    """Opening lines of documents, as messy names."""
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 200), F.lit("")).alias("name"))
+def _texts(spark, d):
+    """Whole texts of documents, as messy names."""
+    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("name"))
 
 
-@query("normalize_exact", f"SELECT doc_id, {exact(HEAD)} AS norm FROM documents")
+@query("normalize_exact", f"SELECT doc_id, {exact(TEXT)} AS norm FROM documents")
 def normalize_exact(spark, d):
-    return _heads(spark, d).select("doc_id", text.normalize_exact(F.col("name")).alias("norm"))
+    return _texts(spark, d).select("doc_id", text.normalize_exact(F.col("name")).alias("norm"))
 
 
-@query("normalize_fuzzy", f"SELECT doc_id, {fuzzy(HEAD)} AS norm FROM documents")
+@query("normalize_fuzzy", f"SELECT doc_id, {fuzzy(TEXT)} AS norm FROM documents")
 def normalize_fuzzy(spark, d):
-    return _heads(spark, d).select("doc_id", text.normalize_fuzzy(F.col("name")).alias("norm"))
+    return _texts(spark, d).select("doc_id", text.normalize_fuzzy(F.col("name")).alias("norm"))
 
 
 PART_NAMES = f", p AS (SELECT node_id, {fuzzy('name')} AS f FROM nodes)"
@@ -72,64 +72,55 @@ def shingles(spark, d):
     return _fuzzy_nodes(spark, d).select("node_id", F.array_join(text.shingles(F.col("f")), "|").alias("shingles"))
 
 
-@query(
-    "jaccard_pairs",
-    f"""WITH p AS (SELECT DISTINCT p_name AS name, {SHINGLES.format(fuzzy('p_name'))} AS s FROM part)
-SELECT a.name AS a, b.name AS b, round({JACCARD.format('a.s', 'b.s')}, 6) AS score FROM p a JOIN p b ON a.name < b.name""",
-)
-def jaccard_pairs(spark, d):
-    """All pairs of the distinct part names, a fixed small catalogue."""
-    p = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("s", text.shingles(text.normalize_fuzzy(F.col("name"))))
-    a, b = p.select(F.col("name").alias("a"), F.col("s").alias("sa")), p.select(F.col("name").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(text.jaccard(F.col("sa"), F.col("sb")), 6).alias("score"))
+@query("jaccard", f"WITH p AS (SELECT p_partkey, {SHINGLES.format(fuzzy('p_name'))} AS a, {SHINGLES.format(fuzzy('p_type'))} AS b FROM part) SELECT p_partkey, round({JACCARD.format('a', 'b')}, 6) AS score FROM p")
+def jaccard(spark, d):
+    p = table(spark, d, "part")
+    of = lambda c: text.shingles(text.normalize_fuzzy(F.col(c)))
+    return p.select("p_partkey", of("p_name").alias("a"), of("p_type").alias("b")).select("p_partkey", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query("minhash_signature")
 def minhash_signature(spark, d):
-    s = _fuzzy_nodes(spark, d).where(F.startswith("node_id", F.lit("part:")))
+    s = _fuzzy_nodes(spark, d)
     return s.select("node_id", F.array_join(hashing.minhash_signature(text.shingles(F.col("f"))), "|").alias("signature"))
 
 
 @query("lsh_bands")
 def lsh_bands(spark, d):
-    s = _fuzzy_nodes(spark, d).where(F.startswith("node_id", F.lit("part:")))
+    s = _fuzzy_nodes(spark, d)
     s = s.select("node_id", hashing.minhash_signature(text.shingles(F.col("f"))).alias("signature"))
     return s.select("node_id", F.array_join(hashing.lsh_bands(F.col("signature")), "|").alias("bands"))
 
 
 def _drafts(spark, d):
-    """Part names as mentioned, in another case and with more blanks."""
-    return table(spark, d, "part").select(
-        F.concat(F.lit("d:"), F.col("p_partkey").cast("string")).alias("draft_id"), F.lit("part").alias("group_id"), F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")).alias("name")
-    )
+    """Node names as mentioned, in another case and with more blanks."""
+    return views.nodes(spark, d).select(F.concat(F.lit("d:"), F.col("node_id")).alias("draft_id"), "group_id", F.concat(F.lit(" "), F.upper("name"), F.lit("  ")).alias("name"))
 
 
 @query(
     "exact_name_resolve",
     with_views(
         "nodes",
-        f""", s AS (SELECT group_id, {exact('name')} AS norm, count(*) AS n, min(node_id) AS id FROM nodes WHERE expired_at IS NULL AND seq % 2 = 0 GROUP BY ALL)
-SELECT 'd:' || p_partkey AS draft_id, coalesce(n, 0) AS n_matches, CASE WHEN n = 1 THEN id END AS node_id FROM part
-LEFT JOIN s ON s.group_id = 'part' AND norm = {exact("' ' || upper(p_name) || '  '")}""",
+        f""", s AS (SELECT group_id, {exact('name')} AS norm, count(*) AS n, min(node_id) AS id FROM nodes GROUP BY ALL)
+SELECT 'd:' || node_id AS draft_id, n AS n_matches, CASE WHEN n = 1 THEN id END AS node_id FROM nodes JOIN s ON s.group_id = nodes.group_id AND norm = {exact("' ' || upper(name) || '  '")}""",
     ),
 )
 def exact_name_resolve(spark, d):
-    stored = views.nodes(spark, d).where("expired_at is null and seq % 2 = 0")
-    return resolution.exact_matches(_drafts(spark, d), stored).select("draft_id", "n_matches", "node_id")
+    return resolution.exact_matches(_drafts(spark, d), views.nodes(spark, d)).select("draft_id", "n_matches", "node_id")
 
 
 @query(
     "fuzzy_resolve",
-    f"""WITH s AS (SELECT s_suppkey AS k, {SHINGLES.format(fuzzy('s_name'))} AS s FROM supplier),
-p AS (SELECT a.k AS a, b.k AS b, {JACCARD.format('a.s', 'b.s')} AS score FROM s a JOIN s b ON a.k % 2 = 1 AND b.k % 2 = 0)
-SELECT 'd:' || a AS draft_id, 'supplier:' || arg_min(b, (-score, 'supplier:' || b)) AS node_id, round(max(score), 6) AS score FROM p WHERE score >= 0.9 GROUP BY a""",
+    f"""WITH s AS (SELECT s_suppkey AS k, {SHINGLES.format(fuzzy('s_name'))} AS s, {SHINGLES.format(fuzzy("s_name || ' Inc'"))} AS t FROM supplier),
+p AS (SELECT a.k AS a, b.k AS b, {JACCARD.format('a.t', 'b.s')} AS score FROM s a, s b)
+SELECT 'd:' || a AS draft_id, 'supplier:' || arg_min(b, (-score, 'supplier:' || b)) AS node_id, round(max(score), 6) AS score FROM p WHERE score >= 0.7 GROUP BY a""",
 )
 def fuzzy_resolve(spark, d):
-    """Suppliers of odd number as drafts against those of even number as stored."""
+    """Supplier names with an addition as drafts against all of them; the bound is lower, as the addition costs shingles."""
     s = table(spark, d, "supplier")
-    drafts = s.where("s_suppkey % 2 = 1").select(F.concat(F.lit("d:"), F.col("s_suppkey").cast("string")).alias("draft_id"), F.lit("g").alias("group_id"), F.col("s_name").alias("name"))
-    stored = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit("g").alias("group_id"), F.col("s_name").alias("name"))
-    return resolution.fuzzy_matches(drafts, stored).select("draft_id", "node_id", F.round("score", 6).alias("score"))
+    drafts = s.select(F.concat(F.lit("d:"), F.col("s_suppkey").cast("string")).alias("draft_id"), F.lit("g").alias("group_id"), F.concat("s_name", F.lit(" Inc")).alias("name"))
+    stored = s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node_id"), F.lit("g").alias("group_id"), F.col("s_name").alias("name"))
+    return resolution.fuzzy_matches(drafts, stored, 0.7).select("draft_id", "node_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -169,14 +160,14 @@ POOL_COSINE = 0.3
 @query(
     "cosine_candidates",
     f"""WITH p AS (SELECT a.vec_id AS draft_id, b.vec_id AS node_id, {COSINE.format('a.embedding', 'b.embedding')} AS score
-  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0),
+  FROM embeddings a JOIN embeddings b ON a.label = b.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY score DESC, node_id) AS rank FROM p WHERE score > {POOL_COSINE})
 SELECT draft_id, node_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
 )
 def cosine_candidates(spark, d):
-    """Vectors of odd number against those of even number, within their label."""
+    """Every vector against those of its label, itself included."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("group_id"), F.col("embedding").alias("vec"))
-    drafts, stored = e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "draft_id"), e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "node_id")
+    drafts, stored = e.withColumnRenamed("vec_id", "draft_id"), e.withColumnRenamed("vec_id", "node_id")
     out = resolution.cosine_pool(drafts, stored, POOL_COSINE)
     return out.select("draft_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -189,19 +180,18 @@ def leading_components(spark, d):
 
 @query(
     "pool_union",
-    """WITH a AS (SELECT s_suppkey AS node_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier QUALIFY pos <= 40),
-b AS (SELECT s_suppkey AS node_id, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS pos FROM supplier QUALIFY pos <= 40)
-SELECT node_id, row_number() OVER (ORDER BY min(p), min(pos)) - 1 AS place FROM (SELECT 0 AS p, * FROM a UNION ALL SELECT 1, * FROM b) GROUP BY node_id
-QUALIFY true""".replace("min(p), min(pos)", "min((p, pos))"),
+    """WITH a AS (SELECT s_suppkey AS node_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier WHERE s_acctbal > 5000),
+b AS (SELECT s_suppkey AS node_id, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS pos FROM supplier)
+SELECT node_id, min((p, pos))[1] AS pool, min((p, pos))[2] AS pos FROM (SELECT 0::BIGINT AS p, * FROM a UNION ALL SELECT 1, * FROM b) GROUP BY node_id""",
 )
 def pool_union(spark, d):
-    """Two ranked pools of 40 suppliers as one, each candidate at its first place."""
+    """Suppliers of a high balance by it, then all by nation: each at its first place."""
     from pyspark.sql import Window
 
     s = table(spark, d, "supplier")
-    ranked = lambda *order: s.orderBy(*order).limit(40).withColumn("pos", F.row_number().over(Window.orderBy(*order))).select(F.col("s_suppkey").alias("node_id"), "pos")
-    out = resolution.pool_union([ranked(F.desc("s_acctbal"), "s_suppkey"), ranked("s_nationkey", "s_suppkey")])
-    return out.select("node_id", (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("place"))
+    ranked = lambda rows, *order: rows.withColumn("pos", F.row_number().over(Window.orderBy(*order))).select(F.col("s_suppkey").alias("node_id"), "pos")
+    out = resolution.pool_union([ranked(s.where("s_acctbal > 5000"), F.desc("s_acctbal"), "s_suppkey"), ranked(s, "s_nationkey", "s_suppkey")])
+    return out.select("node_id", F.col("at.pool").cast("bigint").alias("pool"), F.col("at.pos").cast("bigint").alias("pos"))
 
 
 @query(
@@ -222,19 +212,16 @@ def resolution_guard(spark, d):
     "node_resolution",
     with_views(
         "nodes",
-        f""", s AS (SELECT * FROM nodes WHERE group_id = 'part' AND expired_at IS NULL AND seq % 2 = 0),
-e AS (SELECT {exact('name')} AS norm, count(*) AS n, min(node_id) AS id FROM s GROUP BY 1),
-d AS (SELECT 'd:' || p_partkey AS draft_id, p_partkey, {exact("' ' || upper(p_name) || '  '")} AS norm FROM part),
-x AS (SELECT draft_id, p_partkey, coalesce(n, 0) AS n, id FROM d LEFT JOIN e USING (norm)),
-r AS (SELECT draft_id, CASE WHEN n = 1 THEN id WHEN p_partkey % 5 = 0 THEN 'part:0' END AS node_id,
-  CASE WHEN n = 1 THEN 'exact' WHEN p_partkey % 5 = 0 THEN 'judged' WHEN n > 1 THEN 'ambiguous' ELSE 'new' END AS how FROM x)
+        f""", e AS (SELECT group_id, {exact('name')} AS norm, count(*) AS n, min(node_id) AS id FROM nodes GROUP BY ALL),
+x AS (SELECT 'd:' || d.node_id AS draft_id, n, id, d.merged_into FROM nodes d JOIN e ON e.group_id = d.group_id AND e.norm = {exact("' ' || upper(d.name) || '  '")}),
+r AS (SELECT draft_id, CASE WHEN n = 1 THEN id ELSE merged_into END AS node_id, CASE WHEN n = 1 THEN 'exact' WHEN merged_into IS NOT NULL THEN 'judged' ELSE 'ambiguous' END AS how FROM x)
 SELECT draft_id, r.node_id, how, CASE WHEN r.node_id IS NULL OR len(s.labels) = 1 THEN 'Entity|Thing' ELSE array_to_string(s.labels, '|') END AS labels
-FROM r LEFT JOIN s ON s.node_id = r.node_id""",
+FROM r LEFT JOIN nodes s ON s.node_id = r.node_id""",
     ),
 )
 def node_resolution(spark, d):
-    """Every tier: exact, fuzzy (no two part names are that similar), then judgments for every fifth draft."""
+    """Every node's name against all nodes; judgments send merged ones to where they went."""
+    n = views.nodes(spark, d)
     drafts = _drafts(spark, d).withColumn("labels", F.array(F.lit("Entity"), F.lit("Thing")))
-    stored = views.nodes(spark, d).where("group_id = 'part' and expired_at is null and seq % 2 = 0")
-    judged = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("d:"), F.col("p_partkey").cast("string")).alias("draft_id"), F.lit("part:0").alias("node_id"))
-    return resolution.resolve_nodes(drafts, stored, judged).select("draft_id", "node_id", "how", F.array_join("labels", "|").alias("labels"))
+    judged = n.where("merged_into is not null").select(F.concat(F.lit("d:"), F.col("node_id")).alias("draft_id"), F.col("merged_into").alias("node_id"))
+    return resolution.resolve_nodes(drafts, n, judged).select("draft_id", "node_id", "how", F.array_join("labels", "|").alias("labels"))

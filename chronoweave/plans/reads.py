@@ -192,13 +192,12 @@ def remapped_edges(spark, d):
     "node_history",
     with_views(
         "supply",
-        f""" SELECT node_id, edge_id, strftime(valid_at, {TIME}) AS valid_at FROM (SELECT src AS node_id, * FROM supply UNION ALL SELECT dst, * FROM supply)
-  WHERE node_id IN ('supplier:1', 'part:7')""",
+        f""" SELECT node_id, edge_id, strftime(valid_at, {TIME}) AS valid_at FROM (SELECT src AS node_id, * FROM supply UNION ALL SELECT dst, * FROM supply)""",
     ),
 )
 def node_history(spark, d):
-    ids = spark.createDataFrame([("supplier:1",), ("part:7",)], "node_id string")
-    return graph.history(views.supply_edges(spark, d), ids).select("node_id", "edge_id", time_text("valid_at").alias("valid_at"))
+    """Histories of all nodes."""
+    return graph.history(views.supply_edges(spark, d), views.nodes(spark, d)).select("node_id", "edge_id", time_text("valid_at").alias("valid_at"))
 
 
 def _traverse_sql(where: str) -> str:

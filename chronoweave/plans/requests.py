@@ -42,10 +42,10 @@ def entity_types(spark, d):
     return contexts.entity_types(_types(spark)).select("entity_type_id", "entity_type_name", text.brief_type_description(F.col("entity_type_description")).alias("brief"))
 
 
-@query("truncated_summaries", "SELECT doc_id, substr(text, 1, 120) AS summary, replace(substr(text, 1, 300), chr(10), ' ') AS line FROM documents")
+@query("truncated_summaries", "SELECT doc_id, substr(text, 1, 120) AS summary, replace(text, chr(10), ' ') AS line FROM documents")
 def truncated_summaries(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.left("text", F.lit(text.CANDIDATE_SUMMARY_CHARS)).alias("summary"), text.one_line(F.left("text", F.lit(300))).alias("line"))
+    return t.select("doc_id", F.left("text", F.lit(text.CANDIDATE_SUMMARY_CHARS)).alias("summary"), text.one_line(F.col("text")).alias("line"))
 
 
 @query("bare_attributes", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'value' ELSE 'kind|value' END AS keys FROM events")
@@ -54,10 +54,10 @@ def bare_attributes(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(contexts.bare_attributes(m))), "|").alias("keys"))
 
 
-@query("missing_names", "SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 20)")
+@query("missing_names", "SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_retailprice < 905)")
 def missing_names(spark, d):
     p = table(spark, d, "part")
-    stored = p.where("p_partkey < 20").select(F.col("p_name").alias("name"), F.array(F.lit(1.0).cast("float")).alias("name_vec"))
+    stored = p.where("p_retailprice < 905").select(F.col("p_name").alias("name"), F.array(F.lit(1.0).cast("float")).alias("name_vec"))
     return providers.missing_names(p.select(F.col("p_name").alias("name")), stored)
 
 
