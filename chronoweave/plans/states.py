@@ -70,7 +70,7 @@ def replay_lookup(spark, d):
     return providers.replayed(r.select("conv_id", "turn", "request"), providers.loaded_recordings(log.unionByName(older))).select("conv_id", "turn", "reply")
 
 
-@query("canonical_json")
+@query("canonical_json", "SELECT conv_id, turn, to_json({conv_id: conv_id, text: text, turn: turn})::VARCHAR AS json FROM conversations")
 def canonical(spark, d):
     return _requests(spark, d).select("conv_id", "turn", canonical_json(F.col("request")).alias("json"))
 
