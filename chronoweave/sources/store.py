@@ -19,8 +19,13 @@ SCHEMAS = {
 }
 
 
+#: Tables that change are dealt by group into so many parts; a step rewrites only the parts of its groups.
+PARTS = 64
+DEALT = ("nodes", "edges")
+
+
 class Store:
-    """Parquet tables under one path; a missing one reads as empty. Writes are whole versions."""
+    """Parquet tables under one path; a missing one reads as empty."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -30,18 +35,29 @@ class Store:
         target = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
 
+    def _dealt(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name] + ", part int").parquet(f"{self.path}/{name}")
+
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
+        if name in DEALT:
+            return self._dealt(name).drop("part")
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._fit(name, rows).write.mode("append").parquet(f"{self.path}/{name}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a new version; rows may derive from the one it replaces."""
-        ready = materialize(self._fit(name, rows))
-        ready.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def merge(self, name: str, rows: DataFrame, key: str) -> None:
+        """Put rows in place of those with equal keys, or add them; parts without a group of theirs are not touched."""
+        new = materialize(self._fit(name, rows).withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(PARTS)).cast("int")))
+        parts = [r["part"] for r in new.select("part").distinct().collect()]  # PARTS at most
+        if not parts:
+            return
+        if self._exists(name):
+            old = self._dealt(name).where(F.col("part").isin(parts))
+            new = materialize(old.join(new.select(key), key, "left_anti").unionByName(new))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
 
     def _fit(self, name: str, rows: DataFrame) -> DataFrame:
         columns = self.spark.createDataFrame([], SCHEMAS[name]).schema

@@ -44,8 +44,9 @@ class Ingester:
         c = ingest.step(episodes, here(nodes), here(edges), self.entities(episodes), self.edges(episodes), self.types, self.now, self.contradictory)
         # all of it is computed before any of it is written
         parts = [materialize(x) for x in (c.nodes, c.edges, c.bounds, c.mentions, c.episodes)]
-        self.store.replace("nodes", ingest.upserted(nodes, parts[0], "node_id"))
-        self.store.replace("edges", ingest.bounded(ingest.upserted(edges, parts[1], "edge_id"), parts[2]))
+        ended = here(edges).join(parts[2].select("edge_id"), "edge_id", "left_semi")
+        self.store.merge("nodes", parts[0], "node_id")
+        self.store.merge("edges", ingest.bounded(ended, parts[2]).unionByName(parts[1], allowMissingColumns=True), "edge_id")
         self.store.append("mentions", parts[3])
         self.store.append("episodes", parts[4])  # last: an episode that is in the log is whole
         for p in parts:
