@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,12 +84,3 @@ def release(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         target = sc._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver's garbage is collected, which may be long after a large shuffle.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
