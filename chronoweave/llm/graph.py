@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from chronoweave.session import materialize, release
 
 
+#: Up to so many edges a round is one task's work, without a shuffle.
+SMALL = 100_000
+
+
+def _pairs(*pairs: tuple[str, str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang the larger neighbours of each node on its smallest neighbour."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_pairs(("u", "v"), ("v", "u"))).select("e.u", "e.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -17,13 +25,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang the smaller neighbours of each node, and the node, on the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    hung = edges.join(low, "u").select(_pairs(("v", "m"), ("u", "m"))).select("e.u", "e.v")
+    return hung.where("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with a digest of them that the same job takes."""
+    seen = Observation()
+    digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    table = materialize(edges.observe(seen, *digest))
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,13 +44,11 @@ def components(edges: DataFrame) -> DataFrame:
     component. Every round keeps at most as many edges as before and pre-aggregates minima before
     it shuffles, so a hub costs one row per task; joins on hubs are left to skew-join splitting.
     """
-    now = materialize(
+    now, seen = _written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    seen = _digest(now)
     while seen[0]:
-        after = materialize(_small_star(_large_star(now)))
-        digest = _digest(after)
+        after, digest = _written(_small_star(_large_star(now.coalesce(1) if seen[0] <= SMALL else now)))
         release(now)
         now, same = after, digest == seen
         if same:

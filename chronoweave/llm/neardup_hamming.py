@@ -1,7 +1,7 @@
 """Near-duplicate classes by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's set is the hashes of its word shingles; its signature is 64 symbols of 16 bits, the
-low bits of mixed minima under 64 permutations. Signatures are cut into chunks. If two signatures
+A document's set is the hashes of its word shingles; its signature is 72 symbols of 16 bits, the
+low bits of mixed minima under 72 permutations. Signatures are cut into chunks. If two signatures
 differ in at most 2 * chunks - 1 symbols, by the pigeonhole principle some chunk differs in at most
 one, so both hold an equal key among the chunk's keys with one symbol left out. Joining on these
 keys therefore meets every pair under that distance; the chunks are chosen so that a pair at the
@@ -9,9 +9,13 @@ similarity threshold exceeds it with a probability below MISS. Links are confirm
 sets.
 
 Equal sets are one class from the start, and only one member of each goes on. Keys shared by
-several classes are buckets. Pairs of a bucket are never all emitted: in each round a bucket
-compares its members with one pivot, the pivot leaves, and the bucket ends when its members are in
-one component. Buckets of members that stay apart after ROUNDS rounds compare what is left.
+several classes are buckets. Pairs of a bucket are not all emitted: in each round a bucket compares
+its members with one pivot, the pivot leaves, and the bucket ends when its members are in one
+component. Members that stay apart, such as documents that share a common passage or heavily edited
+copies, go on to a last join. It meets those that share a rare shingle; for all others the shingles
+besides the rare ones bound what they can share, so most pairs are out at once, and the rest compare
+along their rare symbols: of two signatures under the distance, each has an equal symbol among its
+`distance + 1` rarest.
 """
 
 from __future__ import annotations
@@ -26,31 +30,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm import wordscan
 from chronoweave.llm.graph import components
-from chronoweave.session import free_shuffles, materialize, release
+from chronoweave.session import materialize, release
 
 U = np.uint64
-SYMBOLS = 64
-MISS = 1e-5
-ROUNDS = 6
+SYMBOLS = 72
+MISS = 1e-4
+ROUNDS = 2
+RARE = 8
 _rng = np.random.default_rng(7)
 FACTORS = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * U(2) + U(1)
 SHIFTS = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
 
-def chunk_width(similarity: float) -> int:
-    """The widest chunk for which a pair at the threshold is missed with a probability below MISS."""
+def chunk_count(similarity: float) -> int:
+    """The fewest chunks for which a pair at the threshold is missed with a probability below MISS."""
     p = (1 - similarity) * (1 - 2**-16)
-    for width in range(8, 1, -1):
-        most = 2 * -(-SYMBOLS // width) - 1
-        if sum(math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(most + 1, SYMBOLS + 1)) < MISS:
-            return width
+    for chunks in range(2, SYMBOLS // 2 + 1):
+        if sum(math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(2 * chunks, SYMBOLS + 1)) < MISS:
+            return chunks
     raise ValueError(f"similarity {similarity} is too low for {SYMBOLS} symbols")
 
 
-def most_errors(width: int) -> int:
-    return 2 * -(-SYMBOLS // width) - 1
-
-
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For some rows at a time: first row, hashes of distinct shingles (ascending in a row), offsets."""
     for i, j, words in wordscan.scan(column, True):
@@ -59,7 +59,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray,
         if len(short):
             whole = [0] * len(short)
             for k, r in enumerate(short.tolist()):
-                x = 977 * (k * 0 + int(words.counts[r]))
+                x = 977 * int(words.counts[r])
                 for w in words.hash[words.first[r] : words.first[r + 1]].tolist():
                     x = (x * 0xA0761D6478BD642F + w) % 2**64
                 whole[k] = x
@@ -111,7 +111,7 @@ def _signed(size: int):
     return run
 
 
-def _keys(width: int):
+def _keys(chunks: int):
     """The keys of a signature: for each chunk and each of its symbols, the other symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,7 @@ def _keys(width: int):
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, SYMBOLS).astype(U)
             ids = batch.column(0)
-            for chunk, at in enumerate(range(0, SYMBOLS, width)):
-                part = sig[:, at : at + width]
+            for chunk, part in enumerate(np.array_split(sig, chunks, axis=1)):
                 for out in range(part.shape[1]):
                     key = np.full(len(part), U(chunk * 64 + out + 1))
                     for k in range(part.shape[1]):
@@ -132,6 +131,27 @@ def _keys(width: int):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash of a set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            reps = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(reps)], names=["h", "rep"])
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every symbol of a signature with its place, as one number."""
+    place = np.arange(SYMBOLS, dtype=np.int64) << 16
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
+            ids = np.repeat(np.asarray(part.column(0)), SYMBOLS)
+            yield pa.RecordBatch.from_arrays([pa.array((sig + place).reshape(-1)), pa.array(ids)], names=["symbol", "rep"])
+
+
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
@@ -170,9 +190,8 @@ class _Links:
     """Confirmed links and the components that they make."""
 
     def __init__(self, reps: DataFrame, sets: DataFrame, similarity: float, most: int):
-        self.reps, self.sets, self.similarity, self.most = reps.select("rep", "sig"), sets, similarity, most
+        self.reps, self.sets, self.similarity, self.most = reps.select("rep", "sig", "n_shingles"), sets, similarity, most
         self.links: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
         self.comps: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, column: str, as_: str) -> DataFrame:
@@ -183,35 +202,21 @@ class _Links:
         return rows.join(comps, column, "left").withColumn(as_, F.coalesce("_c", column)).drop("_c")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs a, b under the distance, that were not tested before: a, b, dist."""
-        for old in self.tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        """Those of the pairs a, b that are under the distance."""
         sig = lambda c: self.reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
         both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-        return both.mapInArrow(_distances, "a bigint, b bigint, dist int").where(F.col("dist") <= self.most)
+        return both.mapInArrow(_distances, "a bigint, b bigint, dist int").where(F.col("dist") <= self.most).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Test near pairs (a, b, dist): first the nearest of each a, then those still apart."""
-        pairs = materialize(pairs)
-        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where("r = 1")
-        first = materialize(best.select("a", "b"))
-        if first.isEmpty():
+        """Test near pairs on the full sets and follow the links."""
+        pairs = materialize(self.near(pairs))
+        if pairs.isEmpty():
             return
-        self._test(first)
-        rest = self.labelled(self.labelled(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb")
-        rest = materialize(rest.where("ca <> cb").select("a", "b"))
-        if not rest.isEmpty():
-            self._test(rest)
-        release(pairs)
-
-    def _test(self, pairs: DataFrame) -> None:
-        self.tested.append(pairs)
         one = lambda c: self.sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"set_{c}"))
         both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
         self.links.append(materialize(both.mapInArrow(_confirmed(self.similarity), "u bigint, v bigint")))
-        self.comps = components(reduce(DataFrame.unionByName, self.links))
-        del both
-        free_shuffles(pairs.sparkSession)  # those of sets
+        self.comps = materialize(components(reduce(DataFrame.unionByName, self.links)))
+        release(pairs)
 
     def degrees(self) -> DataFrame:
         ends = reduce(DataFrame.unionByName, self.links) if self.links else None
@@ -220,6 +225,53 @@ class _Links:
         return ends.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
+    """Pairs a, b of different components that may still be similar, in two exact cases.
+
+    A shingle is rare if at most RARE of these documents hold it. Either a pair shares a rare
+    shingle: these have few holders, and are joined. Or it shares none: then it shares at most what
+    either holds besides its rare shingles, which has to be enough for the similarity, and it has
+    an equal symbol among the `prefix` rarest of each; on these it is joined. Symbols are ordered
+    by how many documents hold them, then by number; those that one document holds come first and
+    meet nothing, so they are only counted.
+    """
+    percent = round(links.similarity * 100)
+    sets = links.sets.join(among, "rep", "left_semi").select("rep", "hashes")
+    hashes = materialize(sets.mapInArrow(_spread, "h bigint, rep bigint"))
+    holders = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where(F.col("k") <= RARE)
+    holders = materialize(holders)
+    few = materialize(hashes.join(holders.where("k > 1").select("h"), "h"))
+    count = lambda rows, name: rows.groupBy("rep").agg(F.count(F.lit(1)).alias(name))
+    held = links.reps.join(among, "rep", "left_semi").join(count(holders.where("k = 1"), "_alone"), "rep", "left").join(count(few, "_few"), "rep", "left")
+    able = F.col("n_shingles") - F.coalesce("_alone", F.lit(0))
+    held = held.select("rep", "sig", "n_shingles", able.alias("able"), (able - F.coalesce("_few", F.lit(0))).alias("common"))
+    held = materialize(links.labelled(held.where(100 * F.col("able") >= percent * F.col("n_shingles")), "rep", "c"))
+    release(hashes)
+
+    def joined(rows: DataFrame, on: str, bound: str) -> DataFrame:
+        """Pairs with an equal `on` among rows (on, rep, all of a rep's in order) whose bounds allow the similarity; each once, at its first."""
+        one = rows.join(held.select("rep", "n_shingles", bound, "c"), "rep")
+        mixed = one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on)
+        one = one.join(mixed, on)
+        two = one.select(on, *[F.col(x).alias(y) for x, y in (("rep", "b"), ("c", "cb"), ("n_shingles", "nb"), (bound, "other"), ("all", "all_b"))])
+        most = F.least(bound, "other")
+        can = 100 * most >= percent * (F.col("n_shingles") + F.col("nb") - most)
+        once = F.get(F.array_intersect("all", "all_b"), 0) == F.col(on)
+        return one.join(two, on).where((F.col("rep") > F.col("b")) & (F.col("c") != F.col("cb")) & can & once).select(F.col("rep").alias("a"), "b")
+
+    wide = held.where(100 * F.col("common") >= percent * F.col("n_shingles")).select("rep", "sig")
+    symbols = materialize(wide.mapInArrow(_symbols, "symbol bigint, rep bigint"))
+    counts = symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    w = Window.partitionBy("rep")
+    rank = F.row_number().over(w.orderBy("n", "symbol")) + SYMBOLS - F.count(F.lit(1)).over(w)
+    rare = materialize(symbols.join(counts, "symbol").withColumn("rank", rank).where(F.col("rank") <= prefix).select("symbol", "rep", "n"))
+    listed = rare.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "symbol"))), lambda x: x["symbol"]).alias("all"))
+    rare = rare.join(listed, "rep").select("symbol", "rep", "all")
+    # few holders, so few repeats: a shingle stands for itself
+    few = few.withColumn("all", F.array("h"))
+    return joined(few, "h", "able").unionByName(joined(rare, "symbol", "common")).distinct()
+
+
 def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; others are passed over).
 
@@ -229,18 +281,15 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     empty set and stay alone, as do rows without an id (component_id null). Rows that share a
     doc_id are one node. Shingles are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    width = chunk_width(similarity)
+    chunks = chunk_count(similarity)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = materialize(base.mapInArrow(_signed(size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
     by_set = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialize(by_set)
-    keys = reps.select("rep", "sig").mapInArrow(_keys(width), "key bigint, rep bigint")
+    keys = reps.select("rep", "sig").mapInArrow(_keys(chunks), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     buckets = materialize(keys.join(shared.select("key"), "key"))
-    del keys, shared
-    free_shuffles(spark)
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(
         base.join(wanted, "doc_id", "left_semi")
@@ -248,8 +297,7 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
         .where(F.length("hashes") > 0)
         .dropDuplicates(["rep"])
     )
-    free_shuffles(spark)
-    links = _Links(reps, sets, similarity, most_errors(width))
+    links = _Links(reps, sets, similarity, 2 * chunks - 1)
     for _ in range(ROUNDS):
         # a pivot is the member with most links so far, then the smallest
         at = buckets
@@ -257,21 +305,19 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
         at = at.withColumn("degree", F.lit(0)) if degrees is None else at.join(degrees, "rep", "left").fillna(0, ["degree"])
         pivots = at.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("p"))
         pivots = materialize(pivots.select("key", (-F.col("p.minus")).alias("pivot")))
-        pairs = buckets.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        pairs = links.labelled(links.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
-        links.confirm(links.near(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+        pairs = buckets.join(pivots, "key").where("rep <> pivot")
+        pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        links.confirm(links.labelled(links.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
         left = buckets.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
         left = links.labelled(left, "rep", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         before, buckets = buckets, materialize(left.join(mixed, "key").select("key", "rep"))
         release(before)
+        release(pivots)
         if buckets.isEmpty():
             break
     else:
-        one = links.labelled(buckets, "rep", "c")
-        two = one.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = one.join(two, "key").where("rep > b and c <> cb").select(F.col("rep").alias("a"), "b").distinct()
-        links.confirm(links.near(pairs))
+        links.confirm(_leftover_pairs(links, buckets.select("rep").distinct(), 2 * chunks))
     # every row to its set's representative, and on to its component
     member = real.select("doc_id", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
     moved = links.labelled(member.distinct(), "rep", "c")

@@ -164,7 +164,9 @@ def test_chain_of_near_copies(make):
     assert {r["component_id"] for r in got} == {1}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2001 + k) for k in range(60)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([*edges, (7, 7), (None, 3)], "u bigint, v bigint")).collect()}
