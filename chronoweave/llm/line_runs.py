@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(staged.where(F.col("batch") == b))
-    wide = runs.stats().where(F.col("n_docs") >= min_docs).select("h", "max_doc")
+    # written, so that the join below deals both its sides anew and can split a widespread line's rows
+    wide = materialize(runs.stats().where(F.col("n_docs") >= min_docs).select("h", "max_doc"))
     drops = (
         staged.join(wide, "h")
         .where("doc_id < max_doc")
