@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoweave.session import materialize, release
 
@@ -30,11 +30,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, with a digest of them that the same job takes."""
-    seen = Observation()
-    digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-    table = materialize(edges.observe(seen, *digest))
-    return table, (seen.get["n"], seen.get["sum"])
+    """The edges as a table, and a digest of them."""
+    table = materialize(edges)
+    row = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return table, tuple(row)
 
 
 def components(edges: DataFrame) -> DataFrame:
