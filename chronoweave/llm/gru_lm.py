@@ -3,10 +3,11 @@
 1. Counts: every token of the training documents is counted. The most frequent words are the
    network's vocabulary; others are one sign each time they occur, and are told apart by the
    smoothed counts. So the model gives a probability to every text.
-2. Training: the driver warms the weights up on a bounded sample. Then, in each round, every
-   training document takes part: each task trains from the shared weights by truncated
-   backpropagation through windows of its documents, and the weights are averaged by their tokens,
-   in a shuffle, so that the driver gets one set of weights whatever the number of tasks.
+2. Training: the driver warms the weights up on a bounded sample. Then, in each round, every token
+   of every training document is trained on: each task trains from the shared weights by truncated
+   backpropagation through all windows of its documents, the state carried from one window to the
+   next, and the weights are averaged by their tokens, in a shuffle, so that the driver gets one set
+   of weights whatever the number of tasks.
 3. Scoring: documents run through the network window by window, all tokens of each, the state
    carried from one window to the next. Words of the bounded hot table are looked up in the tasks;
    the rest are joined with the counts.
@@ -14,7 +15,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,12 @@ U = np.uint64
 HIDDEN, CLASSES, CLASS_SIZE = 32, 32, 64
 VOCABULARY = CLASSES * CLASS_SIZE
 END, UNKNOWN = 0, 1
-#: Steps of a window of backpropagation, windows of a document in a round, rounds over all documents.
-WINDOW, WINDOWS, ROUNDS = 32, 2, 1
+#: Steps of a window of backpropagation, rounds over all tokens of all documents.
+WINDOW, ROUNDS = 32, 1
+#: Documents that are trained on side by side.
 BATCH = 64
-#: Documents (of at most MOST_CHARS characters) that the driver warms up on, and epochs.
-WARM_DOCS, MOST_CHARS, WARM_EPOCHS = 1500, 20_000, 4
+#: Documents (of at most MOST_CHARS characters, WARM_TOKENS tokens of each) that the driver warms up on, and epochs.
+WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
 HOT_WORDS = 131_072
 SMOOTH = 0.1
@@ -134,19 +137,20 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w:
             g["word"][part], g["word_bias"][part] = d.T @ so[a:b], d.sum(0)
             dh[a:b] += d @ w["word"][part]
     dhs = dh[back].reshape(steps, batch, HIDDEN)
-    dgx = np.empty_like(gx)
-    carry = np.zeros((batch, HIDDEN), f32)
+    dgx, dgh = np.empty_like(gx), np.empty_like(gx)
+    carry, state_back = np.zeros((batch, HIDDEN), f32), np.ascontiguousarray(w["state"].T)
     for t in range(steps - 1, -1, -1):
         last, z, r, n, c = kept[t]
         d = dhs[t] + carry
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (last - n) * z * (1 - z)
-        dr = dn * c * r * (1 - r)
-        gates = np.concatenate([dz, dr, dn], 1)
-        dgx[t] = gates
-        gates_h = np.concatenate([dz, dr, dn * r], 1)
-        g["state"] += last.T @ gates_h
-        carry = d * z + gates_h @ w["state"].T
+        kept_z = d * z
+        dn = (d - kept_z) * (1 - n * n)
+        dgh[t, :, :HIDDEN] = dgx[t, :, :HIDDEN] = kept_z * (last - n) * (1 - z)
+        dgh[t, :, HIDDEN : 2 * HIDDEN] = dgx[t, :, HIDDEN : 2 * HIDDEN] = dn * c * r * (1 - r)
+        dgx[t, :, 2 * HIDDEN :] = dn
+        dgh[t, :, 2 * HIDDEN :] = dn * r
+        carry = kept_z + dgh[t] @ state_back
+    before = np.concatenate([kept[0][0][None], np.stack(states[:-1])]) if steps > 1 else kept[0][0]
+    g["state"] = before.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
     flat = dgx.reshape(-1, 3 * HIDDEN)
     e = w["embed"][x.reshape(-1)]
     g["input"], g["bias"] = e.T @ flat, flat.sum(0)
@@ -164,11 +168,12 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
-    def step(self, w: dict, g: dict) -> None:
+    def step(self, w: dict, g: dict, share: float = 1.0) -> None:
+        """`share` is how full the window was, so that the few tokens of a part-filled one move the weights by as little."""
         self.t += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         clip = min(1.0, 1.0 / (norm + 1e-12))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = share * self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k in w:
             x = g[k] * f32(clip)
             self.m[k] += f32(0.1) * (x - self.m[k])
@@ -176,24 +181,35 @@ class Adam:
             w[k] -= f32(rate) * self.m[k] / (np.sqrt(self.v[k]) + f32(1e-8))
 
 
-def train(w: dict, sequences: list[np.ndarray], adam: Adam) -> tuple[float, int]:
-    """One pass over token sequences (targets; each begins in the state after an end). Loss and tokens."""
-    loss, seen = 0.0, 0
-    for at in range(0, len(sequences), BATCH):
-        part = sequences[at : at + BATCH]
-        longest = max(map(len, part))
-        y = np.zeros((longest, len(part)), np.int64)
-        mask = np.zeros((longest, len(part)), bool)
-        for k, s in enumerate(part):
-            y[: len(s), k], mask[: len(s), k] = s, True
-        x = np.vstack([np.full((1, len(part)), END), y[:-1]])
-        h = np.zeros((len(part), HIDDEN), f32)
-        for t in range(0, longest, WINDOW):
-            win = slice(t, t + WINDOW)
-            g, part_loss, h = gradients(x[win], y[win], mask[win], h, w)
-            adam.step(w, g)
-            loss, seen = loss + part_loss, seen + int(mask[win].sum())
-    return loss, seen
+def train(w: dict, sequences: Iterable[np.ndarray], adam: Adam) -> tuple[float, int]:
+    """One pass over all tokens of sequences (targets; each begins in the state after an end). Loss and tokens.
+
+    A lane runs through one sequence, window by window with the state carried, and then takes the next.
+    """
+    sequences = iter(sequences)
+    lanes, h, loss, seen = [], np.zeros((0, HIDDEN), f32), 0.0, 0
+    while True:
+        going = [k for k, (s, at) in enumerate(lanes) if at < len(s)]
+        lanes = [lanes[k] for k in going]
+        new = [(s, 0) for s in islice(sequences, BATCH - len(lanes))]
+        lanes += new
+        if not lanes:
+            return loss, seen
+        h = np.concatenate([h[going], np.zeros((len(new), HIDDEN), f32)])
+        steps = min(WINDOW, max(len(s) - at for s, at in lanes))
+        x = np.full((steps, len(lanes)), END)
+        y, mask = np.zeros(x.shape, np.int64), np.zeros(x.shape, bool)
+        for k, (s, at) in enumerate(lanes):
+            part = s[at : at + steps]
+            y[: len(part), k], mask[: len(part), k] = part, True
+            x[1 : len(part), k] = part[:-1]
+            if at:
+                x[0, k] = s[at - 1]
+        g, part_loss, h = gradients(x, y, mask, h, w)
+        n = int(mask.sum())
+        adam.step(w, g, n / (BATCH * WINDOW))
+        loss, seen = loss + part_loss, seen + n
+        lanes = [(s, at + steps) for s, at in lanes]
 
 
 class Vocabulary:
@@ -286,10 +302,8 @@ def _local(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, vocabulary = shared.value
         w = {k: v.copy() for k, v in w.items()}
-        adam, seen = Adam(w, rate), 0
-        for batch in batches:
-            draws = np.asarray(batch.column(0)).view(U) >> U(20)
-            seen += train(w, list(_sequences(batch.column(1), vocabulary, WINDOW * WINDOWS, draws)), adam)[1]
+        whole = (seq.astype(np.int16) for batch in batches for seq in _sequences(batch.column(0), vocabulary, None))
+        seen = train(w, whole, Adam(w, rate))[1]
         if seen:
             flat = np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays(
@@ -405,12 +419,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     adam = Adam(w, 4e-3)
     for epoch in range(WARM_EPOCHS):
         draws = np.random.default_rng(epoch).integers(0, 1 << 30, len(sample))
-        train(w, list(_sequences(pa.array(sample, pa.string()), vocabulary, 2 * WINDOW * WINDOWS, draws)), adam)
+        train(w, list(_sequences(pa.array(sample, pa.string()), vocabulary, WARM_TOKENS, draws)), adam)
         adam.rate *= 0.7
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, vocabulary))
-        drawn = learned.select(F.xxhash64("text", F.lit(k)).alias("draw"), "text")
-        sums = drawn.mapInArrow(_local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        sums = learned.select("text").mapInArrow(_local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
         with tidy_shuffles(spark):
             rows = sums.collect()
         if rows:

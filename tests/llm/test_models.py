@@ -270,6 +270,30 @@ def test_gru_is_a_distribution_and_carries_state():
         assert got == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_trains_on_every_token(monkeypatch):
+    from types import SimpleNamespace
+
+    w = gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY)))
+    shared = SimpleNamespace(value=(w, gru_lm.Vocabulary(np.zeros(0, np.uint64))))
+    texts = ["x " * n for n in (0, 1, 31, 32, 1000, 3000)] + ["y"] * 100
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"]) for part in (texts[:4], texts[4:])]
+    out = next(iter(gru_lm._local(shared, 1e-3)(iter(batches))))
+    assert out.column(1)[0].as_py() == sum(len(words(t)) + 1 for t in texts)
+    # windows follow one another: inputs, targets and states
+    calls = []
+
+    def kept(x, y, mask, h, w):
+        calls.append((x[:, 0], y[:, 0], h[0].copy()))
+        return {k: np.zeros_like(v) for k, v in w.items()}, 0.0, h + 1
+
+    monkeypatch.setattr(gru_lm, "gradients", kept)
+    seq = np.arange(2, 102)
+    assert gru_lm.train(w, [seq], gru_lm.Adam(w, 0.0)) == (0.0, 100)
+    assert np.concatenate([c[1] for c in calls]).tolist() == seq.tolist()
+    assert np.concatenate([c[0] for c in calls]).tolist() == [gru_lm.END, *seq[:-1]]
+    assert [c[2][0] for c in calls] == [0, 1, 2, 3]
+
+
 def test_lm_scores(spark, small):
     docs = table(spark, small, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
