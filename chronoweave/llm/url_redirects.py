@@ -46,25 +46,51 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its `.` and `..` segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as a url: absolute, scheme-relative or from the host's root; others are null."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
+    """A link as a url, resolved against the page's: null if it has another scheme form (`mailto:x`) or the page's url has no `://`."""
+    root = F.concat(F.nullif(F.regexp_extract(url, r"(?s)^(.*?://)", 1), F.lit("")), url_host(url))
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(url_path(url), r"(?s)^/(.*/)", 1))
     return (
-        F.when(F.contains(link, F.lit("://")), link)
+        F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
+        .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None).cast("string"))
         .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(scheme, url_host(url), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, _without_dots(path), rest))
+        .when(path == "", F.concat(root, url_path(url), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = rf"(?is)(?<![\w-]){name}\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\"'\s>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """src, dst urls of canonical links and refresh redirects in html."""
-    html = F.col("html")
-    tag = F.when(F.contains(html, F.lit("canonical")), F.regexp_extract(html, r"(?is)<link\b[^>]*\bcanonical\b[^>]*>", 0))
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.when(F.contains(html, F.lit("efresh")), F.regexp_extract(html, r"(?is)<meta\b[^>]*\brefresh\b[^>]*>", 0))
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    links = pages.select("url", F.explode(F.array(canonical, refresh)).alias("link")).where("link <> ''")
-    return links.select(F.col("url").alias("src"), _absolute(F.col("link"), F.col("url")).alias("dst")).where("dst is not null")
+    """src, dst urls of all canonical links and refresh redirects in html, relative ones by the page's base."""
+    tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}[\s/][^>]*>"), F.lit(0))
+    is_canonical = lambda t: F.rlike(_attribute(t, "rel"), F.lit(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    is_refresh = lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"
+    target = lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    canonical = F.transform(F.filter(tags("link"), is_canonical), lambda t: _attribute(t, "href"))
+    refresh = F.transform(F.filter(tags("meta"), is_refresh), target)
+    base = _attribute(F.regexp_extract("html", r"(?is)<base[\s/][^>]*\bhref\b[^>]*>", 0), "href")
+    links = pages.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link")).where("link <> ''")
+    links = links.withColumn("base", F.when(F.col("base") != "", _absolute(F.col("base"), F.col("url"))))
+    return links.select(F.col("url").alias("src"), _absolute(F.col("link"), F.coalesce("base", "url")).alias("dst")).where("dst is not null")
 
 
 def judge_pages(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:

@@ -210,6 +210,24 @@ def test_url_classes(spark):
     assert url_redirects.judge_pages(df.where("false")).count() == 0
 
 
+def test_page_edges(spark):
+    html = {
+        "http://a.org/p/q?z": '<LINK REL="CANONICAL" HREF="http://b.org/1"><META HTTP-EQUIV="REFRESH" CONTENT="0; URL=http://b.org/2">',
+        "http://a.org/decoy": '<link rel="stylesheet" href="/canonical.css"><link rel=alternate hreflang=de href="http://de.org/canonical"><meta name="x" content="refresh url=http://no.org/"><link href=\'http://b.org/3\' rel=\'canonical\'>',
+        "http://a.org/d/e": '<link rel=canonical href=page.html><link rel=canonical href="../x/./y"><link rel=canonical href="?p=1"><link rel=canonical href="/r?to=http://no.org/"><link rel=canonical href="mailto:a@b">',
+        "http://a.org": '<link rel=canonical href="../x/..">',
+        "http://a.org/base": '<BASE href="/sub/"><link rel=canonical href="x">',
+        "http://a.org/none": None,
+    }
+    df = spark.createDataFrame(list(html.items()), "url string, html string")
+    got = sorted(tuple(r) for r in url_redirects.page_edges(df).collect())
+    assert got == sorted([
+        ("http://a.org/p/q?z", "http://b.org/1"), ("http://a.org/p/q?z", "http://b.org/2"), ("http://a.org/decoy", "http://b.org/3"),
+        ("http://a.org/d/e", "http://a.org/d/page.html"), ("http://a.org/d/e", "http://a.org/x/y"), ("http://a.org/d/e", "http://a.org/d/e?p=1"),
+        ("http://a.org/d/e", "http://a.org/r?to=http://no.org/"), ("http://a.org", "http://a.org/"), ("http://a.org/base", "http://a.org/sub/x"),
+    ])
+
+
 def test_mixing_meets_targets(spark, small):
     docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
     model = mixing_soft.fit(docs, labels)
