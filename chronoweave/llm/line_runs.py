@@ -2,7 +2,9 @@
 
 Each batch of documents becomes one run: a table of line key, number of documents and largest
 document, sorted by key. Runs of a level are compacted into one of the next when `fanout` of them
-have gathered. A later batch merge-anti-joins the runs (`unseen`) before it adds its own.
+have gathered, by a union and a groupBy. dedup_lines() does not merge-anti-join a batch with the
+earlier runs: a key already held must add to its count and may raise its largest document, which an
+anti-join cannot give. `unseen` is that anti-join for callers who ask only which keys are new.
 """
 
 from __future__ import annotations
