@@ -1,6 +1,8 @@
 """Secret scans with a random forest for the removal of false positives (DataFrame operations only).
 
-Candidates are runs of at least 16 characters of keys and tokens that hold a digit. A forest judges
+Candidates are runs of at least 16 characters of keys and tokens that hold a digit and, where an
+assignment or secret word stands right before them, runs of at least 4 without regard to digits. `=` is
+part of a run as trailing padding only, so that it starts at the value of `KEY=value`. A forest judges
 each by its length, the transitions of its characters, how much of it is dictionary words, signs of
 paths, and the words beside it. It is trained by Spark ML, in the JVM, from labelled findings.
 """
@@ -12,8 +14,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SIGNS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{SIGNS}])(?=[A-Za-z+/_=-]*[0-9])[{SIGNS}]{{16,}}"
+SECRET_WORDS = ("api", "auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "pwd", "secret", "token")
+SIGNS = "A-Za-z0-9+/_-"
+#: What stands right before a run that may be short or without a digit; every lookbehind has a fixed width.
+ASSIGNED = "|".join(rf"(?<=[=:]{gap}{q})" for gap in ("", "[ \t]", ">", ">[ \t]") for q in ("", "[\"'`]"))
+NAMED = "|".join(rf"(?<={word}[ \t])|(?<={word}[ \t][\"'`])" for word in SECRET_WORDS)
+CANDIDATE = rf"(?<![{SIGNS}])(?:(?=[A-Za-z+/_-]*[0-9])[{SIGNS}]{{16,}}|(?=[{SIGNS}]{{4}})(?!//)(?:{ASSIGNED}|(?i:{NAMED}))[{SIGNS}]+)(?:={{1,2}}(?![\"'`]?[={SIGNS}]))?"
 #: Characters on either side that are looked at.
 BESIDE = 40
 TREES, DEPTH, SEED = 20, 7, 5
@@ -33,7 +39,6 @@ DICTIONARY = (
     "style summary support system table target task team template test text theme time title tool topic type update upload user "
     "value version video view volume week widget window word work year"
 ).split()
-SECRET_WORDS = ("api", "auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "pwd", "secret", "token")
 BENIGN_WORDS = ("blob", "build", "card", "checksum", "commit", "digest", "etag", "fax", "hash", "isbn", "md5", "phone", "revision", "sha", "tel", "uuid", "version")
 
 FEATURES = (
@@ -47,10 +52,12 @@ def findings(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     parts = has.select(
         "doc_id", *others, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("between")
     )
-    each = parts.select("doc_id", *others, "between", F.posexplode("c").alias("at", "candidate"))
+    each = parts.select("doc_id", *others, "between", "c", F.posexplode("c").alias("at", "candidate"))
     # a match at the very start has an empty piece before it, as at the end
     lead = F.size("between") - 1
-    before, after = F.get("between", F.col("at")), F.get("between", F.col("at") + 1)
+    after = F.get("between", F.col("at") + 1)
+    # a name that is a candidate itself still stands before its value
+    before = F.concat(F.when(F.col("at") > 0, F.get("c", F.col("at") - 1)).otherwise(""), F.get("between", F.col("at")))
     return each.where(lead >= 1).select(
         "doc_id",
         *others,
@@ -109,7 +116,10 @@ def example_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     pick = lambda salt, *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     word = lambda salt: pick(salt, *DICTIONARY)
     number = lambda salt, digits: F.lpad(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(10**digits)).cast("string"), digits, "7")
-    kind = F.pmod(i, F.lit(10))
+    kind = F.pmod(i, F.lit(17))
+    letters = F.translate(hexes, "0123456789", "ghijklmnop")
+    signs = lambda salt: pick(salt, ' = "', '="', ": ", "=", ": '", ":", '": "')
+    closing = pick("r", '"', "\n", " ", "'")
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
     cases = [  # candidate, left, right, label
         (F.substring(hexes, 1, 40), F.concat(word("l"), F.lit(" "), pick("s", "token", "secret", "api_key", "auth", "access-token"), pick("e", ' = "', '="', ": ", "=", ": '")), pick("r", '" ', "\n", " ", "' "), 1),
@@ -122,6 +132,15 @@ def example_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (F.concat_ws("_", word("x"), word("y"), word("z"), number("v", 2)), F.concat(word("l"), pick("s", " ", "/", " = ")), pick("r", ".png", ".html", " ", "("), 0),
         (F.concat(word("x"), F.lit("/"), word("y"), F.lit("/"), word("z"), F.lit("-"), number("v", 3)), pick("s", "https://example.org/", "../", "/usr/share/", " "), pick("r", ".js", " ", "?page=1", ".html"), 0),
         (F.concat(pick("p", "example", "changeme", "placeholder", "test", "dummy"), F.lit("-"), word("x"), F.lit("-"), word("y"), number("v", 2)), F.concat(pick("s", "password", "token", "secret"), F.lit("=")), pick("r", " ", "\n"), 0),
+        # short and digit-free ones
+        (F.substring(base, 1, 10), F.concat(word("l"), F.lit("\n"), pick("s", "password", "db_password", "PASSWD", "pwd", "auth_token", "secret"), signs("e")), closing, 1),
+        (F.concat(pick("p", "AKIA", "ASIA", "AIza"), F.upper(F.substring(letters, 1, 16))), F.concat(pick("s", "aws_access_key_id", "api_key", "ACCESS_KEY", "token"), signs("e")), closing, 1),
+        (F.substring(letters, 1, 14), F.concat(pick("s", "password", "client_secret", "DB_PASSWORD", "passphrase"), signs("e")), closing, 1),
+        (word("x"), F.concat(word("l"), pick("m", "", " password", " token", " key", " secret"), signs("e")), closing, 0),
+        (F.substring(letters, 1, (F.pmod(i, F.lit(7)) + 4).cast("int")), F.concat(word("l"), pick("e", ": ", "=", ":", ' = "', '="', ' "')), pick("r", " ", ". ", ", ", '"'), 0),
+        (F.concat(pick("p", "", "2024-", "1."), number("d", 5)), F.concat(word("l"), signs("e")), closing, 0),
+        # the name that a value is assigned to
+        (F.upper(F.concat_ws("_", F.concat(word("x"), number("v", 1)), word("y"), pick("n", "secret", "token", "key", "value"))), F.concat(word("l"), F.lit("\n")), pick("r", "=", ' = "', ": ", '="', ":"), 0),
     ]
     struct = lambda case: F.struct(case[0].alias("candidate"), case[1].alias("left"), case[2].alias("right"), F.lit(float(case[3])).alias("label"))
     chosen = struct(cases[-1])
