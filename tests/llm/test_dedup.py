@@ -63,13 +63,44 @@ def test_lines(make):
 
 
 def test_line_runs_are_levelled(spark):
-    runs = line_runs.LineRuns(spark, fanout=2)
+    key = lambda x: bytearray(x.encode())
+    runs = line_runs.LineRuns(spark, enough=3, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([("same", k), (f"own{k}", k)], "h string, doc_id bigint"))
+        runs.add(spark.createDataFrame([(key("same"), k), (key("same"), k), (key(f"own{k}"), k), (key("x"), None)], "h binary, doc_id bigint"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert rows_of(runs.stats().where("h = 'same'"), "n_docs", "max_doc") == [(5, 4)]
-    assert rows_of(runs.unseen(spark.createDataFrame([("own1", 9), ("new", 9)], "h string, doc_id bigint")), "h") == [("new",)]
-    assert line_runs.LineRuns(spark).stats().count() == 0
+    stats = {bytes(r["h"]): (r["n_docs"], r["max_doc"]) for r in runs.stats().collect()}
+    assert stats == {b"same": (5, 4), **{f"own{k}".encode(): (1, k) for k in range(5)}}
+    # a settled key goes no further, unless a larger document holds it
+    batch = spark.createDataFrame([(key("same"), 1, 3), (key("own1"), 1, 0), (key("new"), 1, 0)], "h binary, n_docs bigint, max_doc bigint")
+    assert {bytes(r["h"]) for r in runs.unsettled(batch).collect()} == {b"own1", b"new"}
+    assert runs.unsettled(batch.withColumn("max_doc", F.lit(9).cast("bigint"))).count() == 3
+    names = [n for level in runs.levels for n in level]
+    runs.close()
+    assert runs.stats().count() == 0 and not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_line_runs_in_any_order(spark):
+    rng = random.Random(6)
+    docs = [(bytearray(bytes([rng.randrange(30)])), k) for k in range(200) for _ in range(3)]
+    for order in (sorted(range(200)), sorted(range(200), reverse=True), rng.sample(range(200), 200)):
+        runs = line_runs.LineRuns(spark, enough=3, fanout=3)
+        for at in range(0, 200, 40):
+            part = set(order[at : at + 40])
+            runs.add(spark.createDataFrame([d for d in docs if d[1] in part], "h binary, doc_id bigint"))
+        held = defaultdict(set)
+        for h, k in docs:
+            held[bytes(h)].add(k)
+        got = {bytes(r["h"]): (min(r["n_docs"], 3), r["max_doc"]) for r in runs.stats().collect()}
+        assert got == {h: (min(len(k), 3), max(k)) for h, k in held.items()}
+        runs.close()
+
+
+def test_batch_joins_runs_without_dealing_them(spark):
+    runs = line_runs.LineRuns(spark, enough=1, fanout=9)
+    runs.add(spark.createDataFrame([(bytearray(b"a"), 1)], "h binary, doc_id bigint"))
+    plan = runs.unsettled(spark.table(runs.levels[0][0]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    runs.close()
 
 
 def brute_windows(rows, n=13):
