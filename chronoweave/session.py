@@ -52,6 +52,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: A task's Arrow batches to and from Python hold about so many bytes; one row may hold more.
+ARROW_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of ARROW_BYTES, so that a task's memory does not hang on how long rows are.
+
+    The session keeps the bound, as plans take it when they run; a lower one that it has stays.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Actions inside delete their shuffle files when they end, not when the driver's garbage is collected."""
