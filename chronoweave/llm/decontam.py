@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronoweave.llm import wordscan
+from chronoweave.session import map_batches
 
 U = np.uint64
 Q = 10
@@ -211,7 +212,7 @@ def _keep(shared, place: int):
 def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of docs, with all their columns, in which leaks() finds no item."""
     for index in _indexes(benchmark, edits):
-        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+        docs = map_batches(docs, _keep(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
     return docs
 
 
@@ -228,6 +229,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
     for index in _indexes(benchmark, edits):
-        found = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), FOUND_DDL)
+        found = map_batches(texts, _search(spark.sparkContext.broadcast(index)), FOUND_DDL)
         out = found if out is None else out.unionByName(found)
     return out

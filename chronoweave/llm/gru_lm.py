@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronoweave.llm import wordscan
-from chronoweave.session import materialize, tidy_shuffles
+from chronoweave.session import map_batches, materialize, tidy_shuffles
 
 U = np.uint64
 HIDDEN, CLASSES, CLASS_SIZE = 32, 32, 64
@@ -385,7 +385,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     learned = base.where(~held_out())
-    counts = materialize(learned.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = materialize(map_batches(learned, _count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     n_docs = learned.count()
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     train_tokens, distinct = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
@@ -423,7 +423,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         adam.rate *= 0.7
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, vocabulary))
-        sums = learned.select("text").mapInArrow(_local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        sums = map_batches(learned.select("text"), _local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
         with tidy_shuffles(spark):
             rows = sums.collect()
         if rows:
@@ -435,7 +435,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocabulary_logs = np.zeros(VOCABULARY)
     vocabulary_logs[2 : 2 + len(words)] = log10(n[words])
     shared = spark.sparkContext.broadcast((w, vocabulary, hashes[by_hash], log10(n[by_hash]), end_log, vocabulary_logs))
-    scored = materialize(base.mapInArrow(_scored(shared), SCORED).withColumn("row", F.monotonically_increasing_id()))
+    scored = materialize(map_batches(base, _scored(shared), SCORED).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     met = rare.join(counts, "h").groupBy("row").agg(
         F.sum("times").alias("rare_known"),

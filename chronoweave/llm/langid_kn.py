@@ -9,6 +9,7 @@ what texts of the language show in a calibration part of the sample.
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronoweave.llm import wordscan
+from chronoweave.session import map_batches
 
 U = np.uint64
 ORDER = 4
-#: Bounds of the training sample: languages (the most frequent), documents of each, characters of a document.
-MOST_LANGUAGES, DOCS_PER_LANGUAGE, MOST_CHARS = 200, 400, 50_000
+#: Bounds of the training sample: documents of a language, documents in all, characters of a document.
+DOCS_PER_LANGUAGE, SAMPLE_DOCS, MOST_CHARS = 400, 80_000, 50_000
+#: Characters that are looked up together.
+CHUNK = 1 << 18
 #: Of the sampled documents so many in ten are kept for calibration.
 CALIBRATION = 3
 FALSE_REJECTIONS = 0.001
@@ -30,31 +34,45 @@ BREAK, START = 32, 2
 
 
 @functools.cache
-def _folding() -> np.ndarray:
-    """Lower-case letter for each code point; all else is a word break."""
-    table = np.full(0x110000, BREAK, np.uint32)
+def _folding() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case letter or itself if it is a mark, all else is a word break; and whether it is a mark."""
+    table, marks = np.full(0x110000, BREAK, np.uint32), np.zeros(0x110000, bool)
     for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
             low = c.lower()
             table[code] = ord(low[0])
-    return table
+        elif unicodedata.category(c) in ("Mn", "Mc"):
+            table[code], marks[code] = code, True
+    return table, marks
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded characters of each row without repeated breaks, and row offsets. Each row begins with a break."""
+    """Folded characters of each row without repeated breaks, and row offsets. Each row begins with a break.
+
+    Marks (vowel signs, accents) belong to the letter before them; without one they are breaks.
+    """
     codes, at = wordscan.code_points(data, offsets)
-    folded = np.insert(_folding()[codes], at[:-1], BREAK)
+    table, marks = _folding()
+    folded = np.insert(table[codes], at[:-1], BREAK)
     at = at + np.arange(len(at))
+    mark = np.insert(marks[codes], (at - np.arange(len(at)))[:-1], False)
+    if mark.any():
+        base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(folded))))  # a row begins with a break, so a base is in the row
+        folded[mark & (folded[base] == BREAK)] = BREAK
     keep = folded != BREAK
     keep[1:] |= folded[:-1] != BREAK
     keep[at[:-1]] = True
     return folded[keep], np.r_[0, np.cumsum(keep)][at]
 
 
-def gram_hashes(chars: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
+def places(offsets: np.ndarray) -> np.ndarray:
+    """The place of each character in its row."""
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+
+
+def gram_hashes(chars: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     """For k = 1..order the hash of the k characters that end at each position; before a row are START signs."""
-    place = np.arange(len(chars)) - np.repeat(offsets[:-1], np.diff(offsets))
     out = []
     x = chars.astype(U) + U(1)
     seen = wordscan.mix(x)
@@ -68,14 +86,24 @@ def gram_hashes(chars: np.ndarray, offsets: np.ndarray, order: int) -> list[np.n
     return out
 
 
+def context_hashes(chars: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 0..order-1 the hash of the k characters before each position."""
+    before = np.full(len(chars), START, np.uint32)
+    before[1:] = chars[:-1]
+    before[place == 0] = START
+    # the grams that end one place before; START signs stand before a row's first place too
+    return [np.full(len(chars), U(1)), *gram_hashes(before, place, order - 1)]
+
+
 class CharModel:
     """Interpolated Kneser-Ney of one language in sorted hash arrays."""
 
     def __init__(self, chars: np.ndarray, offsets: np.ndarray, order: int = ORDER, alphabet: int = 1000):
         self.order = order
-        grams = gram_hashes(chars, offsets, order)
+        place = places(offsets)
+        grams = gram_hashes(chars, place, order)
         # a context is the gram without its last character: the hash of what ends one place before
-        contexts = [np.full(len(chars), U(1))] + [self.context(chars, offsets, k) for k in range(1, order)]
+        contexts = context_hashes(chars, place, order)
         self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.context_keys: list[np.ndarray] = []
@@ -104,22 +132,6 @@ class CharModel:
             lower = self._reader(k)
         self.floor = float(np.log2(1 / alphabet))
 
-    @staticmethod
-    def context(chars: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-        """The hash of the k characters before each position."""
-        before = np.empty(len(chars), np.uint32)
-        before[1:] = chars[:-1]
-        before[offsets[:-1][np.diff(offsets) > 0]] = START
-        place = np.arange(len(chars)) - np.repeat(offsets[:-1], np.diff(offsets))
-        x = before.astype(U) + U(1)
-        seen = wordscan.mix(x)
-        for j in range(1, k):
-            back = np.full(len(chars), START + 1, U)
-            back[j:] = x[:-j]
-            back[place < j] = START + 1
-            seen = wordscan.mix(seen * U(0x9E3779B97F4A7C15) + back)
-        return seen
-
     def _reader(self, k: int):
         keys, logs = self.keys[k], self.logs[k]
         return lambda h, _: 2.0 ** logs[np.searchsorted(keys, h)]
@@ -161,20 +173,29 @@ class LanguageModels:
             self.limits.append(float(np.quantile(mine[n > 0], 1 - FALSE_REJECTIONS)) + MARGIN_BITS)
 
     def bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character of each row under each language, and the number of letters and breaks."""
+        """Bits per character of each row under each language, and the number of letters and breaks.
+
+        Looked up CHUNK characters and one language at a time, whatever the length of a text and the number of languages.
+        """
         all_bits, all_n = [], []
         data, offsets = wordscan.column_bytes(column)
-        for i, j in wordscan.pieces(offsets, 1 << 20):
+        for i, j in wordscan.pieces(offsets, CHUNK):
             chars, at = letters(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            grams = gram_hashes(chars, at, self.order)
-            _, first, inverse = np.unique(grams[-1], return_index=True, return_inverse=True)
-            contexts = [np.full(len(first), U(1))] + [CharModel.context(chars, at, k)[first] for k in range(1, self.order)]
-            seen = [g[first] for g in grams]
-            table = np.stack([m.log2(seen, contexts) for m in self.models], 1) if self.models else np.zeros((len(first), 0))
-            per_char = table[inverse]
-            sums = np.add.reduceat(per_char, at[:-1], 0)
             n = np.diff(at)
-            all_bits.append(-sums / n[:, None])
+            sums = np.zeros((len(self.models), j - i))
+            for start in range(0, len(chars), CHUNK):
+                low, stop = max(0, start - self.order), min(len(chars), start + CHUNK)  # with the characters before that grams reach
+                row = np.searchsorted(at, np.arange(low, stop), "right") - 1
+                part, place, skip = chars[low:stop], np.arange(low, stop) - at[row], start - low
+                grams = gram_hashes(part, place, self.order)
+                contexts = context_hashes(part, place, self.order)
+                _, first, inverse = np.unique(grams[-1][skip:], return_index=True, return_inverse=True)
+                contexts, seen = [c[skip:][first] for c in contexts], [g[skip:][first] for g in grams]
+                first_row, row = int(row[skip]), row[skip:] - row[skip]
+                for k, m in enumerate(self.models):
+                    got = np.bincount(row, m.log2(seen, contexts)[inverse])
+                    sums[k, first_row : first_row + len(got)] += got
+            all_bits.append(-(sums / n).T)
             all_n.append(np.where(n > 1, n, 0))
         if not all_n:
             return np.zeros((0, len(self.names))), np.zeros(0, np.int64)
@@ -197,22 +218,26 @@ class LanguageModels:
         return names.tolist(), score, rejected, np.where(n > 0, low, 0.0)
 
 
-def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> LanguageModels:
-    """Models from a bounded sample of docs (doc_id, text, lang): rows with text and lang only.
+def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, most: int = SAMPLE_DOCS) -> LanguageModels:
+    """Models of every language in docs (doc_id, text, lang), from a bounded sample of the rows with text, lang and doc_id.
 
-    The sample takes documents by a hash of their id, about per_language of each of the
-    MOST_LANGUAGES most frequent languages, of at most MOST_CHARS characters; the driver holds it.
+    The sample takes documents of at most MOST_CHARS characters by a hash of their id, about
+    per_language of each language, fewer where there are so many languages that it would exceed
+    `most` documents in all; the driver holds it. More than `most` languages are refused.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(F.length("text").between(1, MOST_CHARS))
     rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("draw") < int(min(1.0, per_language / r["count"]) * (1 << 30))))
+    counts = rows.groupBy("lang").count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
+    each = min(per_language, max(1, most // max(1, len(counts))))
     sample: dict[str, list] = {r["lang"]: [] for r in counts}
-    for r in rows.where(chosen).collect():
+    # a language's share of draws; at small counts a hash may draw none, so some more are taken and cut below
+    share = {r["lang"]: int(min(1.0, (each + 6 * each**0.5 + 6) / r["count"]) * (1 << 30)) for r in counts}
+    limits = docs.sparkSession.createDataFrame(list(share.items()), "lang string, upto bigint")
+    for r in rows.join(F.broadcast(limits), "lang").where("draw < upto").select("lang", "text", "draw").collect():
         sample[r["lang"]].append((r["draw"], r["text"]))
-    return LanguageModels({k: [t for _, t in sorted(v)[:per_language]] for k, v in sample.items()})
+    return LanguageModels({k: [t for _, t in sorted(v)[:each]] for k, v in sample.items()})
 
 
 def _predict(models):
@@ -235,7 +260,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double, rejected boolean, bits double")
+    return map_batches(rows, _predict(shared), "doc_id bigint, lang_pred string, score double, rejected boolean, bits double")
 
 
 def _keep(models, place: int):
@@ -249,7 +274,7 @@ def _keep(models, place: int):
 def accepted(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """The rows of docs, with all their columns, whose text is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+    return map_batches(docs, _keep(shared, docs.columns.index("text")), docs.schema)
 
 
 def fold_of(folds: int):
@@ -257,7 +282,7 @@ def fold_of(folds: int):
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """The fold 2 of 4 by crc32 of the id is held out of training."""
+    """identify() with held_out: the fold 2 of 4 by crc32 of the id is held out of training; a null id is not."""
     models = fit(docs.where(fold_of(4) != 2))
     out = identify(docs, models)
-    return out.select("doc_id", (fold_of(4) == 2).alias("held_out"), "lang_pred", "score", "rejected", "bits")
+    return out.select("doc_id", F.coalesce(fold_of(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected", "bits")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoweave.session import map_batches
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
 PES_HEADER = 14
@@ -219,7 +221,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     docs: doc_id and text; other columns are passed over. Null and empty texts are one unit of
     bytes 255. Equal texts give equal media; a text is one value, however long.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_mux_rows, "doc_id bigint, n_bytes bigint, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _mux_rows, "doc_id bigint, n_bytes bigint, media binary")
 
 
 READ = pa.schema(
@@ -257,4 +259,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
     media: doc_id, n_bytes, media. A null or broken stream gives an error and what could be read.
     """
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_rows, READ_DDL)
+    return map_batches(media.select("doc_id", "n_bytes", "media"), _read_rows, READ_DDL)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chronoweave.llm import wordscan
-from chronoweave.session import materialize
+from chronoweave.session import map_batches, materialize
 
 U = np.uint64
 BITS = 14
@@ -205,7 +205,7 @@ class Mix:
         spark = docs.sparkSession
         self.domains = model.domains or ["all"]
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        members = rows.mapInArrow(_members(spark.sparkContext.broadcast(model)), "doc_id bigint, n_tokens bigint, posteriors array<double>")
+        members = map_batches(rows, _members(spark.sparkContext.broadcast(model)), "doc_id bigint, n_tokens bigint, posteriors array<double>")
         self.members = materialize(members)
         k = len(self.domains)
         share = np.array([targets.get(d, 0.0) for d in self.domains])
@@ -216,7 +216,7 @@ class Mix:
             return
         sums = self.members.select("n_tokens", "posteriors").where("n_tokens > 0")
         for _ in range(STEPS):
-            rows = sums.mapInArrow(_moments(self.start, self.steps), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+            rows = map_batches(sums, _moments(self.start, self.steps), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
             flat = np.array([r["x"] for r in sorted(rows, key=lambda r: r["at"])])
             off = flat[:k] - self.targets
             before, self.residual = self.residual, float(np.abs(off).max() / max(self.targets.max(), 1.0))
@@ -235,11 +235,11 @@ class Mix:
         """The rows of docs, with all their columns, and mix_rate."""
         shared = docs.sparkSession.sparkContext.broadcast(model)
         schema = T.StructType([*docs.schema.fields, T.StructField("mix_rate", T.DoubleType())])
-        return docs.mapInArrow(_rated(shared, docs.columns.index("text"), self.start, self.steps), schema)
+        return map_batches(docs, _rated(shared, docs.columns.index("text"), self.start, self.steps), schema)
 
     def rates(self) -> DataFrame:
         """doc_id, n_tokens, posteriors, rate."""
-        return self.members.mapInArrow(_rates(self.start, self.steps), "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double")
+        return map_batches(self.members, _rates(self.start, self.steps), "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double")
 
 
 def copies(rate: Column) -> Column:

@@ -10,8 +10,8 @@ sets.
 
 Equal sets are one class from the start, and only one member of each goes on. Keys shared by
 several classes are buckets. Pairs of a bucket are not all emitted: in each round a bucket compares
-its members with one pivot, the pivot leaves, and the bucket ends when its members are in one
-component. Members that stay apart, such as documents that share a common passage or heavily edited
+its members with one pivot, first the member that is in most buckets, then the one with most links;
+the pivot leaves, and the bucket ends when its members are in one component. Members that stay apart, such as documents that share a common passage or heavily edited
 copies, go on to a last join. It meets those that share a rare shingle; for all others the shingles
 besides the rare ones bound what they can share, so most pairs are out at once, and the rest compare
 along their rare symbols: of two signatures under the distance, each has an equal symbol among its
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm import wordscan
 from chronoweave.llm.graph import components
-from chronoweave.session import materialize, release
+from chronoweave.session import map_batches, materialize, release
 
 U = np.uint64
 SYMBOLS = 72
@@ -89,20 +89,26 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(h: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit sums that tell sets apart."""
+    out = []
+    for x in (h ^ U(0x5851F42D4C957F2D), h + U(0x14057B7EF767814F)):
+        sums = np.r_[U(0), np.cumsum(wordscan.mix(x))]
+        out.append(pa.array((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)))
+    return out[0], out[1]
+
+
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, h, offsets in shingle_sets(batch.column(1), size):
                 n = np.diff(offsets)
-                sums = np.r_[U(0), np.cumsum(wordscan.mix(h ^ U(0x5851F42D4C957F2D)))]
-                other = np.r_[U(0), np.cumsum(wordscan.mix(h + U(0x14057B7EF767814F)))]
                 sig = signatures(h, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, len(n)),
                         pa.array(n.astype(np.int64)),
-                        pa.array((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)),
-                        pa.array((other[offsets[1:]] - other[offsets[:-1]]).view(np.int64)),
+                        *digests(h, offsets),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "s1", "s2", "sig"],
@@ -164,7 +170,8 @@ def _sets(size: int):
         for batch in batches:
             for i, h, offsets in shingle_sets(batch.column(1), size):
                 sets = [h[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+                columns = [batch.column(0).slice(i, len(sets)), *digests(h, offsets), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["least", "s1", "s2", "hashes"])
 
     return run
 
@@ -191,9 +198,23 @@ class _Links:
 
     def __init__(self, reps: DataFrame, sets: DataFrame, similarity: float, most: int):
         self.reps, self.sets, self.similarity, self.most = reps.select("rep", "sig", "n_shingles"), sets, similarity, most
+        self.identity = reps.select("rep", "s1", "s2")
         self.links: list[DataFrame] = []
         self.comps: DataFrame | None = None
 
+    def join_rows_of_one_id(self, signed: DataFrame) -> DataFrame | None:
+        """Link the sets of rows that share a doc_id: doc_id, rep of the ids with several sets, an empty one included; None if there is none."""
+        bounds = [f(c).alias(f"{name}_{c}") for c in ("s1", "s2") for name, f in (("lo", F.min), ("hi", F.max))]
+        several = signed.where("doc_id is not null").groupBy("doc_id").agg(*bounds).where("lo_s1 < hi_s1 or lo_s2 < hi_s2").select("doc_id")
+        rows = signed.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct()
+        rows = materialize(rows.join(self.identity, ["s1", "s2"]).select("doc_id", "rep"))
+        if rows.isEmpty():
+            return None
+        first = materialize(rows.groupBy("doc_id").agg(F.min("rep").alias("v")))
+        self.links.append(materialize(rows.join(first, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")))
+        self.comps = materialize(components(self.links[0]))
+        return first.withColumnRenamed("v", "rep")
+
     def labelled(self, rows: DataFrame, column: str, as_: str) -> DataFrame:
         """rows with the component of a column."""
         if self.comps is None:
@@ -205,7 +226,7 @@ class _Links:
         """Those of the pairs a, b that are under the distance."""
         sig = lambda c: self.reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
         both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-        return both.mapInArrow(_distances, "a bigint, b bigint, dist int").where(F.col("dist") <= self.most).select("a", "b")
+        return map_batches(both, _distances, "a bigint, b bigint, dist int").where(F.col("dist") <= self.most).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Test near pairs on the full sets and follow the links."""
@@ -214,7 +235,7 @@ class _Links:
             return
         one = lambda c: self.sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"set_{c}"))
         both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
-        self.links.append(materialize(both.mapInArrow(_confirmed(self.similarity), "u bigint, v bigint")))
+        self.links.append(materialize(map_batches(both, _confirmed(self.similarity), "u bigint, v bigint")))
         self.comps = materialize(components(reduce(DataFrame.unionByName, self.links)))
         release(pairs)
 
@@ -237,7 +258,7 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
     """
     percent = round(links.similarity * 100)
     sets = links.sets.join(among, "rep", "left_semi").select("rep", "hashes")
-    hashes = materialize(sets.mapInArrow(_spread, "h bigint, rep bigint"))
+    hashes = materialize(map_batches(sets, _spread, "h bigint, rep bigint"))
     holders = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where(F.col("k") <= RARE)
     holders = materialize(holders)
     few = materialize(hashes.join(holders.where("k > 1").select("h"), "h"))
@@ -252,7 +273,8 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
         """Pairs with an equal `on` among rows (on, rep, all of a rep's in order) whose bounds allow the similarity; each once, at its first."""
         one = rows.join(held.select("rep", "n_shingles", bound, "c"), "rep")
         mixed = one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on)
-        one = one.join(mixed, on)
+        # written, so that the join deals both sides anew and can split a frequent value's rows
+        one = materialize(one.join(mixed, on))
         two = one.select(on, *[F.col(x).alias(y) for x, y in (("rep", "b"), ("c", "cb"), ("n_shingles", "nb"), (bound, "other"), ("all", "all_b"))])
         most = F.least(bound, "other")
         can = 100 * most >= percent * (F.col("n_shingles") + F.col("nb") - most)
@@ -260,7 +282,7 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
         return one.join(two, on).where((F.col("rep") > F.col("b")) & (F.col("c") != F.col("cb")) & can & once).select(F.col("rep").alias("a"), "b")
 
     wide = held.where(100 * F.col("common") >= percent * F.col("n_shingles")).select("rep", "sig")
-    symbols = materialize(wide.mapInArrow(_symbols, "symbol bigint, rep bigint"))
+    symbols = materialize(map_batches(wide, _symbols, "symbol bigint, rep bigint"))
     counts = symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     w = Window.partitionBy("rep")
     rank = F.row_number().over(w.orderBy("n", "symbol")) + SYMBOLS - F.count(F.lit(1)).over(w)
@@ -278,31 +300,32 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     A-Z are lower-cased; a set is the distinct shingles of `size` words, or with fewer words the
     whole sequence as one. Documents link from the given Jaccard similarity on, counted in whole
     percent; component_id is the smallest doc_id reachable. Null, empty or blank texts have an
-    empty set and stay alone, as do rows without an id (component_id null). Rows that share a
-    doc_id are one node. Shingles are compared by 64-bit hashes.
+    empty set and link with nothing, as do rows without an id (component_id null). Rows that share a
+    doc_id are one document, linked by what any of them links with. Shingles are compared by 64-bit
+    hashes.
     """
     chunks = chunk_count(similarity)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = materialize(base.mapInArrow(_signed(size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"))
+    signed = materialize(map_batches(base, _signed(size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"))
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    by_set = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = materialize(by_set)
-    keys = reps.select("rep", "sig").mapInArrow(_keys(chunks), "key bigint, rep bigint")
+    # a number for each different set
+    by_set = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    reps = materialize(by_set.withColumn("rep", F.monotonically_increasing_id()))
+    keys = map_batches(reps.select("rep", "sig"), _keys(chunks), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     buckets = materialize(keys.join(shared.select("key"), "key"))
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(
-        base.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_sets(size), "rep bigint, hashes binary")
-        .where(F.length("hashes") > 0)
-        .dropDuplicates(["rep"])
-    )
+    places = materialize(buckets.groupBy("rep").agg(F.count(F.lit(1)).alias("places")))
+    wanted = materialize(reps.join(places, "rep", "left_semi").select("rep", "least", "s1", "s2"))
+    texts = base.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = map_batches(texts, _sets(size), "least bigint, s1 bigint, s2 bigint, hashes binary")
+    sets = materialize(made.join(wanted, ["least", "s1", "s2"]).select("rep", "hashes").dropDuplicates(["rep"]))
     links = _Links(reps, sets, similarity, 2 * chunks - 1)
-    for _ in range(ROUNDS):
-        # a pivot is the member with most links so far, then the smallest
-        at = buckets
-        degrees = links.degrees()
-        at = at.withColumn("degree", F.lit(0)) if degrees is None else at.join(degrees, "rep", "left").fillna(0, ["degree"])
+    of_id = links.join_rows_of_one_id(signed)
+    for k in range(ROUNDS):
+        # a pivot is the member in most buckets, later with most links, then the first
+        rank = links.degrees() if k else None
+        rank = places.withColumnRenamed("places", "degree") if rank is None else rank
+        at = buckets.join(rank, "rep", "left").fillna(0, ["degree"])
         pivots = at.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("p"))
         pivots = materialize(pivots.select("key", (-F.col("p.minus")).alias("pivot")))
         pairs = buckets.join(pivots, "key").where("rep <> pivot")
@@ -318,19 +341,16 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
             break
     else:
         links.confirm(_leftover_pairs(links, buckets.select("rep").distinct(), 2 * chunks))
-    # every row to its set's representative, and on to its component
-    member = real.select("doc_id", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
-    moved = links.labelled(member.distinct(), "rep", "c")
-    twice = moved.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    split = twice.where("lo < hi")  # rows that share an id but not the set join their components
-    if not split.isEmpty():
-        ends = moved.where("doc_id <> c").select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
-        links.comps = components(ends)
-        twice = links.labelled(real.select("doc_id").distinct(), "doc_id", "lo")
-    found = twice.select("doc_id", F.col("lo").alias("component_id"))
-    return signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    # a component's smallest doc_id, then every row by its set; written, so that joins can split large groups
+    labelled = links.labelled(reps.select("rep", "least", "s1", "s2"), "rep", "c")
+    low = materialize(labelled.groupBy("c").agg(F.min("least").alias("component_id")))
+    named = materialize(labelled.join(low, "c").select("rep", "s1", "s2", "component_id"))
+    found = signed.select("doc_id", "n_shingles", "s1", "s2").join(named.drop("rep"), ["s1", "s2"], "left")
+    component = F.coalesce("component_id", "doc_id")
+    if of_id is not None:  # empty texts of an id that has others
+        by_id = of_id.join(named, "rep").select("doc_id", F.col("component_id").alias("by_id"))
+        found, component = found.join(by_id, "doc_id", "left"), F.coalesce("component_id", "by_id", "doc_id")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def class_digest(docs: DataFrame, size: int = 3, similarity: float = 0.85) -> DataFrame:

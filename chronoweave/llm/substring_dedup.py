@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm import wordscan
-from chronoweave.session import materialize, tidy_shuffles
+from chronoweave.session import map_batches, materialize, tidy_shuffles
 
 SHARD = 1 << 16
 U = np.uint64
@@ -191,21 +191,21 @@ def repeated_places(docs: DataFrame, n: int = 13, max_sketch_bytes: int = 64 <<
     width = min(max(SHARD, -(-2 * about // SHARD) * SHARD), max_sketch_bytes * 8 // 2 // SHARD * SHARD)
     hot = max(1000, about // 100_000)  # so there are at most some 100,000 hot windows
     shards = 2 * width // SHARD
-    counted = base.mapInArrow(_sketches(width, n), "shard int, cells binary, more binary, counts binary")
+    counted = map_batches(base, _sketches(width, n), "shard int, cells binary, more binary, counts binary")
     merged = counted.groupBy("shard").applyInPandas(_merge(hot), "shard int, bits binary, heavy binary")
     with tidy_shuffles(spark):
         repeats = Repeats(width, merged.collect(), shards)
     seen = spark.sparkContext.broadcast(repeats)
     keys, least = np.zeros(0, U), np.zeros(0, np.int64)
     if len(repeats.heavy):
-        found = base.mapInArrow(_hot_windows(seen, n), "h bigint, h2 bigint, least bigint")
+        found = map_batches(base, _hot_windows(seen, n), "h bigint, h2 bigint, least bigint")
         rows = found.groupBy("h", "h2").agg(F.min("least").alias("least")).collect()
         a, b, c = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         keys = a.view(U) ^ wordscan.mix(b.view(U))
         order = np.argsort(keys)
         keys, least = keys[order], c[order]
     known = spark.sparkContext.broadcast((keys, least))
-    rows = base.mapInArrow(_candidates(seen, known, n), "h bigint, tail bigint, doc_id bigint, decided boolean")
+    rows = map_batches(base, _candidates(seen, known, n), "h bigint, tail bigint, doc_id bigint, decided boolean")
     rows = rows.withColumn("h2", F.shiftright("tail", 32)).withColumn("place", F.col("tail").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     # decided rows need no group: dealt by document, they stay out of the hot window's partition
     group = Window.partitionBy("h", "h2", F.when(F.col("decided"), F.col("doc_id")))
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, max_sketch_bytes: int = 64 << 2
     """
     drops = materialize(repeated_places(docs, n, max_sketch_bytes))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return base.join(drops, "doc_id", "left").mapInArrow(_cut(n), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    return map_batches(base.join(drops, "doc_id", "left"), _cut(n), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
 def removal_digest(docs: DataFrame, **options) -> DataFrame:

@@ -182,6 +182,15 @@ def test_near_duplicates(make, size, similarity, rounds, monkeypatch):
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
 
 
+def test_rows_of_one_id_link_by_all_their_texts(make):
+    rng = random.Random(9)
+    a, b, c = (sentences(rng, 150).split(" ") for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, near(c)), (5, " "), (None, " ".join(a)), (6, None)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup_hamming.class_digest(make(rows)).where("doc_id is not null").collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6)]
+
+
 def test_chain_of_near_copies(make):
     """Neighbours are similar, ends are not: one component all the same."""
     rng = random.Random(8)

@@ -73,12 +73,73 @@ def test_kneser_ney_sums_to_one():
                 chars = np.append(chars[:-1], np.uint32(32)) if chars[-1] != 32 else chars
             chars = np.array([32, *map(ord, f"{context}{c}")], np.uint32)
             at = np.array([0, len(chars)])
-            grams = [g[-1:] for g in langid_kn.gram_hashes(chars, at, langid_kn.ORDER)]
-            contexts = [np.full(1, np.uint64(1))] + [langid_kn.CharModel.context(chars, at, k)[-1:] for k in range(1, langid_kn.ORDER)]
+            place = langid_kn.places(at)
+            grams = [g[-1:] for g in langid_kn.gram_hashes(chars, place, langid_kn.ORDER)]
+            contexts = [c[-1:] for c in langid_kn.context_hashes(chars, place, langid_kn.ORDER)]
             total += 2 ** float(model.log2(grams, contexts)[0])
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def plain_kneser_ney(texts, order, alphabet):
+    """log2 p(c | context) by dictionaries, with the discounts of the model."""
+    rows = [chr(langid_kn.START) * (order - 1) + t for t in texts]
+    grams = [Counter(r[i - k : i + 1] for r in rows for i in range(order - 1, len(r))) for k in range(order)]
+    levels = []
+    for k in range(order):
+        counts = grams[k] if k == order - 1 else Counter(g[1:] for g in grams[k + 1])
+        ones, twos = (sum(1 for c in counts.values() if c == n) for n in (1, 2))
+        d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+        total, kinds = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        levels.append((counts, d, total, kinds))
+
+    def p(context, c, k):
+        below = 1 / alphabet if k == 0 else p(context[1:], c, k - 1)
+        counts, d, total, kinds = levels[k]
+        if not total[context]:
+            return below
+        return max(counts[context + c] - d, 0) / total[context] + d * kinds[context] / total[context] * below
+
+    return lambda r, i: math.log2(p(r[i - order + 1 : i], r[i], order - 1))
+
+
+def test_kneser_ney_against_plain_counts(monkeypatch):
+    rng = random.Random(5)
+    texts = [" " + "".join(rng.choice("abcab ") for _ in range(40)).strip().replace("  ", " ").replace("  ", " ") for _ in range(30)]
+    model = langid_kn.LanguageModels({"x": texts})
+    fit = [t for i, t in enumerate(texts) if i % 10 >= langid_kn.CALIBRATION]
+    plain = plain_kneser_ney(fit, langid_kn.ORDER, 1000)
+    probe = [*texts[:5], " abz", " c"]
+    pad = chr(langid_kn.START) * (langid_kn.ORDER - 1)
+    want = [-sum(plain(pad + t, i) for i in range(len(pad), len(pad + t))) / len(t) for t in probe]
+    for chunk in (7, langid_kn.CHUNK):
+        monkeypatch.setattr(langid_kn, "CHUNK", chunk)
+        assert model.bits(pa.array([t[1:] for t in probe]))[0][:, 0] == pytest.approx(want, abs=1e-9)
+
+
+def test_letters_keep_marks():
+    def folded(t):
+        chars, at = langid_kn.letters(*wordscan.column_bytes(pa.array(t)))
+        return ["".join(map(chr, chars[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    assert folded(["नमस्ते दुनिया", "E\u0301a", "\u0301x \u0301\u0301", None, "A1b"]) == [" नमस्ते दुनिया", " e\u0301a", " x ", " ", " a b"]
+
+
+def test_every_language_is_learned(make, spark):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice(chr(0x4E00 + 40 * (k % 250)) + chr(0x4E01 + 40 * (k % 250))) for _ in range(30)), f"l{k % 250}") for k in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = langid_kn.fit(df)
+    assert len(models.names) == 250
+    got = {r["doc_id"]: r["lang_pred"] for r in langid_kn.identify(df, models).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) > 2450
+    assert len(langid_kn.fit(df, most=500).names) == 250
+    with pytest.raises(ValueError, match="languages"):
+        langid_kn.fit(df, most=100)
+
+
 def test_language_accuracy(spark, small):
     docs = table(spark, small, "documents")
     got = {r["doc_id"]: r for r in langid_kn.language_digest(docs).collect()}
@@ -96,6 +157,7 @@ def test_language_hard_cases(make, spark, small):
     for k in (1, 2, 3, 4, len(HARD) + 1):
         assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0 and got[k]["rejected"]
     assert got[len(HARD) + 2]["rejected"] and got[len(HARD) + 2]["lang_pred"] != "und"
+    assert [r["held_out"] for r in langid_kn.language_digest(make([(None, "a b")])).collect()] == [False]
     empty = make([(1, "x")]).where("false")
     assert {r["lang_pred"] for r in langid_kn.identify(make(["abc"]), langid_kn.fit(empty)).collect()} == {"und"}
 
