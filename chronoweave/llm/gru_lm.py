@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -32,7 +33,7 @@ END, UNKNOWN = 0, 1
 #: Steps of a window of backpropagation, rounds over all tokens of all documents.
 WINDOW, ROUNDS = 32, 1
 #: Documents that are trained on side by side.
-BATCH = 64
+BATCH = 256
 #: Documents (of at most MOST_CHARS characters, WARM_TOKENS tokens of each) that the driver warms up on, and epochs.
 WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
@@ -51,115 +52,169 @@ def new_weights(log_unigram: np.ndarray, seed: int = 11) -> dict[str, np.ndarray
     by_class = (top + np.log(np.exp(groups - top).sum(1, keepdims=True)))[:, 0]
     return {
         "embed": small(VOCABULARY, HIDDEN),
-        "input": small(HIDDEN, 3 * HIDDEN),
+        "input": small(3 * HIDDEN, HIDDEN),
         "bias": np.zeros(3 * HIDDEN, f32),
-        "state": small(HIDDEN, 3 * HIDDEN),
-        "class": small(HIDDEN, CLASSES),
+        "state": small(3 * HIDDEN, HIDDEN),
+        "class": small(CLASSES, HIDDEN),
         "class_bias": by_class.astype(f32),
         "word": small(VOCABULARY, HIDDEN),
         "word_bias": (groups - by_class[:, None]).reshape(-1).astype(f32),
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+# Arrays hold features by tokens, so that gates are whole blocks and sums over features run along tokens.
 
 
-def _step(gx: np.ndarray, h: np.ndarray, w: dict) -> tuple:
-    gh = h @ w["state"]
-    gates = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    c = gh[:, 2 * HIDDEN :]
-    n = np.tanh(gx[:, 2 * HIDDEN :] + r * c)
-    return n + z * (h - n), z, r, n, c
+def inputs(w: dict) -> np.ndarray:
+    """What each word of the vocabulary adds to the gates."""
+    return w["input"] @ w["embed"].T + w["bias"][:, None]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _step(gx: np.ndarray, h: np.ndarray, w: dict) -> tuple:
+    gh = w["state"] @ h
+    gates = gx[: 2 * HIDDEN] + gh[: 2 * HIDDEN]
+    gates *= f32(0.5)
+    np.tanh(gates, out=gates)
+    gates *= f32(0.5)
+    gates += f32(0.5)
+    z, r, c = gates[:HIDDEN], gates[HIDDEN:], gh[2 * HIDDEN :]
+    n = r * c
+    n += gx[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, c
+
+
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities down the columns of x, which it overwrites, and the log probability of each column's target."""
+    at = np.arange(x.shape[1])
+    x -= x.max(0)
+    logp = x[target, at]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return x, logp - np.log(total)
+
+
+def _outputs(h: np.ndarray, target: np.ndarray, w: dict) -> Iterator[tuple]:
+    """States sorted by their target's class: first the class's part, then each class's words: place, targets, probabilities, logs, weights, biases."""
+    group = target // CLASS_SIZE
+    ends = np.searchsorted(group, np.arange(CLASSES + 1))
+    p, logp = _softmax(w["class"] @ h + w["class_bias"][:, None], group)
+    yield slice(0, len(target)), group, p, logp, "class", slice(0, CLASSES)
+    for c in range(CLASSES):
+        a, b = int(ends[c]), int(ends[c + 1])
+        if a < b:
+            part, inner = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), target[a:b] - c * CLASS_SIZE
+            p, logp = _softmax(w["word"][part] @ h[:, a:b] + w["word_bias"][part, None], inner)
+            yield slice(a, b), inner, p, logp, "word", part
 
 
 def log_output(h: np.ndarray, target: np.ndarray, w: dict) -> np.ndarray:
     """Natural log probability of the targets given states."""
-    group = target // CLASS_SIZE
-    order = np.argsort(group, kind="stable")
-    h, sorted_target = h[order], target[order]
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    out = _log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(h)), group[order]]
-    for c in range(CLASSES):
-        a, b = ends[c], ends[c + 1]
-        if a < b:
-            at = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            out[a:b] += _log_softmax(h[a:b] @ w["word"][at].T + w["word_bias"][at])[np.arange(b - a), sorted_target[a:b] - c * CLASS_SIZE]
+    order = np.argsort(target, kind="stable")
+    out = np.zeros(len(target), h.dtype)
+    for at, _, _, logp, _, _ in _outputs(np.take(h, order, 1), target[order], w):
+        out[at] += logp
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int) -> np.ndarray:
+    """An array that the next call with this name uses again."""
+    size = math.prod(shape)
+    if name not in _rooms or len(_rooms[name]) < size or _rooms[name].dtype != f32:
+        _rooms[name] = np.empty(size, f32)
+    return _rooms[name][:size].reshape(shape)
+
+
 def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w: dict) -> tuple[dict, float, np.ndarray]:
     """Gradients of the mean loss of a window (steps x batch), the summed loss, and the last state."""
     steps, batch = x.shape
-    gx = (w["embed"][x] @ w["input"] + w["bias"]).astype(f32)
-    kept, states = [], []
+    h2 = 2 * HIDDEN
+    table, state = inputs(w), w["state"].copy()
+    table[:h2] *= f32(0.5)  # a gate is 0.5 + 0.5 * tanh(half its sum)
+    state[:h2] *= f32(0.5)
+    hs, zr = _room("states", steps + 1, HIDDEN, batch), _room("gates", steps, h2, batch)
+    ns, cs, one, gx, gh = _room("candidates", steps, HIDDEN, batch), _room("inner", steps, HIDDEN, batch), _room("one", HIDDEN, batch), _room("gx", 3 * HIDDEN, batch), _room("gh", 3 * HIDDEN, batch)
+    hs[0] = h
     for t in range(steps):
-        last = h
-        h, z, r, n, c = _step(gx[t], h, w)
-        kept.append((last, z, r, n, c))
-        states.append(h)
-    hs = np.stack(states).reshape(-1, HIDDEN)
-    target, m = y.reshape(-1), mask.reshape(-1).astype(f32)
-    scale = m / max(1.0, float(m.sum()))
+        np.take(table, x[t], 1, out=gx, mode="clip")
+        np.matmul(state, hs[t], out=gh)
+        gates, n, new = zr[t], ns[t], hs[t + 1]
+        np.add(gx[:h2], gh[:h2], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= f32(0.5)
+        gates += f32(0.5)
+        cs[t] = gh[h2:]
+        np.multiply(gates[HIDDEN:], cs[t], out=n)
+        n += gx[h2:]
+        np.tanh(n, out=n)
+        np.subtract(hs[t], n, out=new)
+        new *= gates[:HIDDEN]
+        new += n
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    group = target // CLASS_SIZE
-    order = np.argsort(group, kind="stable")
+    # the outputs, tokens sorted by target
+    target = y.reshape(-1).astype(np.int16)
+    scale = mask.reshape(-1).astype(f32) / f32(max(1, int(mask.sum())))
+    order = np.argsort(target, kind="stable")
+    flat = _room("flat", HIDDEN, steps, batch)
+    flat[:] = hs[1:].transpose(1, 0, 2)
+    so, ss, loss = np.take(flat.reshape(HIDDEN, -1), order, 1, out=_room("sorted", HIDDEN, steps * batch), mode="clip"), scale[order], 0.0
+    dso = _room("dsorted", HIDDEN, steps * batch)
+    counted = mask.reshape(-1)[order]
+    for at, inner, d, logp, name, part in _outputs(so, target[order].astype(np.int64), w):
+        loss -= float(logp[counted[at]].sum(dtype=np.float64))
+        d[inner, np.arange(len(inner))] -= 1
+        d *= ss[at]
+        g[name][part] = d @ so[:, at].T
+        g[f"{name}_bias"][part] = d.sum(1)
+        if name == "class":
+            np.matmul(w[name][part].T, d, out=dso)
+        else:
+            dso[:, at] += w[name][part].T @ d
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    so, st, ss, sg = hs[order], target[order], scale[order], group[order]
-    ends = np.searchsorted(sg, np.arange(CLASSES + 1))
-    logp = _log_softmax(so @ w["class"] + w["class_bias"])
-    at = np.arange(len(so))
-    loss = logp[at, sg].copy()
-    d = np.exp(logp)
-    d[at, sg] -= 1
-    d *= ss[:, None]
-    g["class"], g["class_bias"] = so.T @ d, d.sum(0)
-    dh = d @ w["class"].T
-    for c in range(CLASSES):
-        a, b = ends[c], ends[c + 1]
-        if a < b:
-            part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-            logp = _log_softmax(so[a:b] @ w["word"][part].T + w["word_bias"][part])
-            at, inner = np.arange(b - a), st[a:b] - c * CLASS_SIZE
-            loss[a:b] += logp[at, inner]
-            d = np.exp(logp)
-            d[at, inner] -= 1
-            d *= ss[a:b, None]
-            g["word"][part], g["word_bias"][part] = d.T @ so[a:b], d.sum(0)
-            dh[a:b] += d @ w["word"][part]
-    dhs = dh[back].reshape(steps, batch, HIDDEN)
-    dgx, dgh = np.empty_like(gx), np.empty_like(gx)
-    carry, state_back = np.zeros((batch, HIDDEN), f32), np.ascontiguousarray(w["state"].T)
+    np.take(dso, back, 1, out=flat.reshape(HIDDEN, -1), mode="clip")
+    # back through time: dgx to the gates' inputs; dgh, which differs in the candidate, to the states' part
+    dgx, dgh, carry = _room("dgx", 3 * HIDDEN, steps, batch), _room("dgh", 3 * HIDDEN, batch), np.zeros((HIDDEN, batch), f32)
+    rest, state_back, d, dz, dr = _room("rest", HIDDEN, batch), np.ascontiguousarray(w["state"].T), _room("d", HIDDEN, batch), dgh[:HIDDEN], dgh[HIDDEN:h2]
     for t in range(steps - 1, -1, -1):
-        last, z, r, n, c = kept[t]
-        d = dhs[t] + carry
-        kept_z = d * z
-        dn = (d - kept_z) * (1 - n * n)
-        dgh[t, :, :HIDDEN] = dgx[t, :, :HIDDEN] = kept_z * (last - n) * (1 - z)
-        dgh[t, :, HIDDEN : 2 * HIDDEN] = dgx[t, :, HIDDEN : 2 * HIDDEN] = dn * c * r * (1 - r)
-        dgx[t, :, 2 * HIDDEN :] = dn
-        dgh[t, :, 2 * HIDDEN :] = dn * r
-        carry = kept_z + dgh[t] @ state_back
-    before = np.concatenate([kept[0][0][None], np.stack(states[:-1])]) if steps > 1 else kept[0][0]
-    g["state"] = before.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
-    flat = dgx.reshape(-1, 3 * HIDDEN)
-    e = w["embed"][x.reshape(-1)]
-    g["input"], g["bias"] = e.T @ flat, flat.sum(0)
-    de = flat @ w["input"].T
-    by_word = np.argsort(x.reshape(-1), kind="stable")
-    ids = x.reshape(-1)[by_word]
+        last, z, r, n = hs[t], zr[t, :HIDDEN], zr[t, HIDDEN:], ns[t]
+        np.add(flat[:, t], carry, out=d)
+        np.multiply(d, z, out=carry)
+        d -= carry
+        np.multiply(n, n, out=rest)
+        np.subtract(f32(1), rest, out=rest)
+        d *= rest
+        np.subtract(last, n, out=dz)
+        dz *= carry
+        np.subtract(f32(1), z, out=one)
+        dz *= one
+        np.multiply(d, r, out=dgh[h2:])
+        np.subtract(f32(1), r, out=one)
+        np.multiply(dgh[h2:], cs[t], out=dr)
+        dr *= one
+        dgx[:h2, t], dgx[h2:, t] = dgh[:h2], d
+        g["state"] += dgh @ last.T
+        carry += state_back @ dgh
+    # by word: the gates' gradients of its places, then of its embedding
+    words = x.reshape(-1).astype(np.int16)
+    by_word = np.argsort(words, kind="stable")
+    ids = words[by_word]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    g["embed"][ids[first]] = np.add.reduceat(de[by_word], first, 0)
-    return g, -float((loss * m[order]).sum()), h
+    sums = np.add.reduceat(np.take(dgx.reshape(3 * HIDDEN, -1), by_word, 1, out=_room("by_word", 3 * HIDDEN, steps * batch), mode="clip"), first, 1)
+    ids = ids[first]
+    g["bias"] = sums.sum(1)
+    g["input"] = sums @ w["embed"][ids]
+    g["embed"][ids] = sums.T @ w["input"]
+    return g, loss, hs[steps].copy()
 
 
 class Adam:
@@ -187,7 +242,7 @@ def train(w: dict, sequences: Iterable[np.ndarray], adam: Adam) -> tuple[float,
     A lane runs through one sequence, window by window with the state carried, and then takes the next.
     """
     sequences = iter(sequences)
-    lanes, h, loss, seen = [], np.zeros((0, HIDDEN), f32), 0.0, 0
+    lanes, h, loss, seen = [], np.zeros((HIDDEN, 0), f32), 0.0, 0
     while True:
         going = [k for k, (s, at) in enumerate(lanes) if at < len(s)]
         lanes = [lanes[k] for k in going]
@@ -195,7 +250,8 @@ def train(w: dict, sequences: Iterable[np.ndarray], adam: Adam) -> tuple[float,
         lanes += new
         if not lanes:
             return loss, seen
-        h = np.concatenate([h[going], np.zeros((len(new), HIDDEN), f32)])
+        if new or len(going) < h.shape[1]:
+            h = np.concatenate([h[:, going], np.zeros((HIDDEN, len(new)), f32)], 1)
         steps = min(WINDOW, max(len(s) - at for s, at in lanes))
         x = np.full((steps, len(lanes)), END)
         y, mask = np.zeros(x.shape, np.int64), np.zeros(x.shape, bool)
@@ -212,45 +268,71 @@ def train(w: dict, sequences: Iterable[np.ndarray], adam: Adam) -> tuple[float,
         lanes = [(s, at + steps) for s, at in lanes]
 
 
+class Places:
+    """The place of each of some distinct 64-bit hashes, by linear probing."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(8, (4 * len(hashes)).bit_length())
+        self.shift = U(64 - bits)
+        order = np.argsort(hashes)
+        slots = (hashes[order] >> self.shift).astype(np.int64)
+        at = np.maximum.accumulate(slots - np.arange(len(slots))) + np.arange(len(slots))
+        room = max((1 << bits), int(at[-1]) + 1 if len(at) else 0) + 1
+        self.keys, self.place = np.zeros(room, U), np.full(room, -1, np.int32)
+        self.keys[at], self.place[at] = hashes[order], order
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, -1 for others."""
+        slots = (h >> self.shift).astype(np.int64)
+        out = self.place[slots]
+        wrong = np.flatnonzero((self.keys[slots] != h) & (out >= 0))
+        while len(wrong):
+            slots = slots[wrong] + 1 if len(slots) == len(h) else slots + 1
+            place, same = self.place[slots], self.keys[slots] == h[wrong]
+            out[wrong] = np.where(same, place, -1)
+            on = ~same & (place >= 0)
+            wrong, slots = wrong[on], slots[on]
+        return out
+
+
 class Vocabulary:
     """Network ids of the most frequent words, by their hashes."""
 
     def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.keys = hashes[self.order]
+        self.places = Places(hashes)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(h), UNKNOWN, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.order[at] + 2, UNKNOWN)
+        at = self.places.find(h)
+        return np.where(at >= 0, at.astype(np.int64) + 2, UNKNOWN)
 
 
 def log_states(tokens: np.ndarray, first: np.ndarray, w: dict) -> np.ndarray:
     """Natural log probability of each row's tokens (network ids, the end included), rows given by offsets."""
-    table = (w["embed"] @ w["input"] + w["bias"]).astype(f32)
+    table = inputs(w)
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
     counts, starts = counts[order], first[:-1][order]
     out = np.zeros(len(counts))
-    h = np.zeros((len(counts), HIDDEN), f32)
+    h = np.zeros((HIDDEN, len(counts)), f32)
     last = np.full(len(counts), END)
     longest = int(counts[0]) if len(counts) else 0
+    # rows with more than t tokens, for each t
+    running = len(counts) - np.cumsum(np.bincount(counts, minlength=longest + 1))[: longest + 1]
     t = 0
     while t < longest:
-        active = int(np.searchsorted(-counts, -t, "left"))  # rows with more than t tokens
         # fewer steps at once while many rows run, so that states stay small
-        stop = min(longest, t + max(4, min(SCORE_WINDOW, 200_000 // active)))
+        stop = min(longest, t + max(4, min(SCORE_WINDOW, 200_000 // int(running[t]))))
         states, targets, owners = [], [], []
         for s in range(t, stop):
-            active = int(np.searchsorted(-counts, -s, "left"))
-            h = h[:active]
-            h = _step(table[last[:active]], h, w)[0]
+            active = int(running[s])
+            if active < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :active])
+            h = _step(np.take(table, last[:active], 1), h, w)[0]
             last = tokens[starts[:active] + s]
             states.append(h)
             targets.append(last)
             owners.append(np.arange(active))
-        logs = log_output(np.concatenate(states), np.concatenate(targets), w)
+        logs = log_output(np.concatenate(states, 1), np.concatenate(targets), w)
         out += np.bincount(np.concatenate(owners), logs, len(counts))
         t = stop
     back = np.empty_like(out)
@@ -296,13 +378,20 @@ def _sequences(column: pa.Array, vocabulary: Vocabulary, most: int | None, draws
             yield seq
 
 
+def _long_first(sequences: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """Sequences over four times the mean length before the others, so that few lanes are left alone with one at the end."""
+    sequences = list(sequences)
+    limit = 4 * sum(map(len, sequences)) / max(1, len(sequences))
+    return sorted(sequences, key=lambda s: len(s) <= limit)
+
+
 def _local(shared, rate: float):
     """Weights that a task trains from the shared ones: rows of (place, weight times tokens), and the tokens at place -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, vocabulary = shared.value
         w = {k: v.copy() for k, v in w.items()}
-        whole = (seq.astype(np.int16) for batch in batches for seq in _sequences(batch.column(0), vocabulary, None))
+        whole = (seq for batch in batches for seq in _long_first(s.astype(np.int16) for s in _sequences(batch.column(0), vocabulary, None)))
         seen = train(w, whole, Adam(w, rate))[1]
         if seen:
             flat = np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype(np.float64) * seen
@@ -317,15 +406,16 @@ def _scored(shared):
     """Per row: tokens, hot tokens, base score of hot tokens and of the vocabulary's, network's log10, unknown tokens, rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, vocabulary, hot_keys, hot_logs, end_log, vocabulary_logs = shared.value
+        w, hot_words, hot_logs, end_log, vocabulary_logs = shared.value
         for batch in batches:
             tokens, firsts, base, parts = [], [np.zeros(1, np.int64)], 0, []
             for _, _, words in wordscan.scan(batch.column(1), True):
                 n = len(words.counts)
-                ids = vocabulary.ids(words.hash)
                 rows = words.rows()
-                at = np.minimum(np.searchsorted(hot_keys, words.hash), max(len(hot_keys) - 1, 0))
-                hot = hot_keys[at] == words.hash if len(hot_keys) else np.zeros(len(ids), bool)
+                at = hot_words.find(words.hash)
+                hot = at >= 0
+                # hot words are in the order of their counts, and the vocabulary is the first of them
+                ids = np.where(hot & (at < VOCABULARY - 2), at.astype(np.int64) + 2, UNKNOWN)
                 known = np.bincount(rows[hot], minlength=n)
                 base_hot = np.bincount(rows[hot], hot_logs[at[hot]], n)
                 base_in = np.bincount(rows, vocabulary_logs[ids], n) + end_log
@@ -404,7 +494,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     order = np.lexsort((hashes, -n))
     words = order[: VOCABULARY - 2]
     vocabulary = Vocabulary(hashes[words])
-    by_hash = np.argsort(hashes)
     end_log = float(log10(n_docs))
     in_network = 10**end_log + (10 ** log10(n[words])).sum()
     rest = float(np.log10(max(1 - in_network, 1e-12)))
@@ -434,7 +523,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 w[name], at = flat[at : at + w[name].size].reshape(w[name].shape), at + w[name].size
     vocabulary_logs = np.zeros(VOCABULARY)
     vocabulary_logs[2 : 2 + len(words)] = log10(n[words])
-    shared = spark.sparkContext.broadcast((w, vocabulary, hashes[by_hash], log10(n[by_hash]), end_log, vocabulary_logs))
+    shared = spark.sparkContext.broadcast((w, Places(hashes[order]), log10(n[order]), end_log, vocabulary_logs))
     scored = materialize(map_batches(base, _scored(shared), SCORED).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     met = rare.join(counts, "h").groupBy("row").agg(

@@ -202,6 +202,50 @@ def test_leaks_against_brute_force():
     assert hits > 20
 
 
+@pytest.mark.parametrize("hits", [50, 1 << 19])
+def test_periodic_leaks_against_brute_force(hits, monkeypatch):
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(4)
+    items = ["=" * 60, "-=" * 30, "chapter one " + "=" * 50 + " chapter two", "ab" * 20 + "the end of it all" + "ab" * 20, "no no no no no no no no no no no no no no no"]
+    items.append(" ".join("".join(rng.choice("cdefgh") for _ in range(rng.randint(2, 7))) for _ in range(25)) + " " + "=" * 30)
+    index = decontam.ItemIndex(list(enumerate(items)))
+    assert index.periodic and len(index.periodic) < len(items)
+    hits = 0
+    for _ in range(80):
+        parts = [rng.choice(["=" * rng.randint(1, 80), "-=" * rng.randint(1, 40), "ab" * rng.randint(1, 30), "no " * rng.randint(1, 20), "some words here "]) for _ in range(rng.randint(1, 3))]
+        k = rng.randrange(len(items))
+        s = list(items[k])
+        for _ in range(rng.randint(0, int(index.budgets[k]) + 2)):
+            s[rng.randrange(len(s))] = rng.choice("xyz=-")
+        text = " ".join([*parts, "".join(s), *parts[:1]])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        plain = decontam.folded(raw, np.array([0, len(raw)]))[0].tobytes().decode()
+        found = {x[1]: x[3] for x in decontam.find(index, raw, np.array([0, len(raw)]))}
+        want = {i: e for i, item in enumerate(items) if (e := fewest_edits(item, plain)) <= index.budgets[i]}
+        assert found == want
+        hits += len(want)
+    assert hits > 60
+
+
+def test_repetitive_text_takes_bounded_memory():
+    import tracemalloc
+
+    index = decontam.ItemIndex([(1, "=" * 60), (2, "results " + "=" * 60 + " and discussion of the results"), (3, "-=" * 40)])
+    raw = np.frombuffer(b"=" * (1 << 20), np.uint8)
+    tracemalloc.start()
+    assert [(x[1], x[3]) for x in decontam.find(index, raw, np.array([0, len(raw)]))] == [(0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_short_items_are_whole_words():
+    index = decontam.ItemIndex([(1, "Who wrote Hamlet?"), (2, "the capital of France"), (3, "too short")])
+    texts = {"he asked: who  wrote\nHamlet? yes": [0], "the capital of frances": [], "breathe capital of France": [], "frances, the capital of france and the capital of France.": [1], "too short": []}
+    for text, want in texts.items():
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert [x[1] for x in decontam.find(index, raw, np.array([0, len(raw)]))] == want
+
+
 def test_leaks(make, spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch from the hill"
     bench = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (4, item[::-1])], "item_id bigint, text string")
@@ -334,7 +378,7 @@ def test_gru_gradients(monkeypatch):
     x, y = rng.integers(0, 2048, (5, 3)), rng.integers(0, 2048, (5, 3))
     mask = np.ones((5, 3), bool)
     mask[4, 1] = False
-    h = rng.standard_normal((3, gru_lm.HIDDEN)) * 0.1
+    h = rng.standard_normal((gru_lm.HIDDEN, 3)) * 0.1
     g = gru_lm.gradients(x, y, mask, h, w)[0]
     for k in w:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -347,23 +391,49 @@ def test_gru_gradients(monkeypatch):
         assert (losses[0] - losses[1]) / 2e-5 / mask.sum() == pytest.approx(g[k][at], rel=1e-5)
 
 
+def plain_gru(w, tokens):
+    """Natural log probability of tokens after an end, one number at a time, from the definition."""
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    n, size = gru_lm.HIDDEN, gru_lm.CLASS_SIZE
+    h, last, total = [0.0] * n, gru_lm.END, 0.0
+    for t in tokens:
+        e = w["embed"][last]
+        gx = [dot(w["input"][k], e) + float(w["bias"][k]) for k in range(3 * n)]
+        gh = [dot(w["state"][k], h) for k in range(3 * n)]
+        z, r = [sigmoid(gx[k] + gh[k]) for k in range(n)], [sigmoid(gx[n + k] + gh[n + k]) for k in range(n)]
+        c = [math.tanh(gx[2 * n + k] + r[k] * gh[2 * n + k]) for k in range(n)]
+        h = [(1 - z[k]) * c[k] + z[k] * h[k] for k in range(n)]
+        group = int(t) // size
+        classes = [dot(w["class"][k], h) + float(w["class_bias"][k]) for k in range(gru_lm.CLASSES)]
+        words_ = [dot(w["word"][k], h) + float(w["word_bias"][k]) for k in range(group * size, (group + 1) * size)]
+        total += classes[group] - math.log(sum(map(math.exp, classes))) + words_[t - group * size] - math.log(sum(map(math.exp, words_)))
+        last = int(t)
+    return total
+
+
 def test_gru_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(1)
     w = gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY)))
-    h = rng.standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
-    logs = gru_lm.log_output(np.repeat(h, gru_lm.VOCABULARY, 0), np.arange(gru_lm.VOCABULARY), w)
+    h = rng.standard_normal((gru_lm.HIDDEN, 1)).astype(np.float32)
+    logs = gru_lm.log_output(np.repeat(h, gru_lm.VOCABULARY, 1), np.arange(gru_lm.VOCABULARY), w)
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    rows = [rng.integers(0, 2048, n) for n in (1, 500, 3, 130)]
+    w = {k: v + (rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in w.items()}
+    rows = [rng.integers(0, 2048, n) for n in (1, 150, 3, 0, 90)]
     first = np.r_[0, np.cumsum([len(r) for r in rows])]
     together = gru_lm.log_states(np.concatenate(rows), first, w)
-    for r, got in zip(rows, together, strict=True):  # one step at a time
-        h, last, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.END, 0.0
-        table_ = (w["embed"] @ w["input"] + w["bias"]).astype(np.float32)
-        for t in r:
-            h = gru_lm._step(table_[[last]], h, w)[0]
-            total += float(gru_lm.log_output(h, np.array([t]), w)[0])
-            last = t
-        assert got == pytest.approx(total, rel=1e-4)
+    for r, got in zip(rows, together, strict=True):
+        assert got == pytest.approx(plain_gru(w, r), rel=1e-4)
+
+
+def test_places():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500, 3000):
+        keys = np.unique(np.r_[rng.integers(0, 2**64, n, np.uint64), np.arange(n // 2, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(n // 2, dtype=np.uint64)])
+        rng.shuffle(keys)
+        probe = np.r_[keys, rng.integers(0, 2**64, 2000, np.uint64), np.uint64(2**64 - 1), np.uint64(0)]
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert gru_lm.Places(keys).find(probe).tolist() == [at.get(int(k), -1) for k in probe]
 
 
 def test_lm_trains_on_every_token(monkeypatch):
@@ -379,7 +449,7 @@ def test_lm_trains_on_every_token(monkeypatch):
     calls = []
 
     def kept(x, y, mask, h, w):
-        calls.append((x[:, 0], y[:, 0], h[0].copy()))
+        calls.append((x[:, 0], y[:, 0], h[:, 0].copy()))
         return {k: np.zeros_like(v) for k, v in w.items()}, 0.0, h + 1
 
     monkeypatch.setattr(gru_lm, "gradients", kept)
