@@ -228,9 +228,9 @@ class _Links:
         both = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
         return map_batches(both, _distances, "a bigint, b bigint, dist int").where(F.col("dist") <= self.most).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Test near pairs on the full sets and follow the links."""
-        pairs = materialize(self.near(pairs))
+    def confirm(self, pairs: DataFrame, bounded: bool = False) -> None:
+        """Test near pairs on the full sets and follow the links. Pairs that bounds on their sets left over need no distance."""
+        pairs = materialize(pairs if bounded else self.near(pairs))
         if pairs.isEmpty():
             return
         one = lambda c: self.sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"set_{c}"))
@@ -340,7 +340,7 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
         if buckets.isEmpty():
             break
     else:
-        links.confirm(_leftover_pairs(links, buckets.select("rep").distinct(), 2 * chunks))
+        links.confirm(_leftover_pairs(links, buckets.select("rep").distinct(), 2 * chunks), bounded=True)
     # a component's smallest doc_id, then every row by its set; written, so that joins can split large groups
     labelled = links.labelled(reps.select("rep", "least", "s1", "s2"), "rep", "c")
     low = materialize(labelled.groupBy("c").agg(F.min("least").alias("component_id")))
