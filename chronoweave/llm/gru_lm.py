@@ -39,8 +39,8 @@ WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
 HOT_WORDS = 131_072
 SMOOTH = 0.1
-#: Steps that are scored together.
-SCORE_WINDOW = 64
+#: Steps and tokens that are scored together.
+SCORE_WINDOW, SCORE_TOKENS = 64, 16_384
 f32 = np.float32
 
 
@@ -87,53 +87,52 @@ def _step(gx: np.ndarray, h: np.ndarray, w: dict) -> tuple:
     return new, z, r, n, c
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities down the columns of x, which it overwrites, and the log probability of each column's target."""
-    at = np.arange(x.shape[1])
+_rooms: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int) -> np.ndarray:
+    """An array that the next call with this name uses again."""
+    size = math.prod(shape)
+    if name not in _rooms or len(_rooms[name]) < size or _rooms[name].dtype != f32:
+        _rooms[name] = np.empty(size, f32)
+    return _rooms[name][:size].reshape(shape)
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the outputs in each column of states (in room that the next call uses again), and the log probability of its target."""
+    x = np.matmul(weights, h, out=_room("outputs", len(weights), h.shape[1]))
+    x += bias[:, None]
     x -= x.max(0)
-    logp = x[target, at]
+    logp = x[target, np.arange(len(target))]
     np.exp(x, out=x)
     total = x.sum(0)
-    x /= total
+    x *= 1 / total
     return x, logp - np.log(total)
 
 
 def _outputs(h: np.ndarray, target: np.ndarray, w: dict) -> Iterator[tuple]:
-    """States sorted by their target's class: first the class's part, then each class's words: place, targets, probabilities, logs, weights, biases."""
+    """States sorted by their target's class: first the class's part, then each class's words: place, targets, probabilities, logs, weights, their rows."""
     group = target // CLASS_SIZE
     ends = np.searchsorted(group, np.arange(CLASSES + 1))
-    p, logp = _softmax(w["class"] @ h + w["class_bias"][:, None], group)
-    yield slice(0, len(target)), group, p, logp, "class", slice(0, CLASSES)
+    yield slice(0, len(target)), group, *_softmax(w["class"], w["class_bias"], h, group), "class", slice(0, CLASSES)
     for c in range(CLASSES):
         a, b = int(ends[c]), int(ends[c + 1])
         if a < b:
             part, inner = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), target[a:b] - c * CLASS_SIZE
-            p, logp = _softmax(w["word"][part] @ h[:, a:b] + w["word_bias"][part, None], inner)
-            yield slice(a, b), inner, p, logp, "word", part
+            yield slice(a, b), inner, *_softmax(w["word"][part], w["word_bias"][part], h[:, a:b], inner), "word", part
 
 
 def log_output(h: np.ndarray, target: np.ndarray, w: dict) -> np.ndarray:
     """Natural log probability of the targets given states."""
-    order = np.argsort(target, kind="stable")
+    order = np.argsort(target.astype(np.int16), kind="stable")
     out = np.zeros(len(target), h.dtype)
-    for at, _, _, logp, _, _ in _outputs(np.take(h, order, 1), target[order], w):
+    for at, _, _, logp, _, _ in _outputs(np.take(h, order, 1, mode="clip"), target[order], w):
         out[at] += logp
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-_rooms: dict[str, np.ndarray] = {}
-
-
-def _room(name: str, *shape: int) -> np.ndarray:
-    """An array that the next call with this name uses again."""
-    size = math.prod(shape)
-    if name not in _rooms or len(_rooms[name]) < size or _rooms[name].dtype != f32:
-        _rooms[name] = np.empty(size, f32)
-    return _rooms[name][:size].reshape(shape)
-
-
 def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w: dict) -> tuple[dict, float, np.ndarray]:
     """Gradients of the mean loss of a window (steps x batch), the summed loss, and the last state."""
     steps, batch = x.shape
@@ -142,7 +141,7 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w:
     table[:h2] *= f32(0.5)  # a gate is 0.5 + 0.5 * tanh(half its sum)
     state[:h2] *= f32(0.5)
     hs, zr = _room("states", steps + 1, HIDDEN, batch), _room("gates", steps, h2, batch)
-    ns, cs, one, gx, gh = _room("candidates", steps, HIDDEN, batch), _room("inner", steps, HIDDEN, batch), _room("one", HIDDEN, batch), _room("gx", 3 * HIDDEN, batch), _room("gh", 3 * HIDDEN, batch)
+    ns, cs, gx, gh = _room("candidates", steps, HIDDEN, batch), _room("inner", steps, HIDDEN, batch), _room("gx", 3 * HIDDEN, batch), _room("gh", 3 * HIDDEN, batch)
     hs[0] = h
     for t in range(steps):
         np.take(table, x[t], 1, out=gx, mode="clip")
@@ -178,7 +177,7 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w:
         if name == "class":
             np.matmul(w[name][part].T, d, out=dso)
         else:
-            dso[:, at] += w[name][part].T @ d
+            dso[:, at] += np.matmul(w[name][part].T, d, out=_room("part", HIDDEN, d.shape[1]))
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     np.take(dso, back, 1, out=flat.reshape(HIDDEN, -1), mode="clip")
@@ -186,24 +185,22 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w:
     dgx, dgh, carry = _room("dgx", 3 * HIDDEN, steps, batch), _room("dgh", 3 * HIDDEN, batch), np.zeros((HIDDEN, batch), f32)
     rest, state_back, d, dz, dr = _room("rest", HIDDEN, batch), np.ascontiguousarray(w["state"].T), _room("d", HIDDEN, batch), dgh[:HIDDEN], dgh[HIDDEN:h2]
     for t in range(steps - 1, -1, -1):
-        last, z, r, n = hs[t], zr[t, :HIDDEN], zr[t, HIDDEN:], ns[t]
+        z, r, n = zr[t, :HIDDEN], zr[t, HIDDEN:], ns[t]
         np.add(flat[:, t], carry, out=d)
         np.multiply(d, z, out=carry)
-        d -= carry
+        d -= carry  # to the candidate, as the state is candidate + z * (last state - candidate)
+        np.subtract(hs[t + 1], n, out=dz)
+        dz *= d
         np.multiply(n, n, out=rest)
         np.subtract(f32(1), rest, out=rest)
         d *= rest
-        np.subtract(last, n, out=dz)
-        dz *= carry
-        np.subtract(f32(1), z, out=one)
-        dz *= one
         np.multiply(d, r, out=dgh[h2:])
-        np.subtract(f32(1), r, out=one)
-        np.multiply(dgh[h2:], cs[t], out=dr)
-        dr *= one
+        np.subtract(f32(1), r, out=rest)
+        rest *= cs[t]
+        np.multiply(dgh[h2:], rest, out=dr)
         dgx[:h2, t], dgx[h2:, t] = dgh[:h2], d
-        g["state"] += dgh @ last.T
-        carry += state_back @ dgh
+        g["state"] += dgh @ hs[t].T
+        carry += np.matmul(state_back, dgh, out=rest)
     # by word: the gates' gradients of its places, then of its embedding
     words = x.reshape(-1).astype(np.int16)
     by_word = np.argsort(words, kind="stable")
@@ -236,36 +233,47 @@ class Adam:
             w[k] -= f32(rate) * self.m[k] / (np.sqrt(self.v[k]) + f32(1e-8))
 
 
-def train(w: dict, sequences: Iterable[np.ndarray], adam: Adam) -> tuple[float, int]:
-    """One pass over all tokens of sequences (targets; each begins in the state after an end). Loss and tokens.
+def train(w: dict, chunks: Iterable[list[np.ndarray]], adam: Adam) -> tuple[float, int]:
+    """One pass over all tokens of chunks of sequences (targets; each begins in the state after an end). Loss and tokens.
 
     A lane runs through one sequence, window by window with the state carried, and then takes the next.
     """
-    sequences = iter(sequences)
-    lanes, h, loss, seen = [], np.zeros((HIDDEN, 0), f32), 0.0, 0
+    chunks, waiting = iter(chunks), []
+    # what lanes read: an end, then a sequence; at: place of the next input; end: place after the last target
+    read, at, end = np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, loss, seen = np.zeros((HIDDEN, 0), f32), 0.0, 0
     while True:
-        going = [k for k, (s, at) in enumerate(lanes) if at < len(s)]
-        lanes = [lanes[k] for k in going]
-        new = [(s, 0) for s in islice(sequences, BATCH - len(lanes))]
-        lanes += new
-        if not lanes:
+        going = np.flatnonzero(at + 1 < end)
+        at, end = at[going], end[going]
+        if len(going) < h.shape[1]:
+            h = h[:, going]
+        while len(at) < BATCH:
+            if not waiting:
+                chunk = next(chunks, None)
+                if chunk is None:
+                    break
+                left = [read[a:b] for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+                parts = [*left, *[x for s in chunk for x in (np.zeros(1, np.int16), s)]]
+                read = np.concatenate(parts).astype(np.int16) if parts else read
+                sizes = np.array([len(x) for x in left], np.int64)
+                end = np.cumsum(sizes)
+                at = end - sizes
+                stops = int(sizes.sum()) + np.cumsum(np.array([len(s) + 1 for s in chunk], np.int64))
+                waiting = [(int(b) - len(s) - 1, int(b)) for s, b in zip(chunk, stops, strict=True) if len(s)][::-1]
+                continue
+            new = [waiting.pop() for _ in range(min(BATCH - len(at), len(waiting)))]
+            at, end = (np.concatenate([old, np.array(x, np.int64)]) for old, x in zip((at, end), zip(*new, strict=True), strict=True))
+            h = np.concatenate([h, np.zeros((HIDDEN, len(new)), f32)], 1)
+        if not len(at):
             return loss, seen
-        if new or len(going) < h.shape[1]:
-            h = np.concatenate([h[:, going], np.zeros((HIDDEN, len(new)), f32)], 1)
-        steps = min(WINDOW, max(len(s) - at for s, at in lanes))
-        x = np.full((steps, len(lanes)), END)
-        y, mask = np.zeros(x.shape, np.int64), np.zeros(x.shape, bool)
-        for k, (s, at) in enumerate(lanes):
-            part = s[at : at + steps]
-            y[: len(part), k], mask[: len(part), k] = part, True
-            x[1 : len(part), k] = part[:-1]
-            if at:
-                x[0, k] = s[at - 1]
-        g, part_loss, h = gradients(x, y, mask, h, w)
+        steps = min(WINDOW, int((end - at).max()) - 1)
+        place = at + np.arange(steps)[:, None]
+        mask = place + 1 < end
+        place = np.minimum(place, len(read) - 2)
+        g, part_loss, h = gradients(read[place].astype(np.int64), read[place + 1].astype(np.int64), mask, h, w)
         n = int(mask.sum())
         adam.step(w, g, n / (BATCH * WINDOW))
-        loss, seen = loss + part_loss, seen + n
-        lanes = [(s, at + steps) for s, at in lanes]
+        loss, seen, at = loss + part_loss, seen + n, at + steps
 
 
 class Places:
@@ -321,13 +329,13 @@ def log_states(tokens: np.ndarray, first: np.ndarray, w: dict) -> np.ndarray:
     t = 0
     while t < longest:
         # fewer steps at once while many rows run, so that states stay small
-        stop = min(longest, t + max(4, min(SCORE_WINDOW, 200_000 // int(running[t]))))
+        stop = min(longest, t + max(1, min(SCORE_WINDOW, SCORE_TOKENS // int(running[t]))))
         states, targets, owners = [], [], []
         for s in range(t, stop):
             active = int(running[s])
             if active < h.shape[1]:
                 h = np.ascontiguousarray(h[:, :active])
-            h = _step(np.take(table, last[:active], 1), h, w)[0]
+            h = _step(np.take(table, last[:active], 1, mode="clip"), h, w)[0]
             last = tokens[starts[:active] + s]
             states.append(h)
             targets.append(last)
@@ -370,7 +378,7 @@ def _sequences(column: pa.Array, vocabulary: Vocabulary, most: int | None, draws
     for i, j, words in wordscan.scan(column, True):
         ids = vocabulary.ids(words.hash)
         for k in range(j - i):
-            seq = np.append(ids[words.first[k] : words.first[k + 1]], END)
+            seq = np.append(ids[words.first[k] : words.first[k + 1]], END).astype(np.int16)
             if most and len(seq) > most:
                 at = int(draws[row]) % (len(seq) - most + 1)
                 seq = seq[at : at + most]
@@ -391,7 +399,7 @@ def _local(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, vocabulary = shared.value
         w = {k: v.copy() for k, v in w.items()}
-        whole = (seq for batch in batches for seq in _long_first(s.astype(np.int16) for s in _sequences(batch.column(0), vocabulary, None)))
+        whole = (_long_first(_sequences(batch.column(0), vocabulary, None)) for batch in batches)
         seen = train(w, whole, Adam(w, rate))[1]
         if seen:
             flat = np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype(np.float64) * seen
@@ -508,7 +516,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     adam = Adam(w, 4e-3)
     for epoch in range(WARM_EPOCHS):
         draws = np.random.default_rng(epoch).integers(0, 1 << 30, len(sample))
-        train(w, list(_sequences(pa.array(sample, pa.string()), vocabulary, WARM_TOKENS, draws)), adam)
+        train(w, [list(_sequences(pa.array(sample, pa.string()), vocabulary, WARM_TOKENS, draws))], adam)
         adam.rate *= 0.7
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, vocabulary))

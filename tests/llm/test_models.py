@@ -355,19 +355,41 @@ def test_mixing_meets_targets(spark, small):
     model = mixing_soft.fit(docs, labels)
     m = mixing_soft.Mix(docs, model)
     rows = m.rates().collect()
-    assert len(rows) == docs.count() and min(r["rate"] for r in rows) >= 0
+    assert len(rows) == docs.count() and min(r["rate"] for r in rows) >= 0 and m.fits and m.settled
     got = sum(np.array(r["posteriors"]) * r["rate"] * r["n_tokens"] for r in rows)
     assert np.allclose(got, m.targets, rtol=1e-3, atol=1e-3 * m.targets.max())
     hard = mixing_soft.Mix(docs, model, {"q1t0": 0.999, "q0t1": 0.001}, keep=0.2)
     assert hard.residual < 0.05 and min(r["rate"] for r in hard.rates().collect()) >= 0
 
 
+@pytest.mark.parametrize("feasible", [True, False])
+def test_mixing_against_plain_least_squares(spark, feasible):
+    """The rates are a least-squares optimum: its conditions hold, and a long plain descent reaches the same totals."""
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 500, 60)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 60)
+    if not feasible:  # no document is mostly of the third domain
+        p = np.stack([p[:, 0], 1 - p[:, 0] - 0.1 * p[:, 2], 0.1 * p[:, 2]], 1)
+    members = spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(60)], "doc_id bigint, n_tokens bigint, posteriors array<double>")
+    m = mixing_soft.Rates(members, ["a", "b", "c"], {"a": 0.2, "b": 0.2, "c": 0.6}, keep=0.5)
+    assert m.settled and m.fits == feasible
+    w = np.array([r["rate"] for r in sorted(m.rates().collect(), key=lambda r: r["doc_id"])])
+    a = (p * n[:, None]).T
+    weights = 1 / a.sum(1)
+    pull = p @ (weights * (a @ w - m.targets))
+    assert w.min() >= 0 and np.abs(pull[w > 1e-3]).max() < 0.03 and pull[w <= 1e-6].min(initial=0) > -0.03
+    plain = np.full(60, 0.5)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (weights * (a @ plain - m.targets)))
+    assert np.allclose(a @ w, a @ plain, atol=0.01 * m.targets.max())
+
+
 def test_mixing_hard_cases(make, spark):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (None, 1, 1), (3, None, 0)], "doc_id bigint, quality int, toxic int")
     df = make([*HARD, (None, "a b c"), (1, None)])
     out = mixing_soft.mix(df, labels)
     assert out.count() == df.count() and out.where("rate < 0 or rate is null or copies < 0").count() == 0
-    assert mixing_soft.mix(df, labels.where("false")).columns == ["doc_id", "n_tokens", "p_all", "rate", "copies"]
+    assert mixing_soft.mix(df, labels.where("false")).columns == ["doc_id", "n_tokens", "p_all", "rate", "copies", "residual"]
     assert mixing_soft.mix(df.where("false"), labels).count() == 0
 
 
@@ -454,7 +476,7 @@ def test_lm_trains_on_every_token(monkeypatch):
 
     monkeypatch.setattr(gru_lm, "gradients", kept)
     seq = np.arange(2, 102)
-    assert gru_lm.train(w, [seq], gru_lm.Adam(w, 0.0)) == (0.0, 100)
+    assert gru_lm.train(w, [[], [seq], [np.zeros(0, int)]], gru_lm.Adam(w, 0.0)) == (0.0, 100)
     assert np.concatenate([c[1] for c in calls]).tolist() == seq.tolist()
     assert np.concatenate([c[0] for c in calls]).tolist() == [gru_lm.END, *seq[:-1]]
     assert [c[2][0] for c in calls] == [0, 1, 2, 3]
