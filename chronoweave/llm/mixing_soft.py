@@ -2,14 +2,17 @@
 
 A softmax classifier, trained on a bounded sample of the labelled table, gives each document the
 posteriors of the domains. Projected-gradient least squares then finds nonnegative document rates
-whose expected tokens by domain match the targets. A step moves rates against the gradient, scaled
-by the moments of the documents whose rate is not held at zero, and projects them on rates of zero
-or more. The only state is the steps by domain, from which each document's rate follows; each step
-is one distributed sum over the documents.
+whose expected tokens by domain match the targets: it lessens the squared misses, each divided by the
+domain's expected tokens in the corpus. In the metric in which a document weighs its tokens, the
+gradient moves a document's rate by its posteriors times the divided misses. The metric is diagonal,
+so cutting rates at zero is the projection, and the gradient's Lipschitz constant is one (posteriors
+sum to one), so steps of one are safe. They carry momentum, which starts again when the miss grows. The only state is the steps by domain, from which each document's rate follows; each
+step is one distributed sum.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,9 @@ EPOCHS, RATE, DECAY = 150, 0.05, 1e-4
 #: Target shares of the tokens by quality and toxicity label, and the share of all tokens to keep.
 TARGETS = {"q1t0": 0.75, "q0t0": 0.17, "q1t1": 0.05, "q0t1": 0.03}
 KEEP_TOKENS = 0.5
-STEPS, TOLERANCE = 40, 1e-4
+#: Most steps; the largest miss, as a share of the largest target, at which the rates fit; the share of
+#: its square that PATIENCE steps have to gain, else no rates fit better.
+STEPS, TOLERANCE, LEAST_GAIN, PATIENCE = 100, 1e-4, 2e-3, 8
 STATS = 7
 
 
@@ -150,19 +155,15 @@ def _members(shared):
 
 
 def folded_rates(p: np.ndarray, start: float, steps: np.ndarray) -> np.ndarray:
-    """Rates of documents with posteriors p after the given steps by domain, each projected onto rates of 0 or more.
-
-    A step is scaled by document: it moves a document by its posteriors, not by its tokens, so it
-    is a projected-gradient step in the metric of the tokens.
-    """
-    w = np.full(len(p), start)
+    """Rates of documents with posteriors p after the given steps (momentum, then one number by domain), each projected onto rates of 0 or more."""
+    before = w = np.full(len(p), start)
     for s in steps:
-        w = np.maximum(0.0, w - p @ s)
+        before, w = w, np.maximum(0.0, w + s[0] * (w - before) - p @ s[1:])
     return w
 
 
-def _moments(start: float, steps: np.ndarray):
-    """A task's expected tokens by domain at the rates so far, and the matrix that bounds the next step."""
+def _totals(start: float, steps: np.ndarray):
+    """A task's expected tokens by domain at the rates so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,14 +171,17 @@ def _moments(start: float, steps: np.ndarray):
                 continue
             n = np.asarray(batch.column(0)).astype(float)
             p = np.asarray(batch.column(1).flatten()).reshape(len(n), -1)
-            w = folded_rates(p, start, steps)
-            free = n * (w > 0)
-            out = np.r_[(n * w) @ p, ((p * free[:, None]).T @ p).reshape(-1)]
+            out = (n * folded_rates(p, start, steps)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "x"])
 
     return run
 
 
+def _summed(rows: DataFrame, f) -> np.ndarray:
+    sums = map_batches(rows, f, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    return np.array([r["x"] for r in sorted(sums, key=lambda r: r["at"])])
+
+
 def _rates(start: float, steps: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,38 +202,59 @@ def _rated(shared, place: int, start: float, steps: np.ndarray):
     return run
 
 
-class Mix:
-    """Posteriors and rates of a corpus."""
+class Rates:
+    """Rates of members (doc_id, n_tokens, posteriors) whose expected tokens by domain match the targets.
 
-    def __init__(self, docs: DataFrame, model: DomainClassifier, targets: dict[str, float] = TARGETS, keep: float = KEEP_TOKENS):
-        spark = docs.sparkSession
-        self.domains = model.domains or ["all"]
-        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        members = map_batches(rows, _members(spark.sparkContext.broadcast(model)), "doc_id bigint, n_tokens bigint, posteriors array<double>")
-        self.members = materialize(members)
-        k = len(self.domains)
-        share = np.array([targets.get(d, 0.0) for d in self.domains])
-        total = float(self.members.agg(F.sum("n_tokens")).first()[0] or 0)
-        self.start, self.steps, self.residual = keep, np.zeros((0, k)), np.inf
+    residual: the largest miss as a share of the largest target. fits: whether it is under
+    TOLERANCE. settled: whether it is, or steps gain nothing any more, so that no rates fit better
+    (a target of a domain without tokens cannot be met).
+    """
+
+    def __init__(self, members: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, keep: float = KEEP_TOKENS):
+        self.members, self.domains, k = members, domains, len(domains)
+        share = np.array([targets.get(d, 0.0) for d in domains])
+        total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+        self.start, self.steps, self.residual, self.settled = keep, np.zeros((0, k + 1)), 0.0, True
         self.targets = total * keep * (share / share.sum() if share.sum() else np.full(k, 1 / k))
         if not total:
             return
-        sums = self.members.select("n_tokens", "posteriors").where("n_tokens > 0")
+        sums = members.select("n_tokens", "posteriors").where("n_tokens > 0")
+        tokens = _summed(sums, _totals(1.0, self.steps))
+        weights = np.divide(1.0, tokens, out=np.zeros(k), where=tokens > 0)
+        squares, last, pace, self.settled = [], None, 1.0, False
         for _ in range(STEPS):
-            rows = map_batches(sums, _moments(self.start, self.steps), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-            flat = np.array([r["x"] for r in sorted(rows, key=lambda r: r["at"])])
-            off = flat[:k] - self.targets
-            before, self.residual = self.residual, float(np.abs(off).max() / max(self.targets.max(), 1.0))
-            if self.residual < TOLERANCE:
+            off = _summed(sums, _totals(self.start, self.steps)) - self.targets
+            squares.append(float(off @ (weights * off)))
+            self.residual = float(np.abs(off).max() / max(self.targets.max(), 1.0))
+            best = min(squares)
+            stalled = len(squares) > PATIENCE and min(squares[:-PATIENCE]) - best < LEAST_GAIN * best and squares[-1] <= best * (1 + LEAST_GAIN)
+            self.settled = self.residual < TOLERANCE or stalled
+            if self.settled:
                 break
-            if len(self.steps) and self.residual > before:  # the projection cut too much: go half as far
-                self.steps[-1] /= 2
-                self.residual = before
-                continue
-            # the step against the gradient, by domain; the free documents' moments give its length and shape
-            curve = flat[k:].reshape(k, k)
-            step = np.linalg.solve(curve + np.eye(k) * (1e-3 * np.trace(curve) / k + 1e-9), off)
-            self.steps = np.vstack([self.steps, step])
+            if len(squares) > 1 and squares[-1] > squares[-2]:
+                pace = 1.0
+            momentum, pace = (pace - 1) / (0.5 + (0.25 + pace * pace) ** 0.5), 0.5 + (0.25 + pace * pace) ** 0.5
+            ahead = off if last is None else off + momentum * (off - last)
+            last, self.steps = off, np.vstack([self.steps, np.r_[momentum, weights * ahead]])
+        if not self.settled:
+            warnings.warn(f"mixing rates miss a target by {self.residual:.1%} after {STEPS} steps", stacklevel=2)
+
+    @property
+    def fits(self) -> bool:
+        return self.residual < TOLERANCE
+
+    def rates(self) -> DataFrame:
+        """doc_id, n_tokens, posteriors, rate."""
+        return map_batches(self.members, _rates(self.start, self.steps), "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double")
+
+
+class Mix(Rates):
+    """Posteriors and rates of a corpus."""
+
+    def __init__(self, docs: DataFrame, model: DomainClassifier, targets: dict[str, float] = TARGETS, keep: float = KEEP_TOKENS):
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        members = map_batches(rows, _members(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, n_tokens bigint, posteriors array<double>")
+        super().__init__(materialize(members), model.domains or ["all"], targets, keep)
 
     def rated(self, docs: DataFrame, model: DomainClassifier) -> DataFrame:
         """The rows of docs, with all their columns, and mix_rate."""
@@ -237,10 +262,6 @@ class Mix:
         schema = T.StructType([*docs.schema.fields, T.StructField("mix_rate", T.DoubleType())])
         return map_batches(docs, _rated(shared, docs.columns.index("text"), self.start, self.steps), schema)
 
-    def rates(self) -> DataFrame:
-        """doc_id, n_tokens, posteriors, rate."""
-        return map_batches(self.members, _rates(self.start, self.steps), "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double")
-
 
 def copies(rate: Column) -> Column:
     """A rate rounded up or down by a hash of doc_id, so that the expectation is the rate."""
@@ -250,10 +271,12 @@ def copies(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: float = KEEP_TOKENS) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>..., rate, copies for each row of docs (doc_id, text).
+    """doc_id, n_tokens, p_<domain>..., rate, copies, residual for each row of docs (doc_id, text).
 
     rate is the expected number of copies, 0 or more; copies rounds it up or down by a hash of
-    doc_id, so that its expectation is the rate. Null and empty texts have no tokens; their rate
+    doc_id, so that its expectation is the rate. residual, the same in all rows, is the largest miss
+    of a target as a share of the largest; there is a warning where rates that fit better remain
+    after STEPS steps. Null and empty texts have no tokens; their rate
     follows their posteriors and moves nothing. Without labels all documents are one domain. Rows
     without an id take part, with a null id. Repeated rows get equal results. Targets of domains
     that are not among the labels are left out, the others scaled.
@@ -266,4 +289,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
         *[F.get("posteriors", k).alias(f"p_{d}") for k, d in enumerate(out.domains)],
         "rate",
         copies(F.col("rate")).alias("copies"),
+        F.lit(float(out.residual)).alias("residual"),
     )

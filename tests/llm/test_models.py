@@ -364,7 +364,7 @@ def test_mixing_meets_targets(spark, small):
 
 @pytest.mark.parametrize("feasible", [True, False])
 def test_mixing_against_plain_least_squares(spark, feasible):
-    """The rates are a least-squares optimum: its conditions hold, and a long plain descent reaches the same totals."""
+    """A long plain descent misses the targets by as much."""
     rng = np.random.default_rng(8)
     n = rng.integers(1, 500, 60)
     p = rng.dirichlet([0.4, 0.4, 0.4], 60)
@@ -376,12 +376,13 @@ def test_mixing_against_plain_least_squares(spark, feasible):
     w = np.array([r["rate"] for r in sorted(m.rates().collect(), key=lambda r: r["doc_id"])])
     a = (p * n[:, None]).T
     weights = 1 / a.sum(1)
-    pull = p @ (weights * (a @ w - m.targets))
-    assert w.min() >= 0 and np.abs(pull[w > 1e-3]).max() < 0.03 and pull[w <= 1e-6].min(initial=0) > -0.03
     plain = np.full(60, 0.5)
     for _ in range(20_000):
         plain = np.maximum(0, plain - p @ (weights * (a @ plain - m.targets)))
-    assert np.allclose(a @ w, a @ plain, atol=0.01 * m.targets.max())
+    square = lambda rates: float((weights * (a @ rates - m.targets) ** 2).sum())
+    assert w.min() >= 0 and square(w) <= 1.01 * square(plain) + 1e-6 * float((weights * m.targets**2).sum())
+    if feasible:
+        assert np.allclose(a @ w, m.targets, rtol=1e-3)
 
 
 def test_mixing_hard_cases(make, spark):
