@@ -133,17 +133,58 @@ def judge_pages(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -
     )
 
 
-#: DuckDB text of judge_pages() over pages, whose html holds no redirect or canonical edges; classes are covered by tests.
-URL_SQL = r"""
-WITH p AS (SELECT page_id,
-    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
-r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
-    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-u AS (SELECT DISTINCT host, path FROM p),
-b AS (SELECT host, path, max_by(rh || rp, length(rh || rp)) AS rule, max_by(r.verdict, length(rh || rp)) AS verdict
-    FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
-SELECT page_id, p.host, p.path, rule, coalesce(b.verdict, 'allow') AS verdict, NULL::VARCHAR AS class_verdict
-FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path
+def _attribute_sql(tag: str, name: str) -> str:
+    pattern = rf"""'(?is)(?:^|[^\w-]){name}\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^"''\s>]+))'"""
+    return "(" + " || ".join(f"regexp_extract({tag}, {pattern}, {k})" for k in (1, 2, 3)) + ")"
+
+
+def _folded_sql(x: str) -> str:
+    return f"translate({x}, '{UPPER}', '{LOWER}')"
+
+
+def _host_sql(url: str) -> str:
+    return _folded_sql(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")
+
+
+def _path_sql(url: str) -> str:
+    return f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+
+
+def _without_dots_sql(path: str) -> str:
+    parts = f"list_concat(string_split({path}, '/')[2:], CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END)"
+    walk = "lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END"
+    return f"coalesce(nullif(list_reduce(list_concat([''], {parts}), {walk}), ''), '/')"
+
+
+def _absolute_sql(link: str, url: str) -> str:
+    root = f"nullif(regexp_extract({url}, '(?s)^(.*?://)', 1), '') || {_host_sql(url)}"
+    path, rest = f"regexp_extract({link}, '(?s)^([^?#]*)', 1)", f"regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1)"
+    folder = f"'/' || regexp_extract({_path_sql(url)}, '(?s)^/(.*/)', 1) || {path}"
+    return f"""CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with({link}, '//') THEN regexp_extract({url}, '(?s)^(.*?:)//', 1) || {link} WHEN starts_with({link}, '/') THEN {root} || {_without_dots_sql(path)} || {rest}
+      WHEN {path} = '' THEN {root} || {_path_sql(url)} || {rest} ELSE {root} || {_without_dots_sql(folder)} || {rest} END"""
+
+
+#: DuckDB text of judge_pages() over pages.
+URL_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({_host_sql('url')}, '') AS host, coalesce({_path_sql('url')}, '') AS path FROM pages),
+r(verdict, rh, rp) AS (VALUES {', '.join(f"('{v}', '{h}', '{x}')" for v, h, x in RULES)}),
+t AS (SELECT url, html, 'link' AS kind, unnest(regexp_extract_all(html, '(?is)<link[\s/][^>]*>')) AS tag FROM p
+  UNION ALL SELECT url, html, 'meta', unnest(regexp_extract_all(html, '(?is)<meta[\s/][^>]*>')) FROM p),
+l AS (SELECT url, CASE WHEN kind = 'link' THEN {_attribute_sql('tag', 'href')} ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS link,
+    nullif({_attribute_sql(r"regexp_extract(html, '(?is)<base[\s/][^>]*\bhref\b[^>]*>')", 'href')}, '') AS base FROM t
+  WHERE (kind = 'link' AND regexp_matches({_attribute_sql('tag', 'rel')}, '(?i)(?:^|\s)canonical(?:\s|$)')) OR (kind = 'meta' AND lower({_attribute_sql('tag', 'http-equiv')}) = 'refresh')),
+a AS (SELECT url, link, coalesce({_absolute_sql('base', 'url')}, url) AS root FROM l WHERE link <> ''),
+d AS (SELECT url, {_absolute_sql('link', 'root')} AS dst FROM a),
+e AS (SELECT DISTINCT {_host_sql('url')} || {_path_sql('url')} AS u, {_host_sql('dst')} || {_path_sql('dst')} AS v FROM d WHERE dst IS NOT NULL),
+b AS (SELECT u, v FROM e WHERE u <> '' AND v <> '' AND u <> v UNION SELECT v, u FROM e WHERE u <> '' AND v <> '' AND u <> v),
+c(node, seen) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, c.seen FROM c JOIN b ON b.u = c.node),
+k AS (SELECT node, min(seen) AS component FROM c GROUP BY node),
+n AS (SELECT node, component, regexp_extract(node, '(?s)^([^/]*)', 1) AS host, regexp_extract(node, '(?s)^[^/]*(.*)$', 1) AS path FROM k),
+f AS (SELECT host, path FROM p UNION SELECT host, path FROM n),
+g AS (SELECT host, path, max_by(rh || rp, length(rh || rp)) AS rule, max_by(r.verdict, length(rh || rp)) AS verdict
+    FROM f JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+q AS (SELECT component, min(verdict) AS class_verdict FROM n JOIN g USING (host, path) GROUP BY component)
+SELECT page_id, p.host, p.path, rule, coalesce(g.verdict, class_verdict, 'allow') AS verdict, class_verdict
+FROM p LEFT JOIN g ON p.host = g.host AND p.path = g.path LEFT JOIN k ON p.host <> '' AND k.node = p.host || p.path LEFT JOIN q USING (component)
 """

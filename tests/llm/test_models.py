@@ -350,6 +350,33 @@ def test_page_edges(spark):
     ])
 
 
+def test_url_classes_against_sql(spark):
+    """The SQL finds tags, resolves links and walks classes by itself, on random pages with hostile tags."""
+    import duckdb
+
+    rng = random.Random(11)
+    hosts, parts = [*[f"H{k}.org" for k in range(150)], "c.net", "www.example.com", "example.com", *["d.net"] * 9], ["en", "es", "fr", "x", "y", "z"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}" + "".join(f"/{rng.choice(parts)}" for _ in range(rng.randint(0, 2))) + rng.choice(["", "/", "/1", "?q=1", "#f"])
+    link = lambda: rng.choice([url(), url(), "/" + rng.choice(parts) + "/", "../" + rng.choice(parts), "./y", rng.choice(parts), "..", "?p", "//C.NET/es/", "mailto:a@b", "", " /fr/1 "])
+
+    def tag():
+        u, q = link(), rng.choice(['"', "'"])
+        return rng.choice([
+            f"<link rel={q}canonical{q} href={q}{u}{q}>", f"<LINK HREF={q}{u}{q} REL=CANONICAL />", f"<link\nrel='alternate canonical'\nhref={q}{u}{q}>", f"<link rel=stylesheet href='/canonical/{u}'>",
+            f"<meta http-equiv={q}Refresh{q} content={q}0; URL={u}{q}>", f"<META CONTENT='5;url={u}' HTTP-EQUIV=refresh>", f"<meta name=refresh content='url={u}'>", f"<link data-rel=canonical href={q}{u}{q}>",
+            f"<base href={q}{u}{q}>", f"<p>rel=canonical {u}</p>",
+        ])
+
+    pages = [(k, rng.choice([None, "no url", *[url()] * 20]), rng.choice([None, "", *["".join(tag() for _ in range(rng.randint(0, 3)))] * 6])) for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    want = con.sql(url_redirects.URL_SQL)
+    got = url_redirects.judge_pages(df).select(want.columns)
+    got, want = sorted(map(tuple, got.collect()), key=repr), sorted(want.fetchall(), key=repr)
+    assert got == want and len({w[5] for w in want}) == 3
+
+
 def test_mixing_meets_targets(spark, small):
     docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
     model = mixing_soft.fit(docs, labels)
