@@ -1,20 +1,20 @@
 """Removal of repeated word windows with a count-min prefilter.
 
-1. Each task counts the windows of its texts in a sparse sketch of two rows of counters; the
-   sketches are merged by summing, shard by shard. Merged counters never underestimate.
-2. Windows that the merged sketch calls hot get their smallest document by a map-side minimum, so
-   a passage of very many documents costs one row per task.
-3. The other windows that are estimated to repeat, and only they, are grouped exactly by a 96-bit
-   hash to find the smallest document of each. A group is smaller than the hot limit.
+1. Documents are written in blocks of some thousand rows. Each block's windows are counted in a
+   sparse sketch of two rows of counters, dealt into shards by the windows' hashes.
+2. A shard's sketches are merged by summing, which never underestimates, and each block gets back
+   which of its own counters reached two. Counters grow in number with the input, so what passes
+   for repeated by chance stays the same share at every size, and no task holds more than a shard.
+3. Windows that their block's reply calls repeated in both rows, and only they, go on. Within a
+   block, each that starts in a smaller document there too is decided. The others are grouped
+   exactly by a 96-bit hash to find the smallest document: a row for each block and place in its
+   smallest document at most, however many documents hold the window.
 4. The flagged places return to their documents, where the covered words are cut.
-
-The bit map of step 3 is broadcast and has at most `max_sketch_bytes`, whatever the input. Beyond
-the corpus size for which that is wide enough the filter lets more windows through, up to all of
-them; nothing is lost, only shuffled. Raise it with executor memory for larger corpora.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,194 +23,194 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm import wordscan
-from chronoweave.session import map_batches, materialize, tidy_shuffles
+from chronoweave.session import delete_folder, map_batches, materialize, release, scratch_dir
 
-SHARD = 1 << 16
 U = np.uint64
-#: Windows that a task keeps before it emits a sketch.
-FLUSH = 1 << 22
-
-
-def sketch_cells(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each hash in either row; the second row's cells follow the first's."""
-    w = U(width)
-    return ((h & U(0xFFFFFFFF)) * w >> U(32)).astype(np.uint32), ((h >> U(32)) * w >> U(32)).astype(np.uint32) + np.uint32(width)
+#: Counters in a row for each window expected; bytes of a word, by which windows are expected.
+CELLS_PER_WINDOW, WORD_BYTES = 2, 6
+#: Counters of a shard, at least and at most, and how many shards a row has before they grow.
+LEAST_SHARD, MOST_SHARD, SHARDS = 1 << 20, 1 << 27, 4096
+#: Rows of a block at least; blocks grow so that a block has some 128 windows in each shard.
+BLOCK_ROWS, SHARE = 4096, 128
+#: Files' buckets that blocks are dealt to; Spark takes no more.
+MOST_BUCKETS = 100_000
+
+
+class Sizes:
+    """Shards of each row, counters of a shard, and rows of a block for texts of so many bytes and rows."""
+
+    def __init__(self, size: int, rows: int, shard: int | None = None, block_rows: int | None = None):
+        cells = max(1, CELLS_PER_WINDOW * size // WORD_BYTES)
+        self.shard = shard or min(MOST_SHARD, max(LEAST_SHARD, -(-cells // SHARDS)))
+        self.shards = -(-cells // self.shard)
+        row_windows = max(1, size // WORD_BYTES // max(1, rows))
+        self.block_rows = block_rows or max(BLOCK_ROWS, SHARE * self.shards // row_windows)
+        self.blocks = -(-rows // self.block_rows)
+
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        """The counter of each hash in a row, counted through its shards; the second row's shards follow the first's."""
+        if row:
+            h = wordscan.mix(h ^ U(0x2545F4914F6CDD1D))
+        shard = ((h >> U(32)) * U(self.shards) >> U(32)) + U(row * self.shards)
+        return shard * U(self.shard) + ((h & U(0xFFFFFFFF)) * U(self.shard) >> U(32))
 
 
 def pack_gaps(cells: np.ndarray) -> bytes:
-    """Ascending numbers as byte gaps; 255 stands for 255 more to the next."""
-    gaps = np.diff(cells, prepend=0)
-    out = np.full(int((gaps // 255 + 1).sum()), 255, np.uint8)
-    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
+    """Ascending numbers as gaps of seven bits a byte, the last byte of each below 128."""
+    gaps = np.diff(cells.astype(np.int64), prepend=0)
+    size = 1 + sum((gaps >= 1 << 7 * k).astype(np.int64) for k in range(1, 6))
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        out[start[at] + k] = (gaps[at] >> 7 * k & 127) | np.where(size[at] > k + 1, 128, 0)
     return out.tobytes()
 
 
 def unpack_gaps(packed: bytes) -> np.ndarray:
     b = np.frombuffer(packed, np.uint8)
-    return np.cumsum(b, dtype=np.int64)[b != 255]
-
-
-def _sketches(width: int, n: int):
-    """A task's sketch: for each shard of cells, those counted, and the counts over one."""
-
-    def emit(cells: list[np.ndarray]) -> pa.RecordBatch:
-        c = np.sort(np.concatenate(cells))
+    end = np.flatnonzero(b < 128)
+    start = np.r_[0, end[:-1] + 1].astype(np.int64) if len(end) else end
+    gaps = (b[start] & 127).astype(np.int64)
+    for k in range(1, int((end - start).max(initial=0)) + 1):
+        at = np.flatnonzero(end - start >= k)
+        gaps[at] |= (b[start[at] + k] & 127).astype(np.int64) << 7 * k
+    return np.cumsum(gaps)
+
+
+def _sketches(sizes: Sizes, n: int):
+    """A block's sketch: for each shard the counters touched, and those more than once."""
+
+    def emit(block: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(hashes)
+        c = np.concatenate([sizes.cells(h, row) for row in (0, 1)])
+        c.sort()
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-        counts, c = np.diff(np.r_[first, len(c)]), c[first].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, c[1:] >> 16 != c[:-1] >> 16]) if len(c) else np.zeros(0, np.int64)
+        often, c = np.diff(np.r_[first, len(c)]) > 1, c[first].astype(np.int64)
+        shard = c // sizes.shard
+        starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(c) else first
         rows = []
-        for a, b in zip(starts, np.r_[starts[1:], len(c)].astype(np.int64), strict=True):
-            low, k = c[a:b] & 0xFFFF, counts[a:b]
-            more = np.flatnonzero(k > 1)
-            rows.append((int(c[a] >> 16), pack_gaps(low), pack_gaps(low[more]), k[more].astype(np.uint32).tobytes()))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c)], strict=False):
+            low = c[a:b] - shard[a] * sizes.shard
+            rows.append((int(shard[a]), block, pack_gaps(low), pack_gaps(low[often[a:b]])))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
-            names=["shard", "cells", "more", "counts"],
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "cells", "often"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        now, kept = None, []
         for batch in batches:
-            for _, _, words in wordscan.scan(batch.column(1), False):
-                kept += sketch_cells(words.grams(n)[0], width)
-                held += len(kept[-1])
-                if held >= FLUSH:
-                    yield emit(kept)
-                    kept, held = [], 0
-        if held:
-            yield emit(kept)
+            blocks = np.asarray(batch.column(0))
+            for i, j, words in wordscan.scan(batch.column(1), False):
+                h, rows, _ = words.grams(n)
+                cut = np.flatnonzero(np.r_[True, blocks[i + 1 : j] != blocks[i : j - 1]])
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), j - i], strict=True):
+                    if kept and blocks[i + a] != now:
+                        yield emit(now, kept)
+                        kept = []
+                    now = int(blocks[i + a])
+                    kept.append(h[np.searchsorted(rows, a) : np.searchsorted(rows, b)])
+        if kept:
+            yield emit(now, kept)
 
     return run
 
 
-def _merge(hot: int):
+def _replies(shard: int):
+    """For each block the counters of this shard that it touched and that reached two over all blocks."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(SHARD, np.int64)
-        for cells, more, k in zip(pdf["cells"], pdf["more"], pdf["counts"], strict=True):
-            counts[unpack_gaps(cells)] += 1
-            if k:
-                counts[unpack_gaps(more)] += np.frombuffer(k, np.uint32).astype(np.int64) - 1
-        shard = int(pdf["shard"].iloc[0])
-        heavy = np.flatnonzero(counts >= hot).astype(np.int64) + shard * SHARD
-        return pd.DataFrame({"shard": [shard], "bits": [np.packbits(counts >= 2).tobytes()], "heavy": [heavy.tobytes()]})
+        counts = np.zeros(shard, np.uint8)
+        for cells, often in zip(pdf["cells"], pdf["often"], strict=True):
+            at = unpack_gaps(cells)
+            counts[at] = np.minimum(counts[at] + np.uint8(1), 2)
+            counts[unpack_gaps(often)] = 2
+        rows = []
+        for block, cells in zip(pdf["block"], pdf["cells"], strict=True):
+            at = unpack_gaps(cells)
+            at = at[counts[at] == 2]
+            if len(at):
+                rows.append((int(block), int(pdf["shard"].iloc[0]), pack_gaps(at)))
+        return pd.DataFrame(rows, columns=["block", "shard", "cells"])
 
     return run
 
 
-class Repeats:
-    """The merged sketch as a bit map of repeated cells and the sorted cells of hot windows."""
-
-    def __init__(self, width: int, rows: list, shards: int):
-        self.width = width
-        self.bits = np.zeros(shards * SHARD // 8, np.uint8)
-        heavy = [np.zeros(0, np.int64)]
-        for shard, bits, cells in rows:
-            self.bits[shard * SHARD // 8 : (shard + 1) * SHARD // 8] = np.frombuffer(bits, np.uint8)
-            heavy.append(np.frombuffer(cells, np.int64))
-        self.heavy = np.sort(np.concatenate(heavy))
-
-    def _bit(self, cells: np.ndarray) -> np.ndarray:
-        return self.bits[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7))).astype(np.uint8) & np.uint8(1)
-
-    def _is_heavy(self, cells: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.heavy, cells)
-        at[at == len(self.heavy)] = 0
-        return self.heavy[at] == cells
-
-    def select(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of windows estimated to repeat, and which of these are hot."""
-        a, b = sketch_cells(h, self.width)
-        found = np.flatnonzero(self._bit(a).astype(bool))
-        found = found[self._bit(b[found]).astype(bool)]
-        if not len(self.heavy):
-            return found, np.zeros(len(found), bool)
-        return found, self._is_heavy(a[found]) & self._is_heavy(b[found])
-
-
-def _windows(batch: pa.RecordBatch, n: int, seen):
-    """doc_id, hash, second hash, place and heat of the windows estimated to repeat."""
-    ids = np.asarray(batch.column(0))
-    for i, _, words in wordscan.scan(batch.column(1), False):
-        h, rows, place = words.grams(n)
-        found, hot = seen.value.select(h)
-        second = words.grams(n, salt=1)[0][found] if len(found) else h[:0]
-        yield ids[rows[found] + i], h[found], second, place[found], hot
-
-
-def _hot_windows(seen, n: int):
-    """Smallest document of each hot window in a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            for doc, h, second, _, hot in _windows(batch, n, seen):
-                order = np.flatnonzero(hot)
-                order = order[np.lexsort((doc[order], second[order], h[order]))]
-                h_, s_, d_ = h[order], second[order], doc[order]
-                first = np.flatnonzero(np.r_[True, (h_[1:] != h_[:-1]) | (s_[1:] != s_[:-1])]) if len(order) else order
-                for key, d in zip(zip(h_[first].tolist(), s_[first].tolist(), strict=True), d_[first].tolist(), strict=True):
-                    least[key] = min(d, least.get(key, d))
-        keys = list(least)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array([k[i] for k in keys], U).view(np.int64)) for i in (0, 1)] + [pa.array([least[k] for k in keys], pa.int64())],
-            names=["h", "h2", "least"],
-        )
+CANDIDATES = pa.schema([("h", pa.int64()), ("tail", pa.int64()), ("doc_id", pa.int64()), ("decided", pa.bool_())])
+
+
+def _candidates(sizes: Sizes, n: int):
+    """h, second hash and place in one number, doc_id, and whether a smaller document of the block holds the window too."""
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        if not texts.num_rows or not replies.num_rows:
+            return CANDIDATES.empty_table()
+        parts = sorted(zip(replies.column("shard").to_pylist(), replies.column("cells").to_pylist(), strict=True))
+        # a block that two tasks sketched has two replies of a shard
+        seen = np.concatenate([unpack_gaps(cells) + shard * sizes.shard for shard, cells in parts])
+        seen = np.sort(seen).astype(U)
+        kept = []
+        texts = texts.combine_chunks()
+        ids, column = np.asarray(texts.column("doc_id").combine_chunks()), texts.column("text").combine_chunks()
+        for i, _, words in wordscan.scan(column, False):
+            h, rows, place = words.grams(n)
+            found = np.arange(len(h))
+            for row in (0, 1):
+                cells = sizes.cells(h[found], row)
+                at = np.searchsorted(seen, cells)
+                at[at == len(seen)] = 0
+                found = found[seen[at] == cells]
+            second = words.grams(n, salt=1)[0][found] if len(found) else h[:0]
+            kept.append((h[found], second >> U(32), ids[rows[found] + i], place[found]))
+        h, second, doc, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((doc, second, h))
+        h, second, doc, place = h[order], second[order], doc[order], place[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (second[1:] != second[:-1])]) if len(h) else np.zeros(0, np.int64)
+        least = np.repeat(doc[first], np.diff(np.r_[first, len(h)]))
+        columns = [h.view(np.int64), (second << U(32) | place.astype(U)).view(np.int64), doc, doc > least]
+        # dealt on in the order of the texts, in which neighbours compress well
+        order = np.lexsort((place, doc))
+        return pa.table([pa.array(c[order], t) for c, t in zip(columns, CANDIDATES.types, strict=True)], schema=CANDIDATES)
 
     return run
 
 
-def _candidates(seen, known, n: int):
-    """h, second hash and place in one number, doc_id; hot windows come decided, with doc_id only where it is not the smallest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, least = known.value
-        for batch in batches:
-            for doc, h, second, place, hot in _windows(batch, n, seen):
-                tail = (second & U(0xFFFFFFFF00000000)) | place.astype(U)
-                decided = np.zeros(len(h), bool)
-                keep = np.ones(len(h), bool)
-                if hot.any() and len(keys):
-                    k = h ^ wordscan.mix(second)
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    decided = hot & (keys[at] == k)
-                    keep = ~decided | (doc > least[at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(tail[keep].view(np.int64)), pa.array(doc[keep]), pa.array(decided[keep])],
-                    names=["h", "tail", "doc_id", "decided"],
-                )
-
-    return run
+def repeated_places(docs: DataFrame, n: int = 13, shard: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """doc_id, drops: sorted places (word numbers from 0) of windows that start in a smaller doc_id too."""
+    flagged, close = flagged_windows(docs, n, shard, block_rows)
+    drops = materialize(flagged.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("drops")))
+    close()
+    return drops
 
 
-def repeated_places(docs: DataFrame, n: int = 13, max_sketch_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, drops: sorted places (word numbers from 0) of windows that start in a smaller doc_id too."""
+def flagged_windows(docs: DataFrame, n: int, shard: int | None, block_rows: int | None):
+    """doc_id and place of windows that start in a smaller document too, and a function that deletes what they are read from."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    about = max(1, size // 6)  # words are rarely shorter; only the filter's sharpness hangs on it
-    width = min(max(SHARD, -(-2 * about // SHARD) * SHARD), max_sketch_bytes * 8 // 2 // SHARD * SHARD)
-    hot = max(1000, about // 100_000)  # so there are at most some 100,000 hot windows
-    shards = 2 * width // SHARD
-    counted = map_batches(base, _sketches(width, n), "shard int, cells binary, more binary, counts binary")
-    merged = counted.groupBy("shard").applyInPandas(_merge(hot), "shard int, bits binary, heavy binary")
-    with tidy_shuffles(spark):
-        repeats = Repeats(width, merged.collect(), shards)
-    seen = spark.sparkContext.broadcast(repeats)
-    keys, least = np.zeros(0, U), np.zeros(0, np.int64)
-    if len(repeats.heavy):
-        found = map_batches(base, _hot_windows(seen, n), "h bigint, h2 bigint, least bigint")
-        rows = found.groupBy("h", "h2").agg(F.min("least").alias("least")).collect()
-        a, b, c = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        keys = a.view(U) ^ wordscan.mix(b.view(U))
-        order = np.argsort(keys)
-        keys, least = keys[order], c[order]
-    known = spark.sparkContext.broadcast((keys, least))
-    rows = map_batches(base, _candidates(seen, known, n), "h bigint, tail bigint, doc_id bigint, decided boolean")
-    rows = rows.withColumn("h2", F.shiftright("tail", 32)).withColumn("place", F.col("tail").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    # decided rows need no group: dealt by document, they stay out of the hot window's partition
+    size, rows = base.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    sizes = Sizes(size or 0, rows, shard, block_rows)
+    at = F.monotonically_increasing_id()  # the partition's number over 33 bits of the row's
+    block = F.shiftright(at, 33) * F.lit(1 << 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / sizes.block_rows)
+    # bucketed by block, so that the reply meets its texts without dealing them again
+    buckets = max(1, min(sizes.blocks, MOST_BUCKETS))
+    name = f"window_blocks_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    base.withColumn("block", block.cast("bigint")).write.bucketBy(buckets, "block").sortBy("block").format("parquet").option("path", path).saveAsTable(name)
+    staged = spark.table(name)
+    counted = map_batches(staged.select("block", "text"), _sketches(sizes, n), "shard bigint, block bigint, cells binary, often binary")
+    replies = materialize(counted.groupBy("shard").applyInPandas(_replies(sizes.shard), "block bigint, shard bigint, cells binary"))
+    found = staged.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_candidates(sizes, n), "h bigint, tail bigint, doc_id bigint, decided boolean")
+    found = found.withColumn("h2", F.shiftright("tail", 32)).withColumn("place", F.col("tail").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    # decided rows need no group: dealt by document, they stay out of the window's partition
     group = Window.partitionBy("h", "h2", F.when(F.col("decided"), F.col("doc_id")))
-    flagged = rows.withColumn("least", F.min("doc_id").over(group)).where("decided or doc_id > least")
-    return flagged.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("drops"))
+    flagged = found.withColumn("least", F.min("doc_id").over(group)).where("decided or doc_id > least").select("doc_id", "place")
+
+    def close() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        delete_folder(spark, path)
+        release(replies)
+
+    return flagged, close
 
 
 def _cut(n: int):
@@ -242,7 +242,7 @@ def _cut(n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, max_sketch_bytes: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 bytes of the kept words, joined by one space).
 
     docs: doc_id and text; other columns are passed over. A window is n consecutive words; each
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, n: int = 13, max_sketch_bytes: int = 64 << 2
     others. doc_id is the key: repeated rows get equal results, and rows that share an id but not
     the text share the places of their windows.
     """
-    drops = materialize(repeated_places(docs, n, max_sketch_bytes))
+    drops = repeated_places(docs, n, **sizes)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_batches(base.join(drops, "doc_id", "left"), _cut(n), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 

@@ -123,26 +123,51 @@ def brute_windows(rows, n=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_windows(make, hot, monkeypatch):
-    if hot:  # passages of a few documents count as hot
-        real = substring_dedup._merge
-        monkeypatch.setattr(substring_dedup, "_merge", lambda limit: real(3))
-    rows = list(enumerate(corpus(2) + HARD[:-3] + HARD[-2:], 1)) + [(None, corpus(2)[3])]
-    assert rows_of(substring_dedup.removal_digest(make(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
+@pytest.mark.parametrize("sizes", [{}, {"shard": 64, "block_rows": 7}, {"shard": 1 << 12, "block_rows": 1}])
+def test_windows(make, sizes):
+    rows = list(enumerate(corpus(2) + HARD[:-3] + HARD[-2:], 1)) + [(None, corpus(2)[3]), (3, corpus(2)[2])]
+    got = rows_of(substring_dedup.removal_digest(make(rows), **sizes), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_windows(rows)
 
 
-def test_narrow_sketch_loses_nothing(make):
+def test_a_full_sketch_loses_nothing(make, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CELLS_PER_WINDOW", 0)  # one counter a row: all windows pass
     rows = list(enumerate(corpus(3, 60), 1))
-    df = make(rows)
-    narrow = substring_dedup.removal_digest(df, max_sketch_bytes=2 * substring_dedup.SHARD // 8)
-    assert rows_of(narrow, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
+    assert rows_of(substring_dedup.removal_digest(make(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
+
+
+def test_chance_passes_stay_a_share(make, monkeypatch):
+    """However many shards and blocks there are, as few windows that do not repeat pass the sketch, and all that do."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["".join(f"{rng.randrange(10**9):09d} " for _ in range(500)) for _ in range(60)]
+    shared = " ".join(texts[0].split()[:100])
+    texts = [t + shared if k in (7, 50) else t for k, t in enumerate(texts)]
+    shares = []
+    for shard, rows in ((1 << 14, 60), (1 << 12, 60), (1 << 9, 5), (1 << 6, 1)):
+        sizes = substring_dedup.Sizes(sum(map(len, texts)), 60, shard, rows)
+        blocks = pa.array([k // rows for k in range(60)])
+        out = list(substring_dedup._sketches(sizes, 13)(iter([pa.RecordBatch.from_arrays([blocks, pa.array(texts)], names=["block", "text"])])))
+        packets = pa.Table.from_batches(out).to_pandas()
+        replies = [substring_dedup._replies(sizes.shard)(g) for _, g in packets.groupby("shard")]
+        found = 0
+        for b in range(60 // rows):
+            table = pa.table({"block": blocks, "doc_id": np.arange(60), "text": texts}).slice(b * rows, rows)
+            mine = [r[r["block"] == b] for r in replies]
+            mine = pa.table({"shard": [int(x) for r in mine for x in r["shard"]], "cells": pa.array([x for r in mine for x in r["cells"]], pa.binary())})
+            found += substring_dedup._candidates(sizes, 13)(table, mine).num_rows
+        repeated = 3 * 88
+        assert found >= repeated
+        shares.append((found - repeated) / (60 * 488))
+    assert max(shares) < 0.2 and max(shares) < 1.3 * min(shares) + 0.02
 
 
 def test_gaps():
     import numpy as np
 
-    for cells in ([], [0], [254, 255, 256, 511, 70_000], list(range(0, 9000, 3))):
+    for cells in ([], [0], [127, 128, 255, 256, 20_000, 70_000, 2**21, 2**27 - 1, 2**33], list(range(0, 9000, 3))):
         assert substring_dedup.unpack_gaps(substring_dedup.pack_gaps(np.array(cells, np.int64))).tolist() == cells
 
 
