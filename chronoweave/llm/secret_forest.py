@@ -52,20 +52,18 @@ def findings(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     parts = has.select(
         "doc_id", *others, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("between")
     )
-    each = parts.select("doc_id", *others, "between", "c", F.posexplode("c").alias("at", "candidate"))
-    # a match at the very start has an empty piece before it, as at the end
-    lead = F.size("between") - 1
-    after = F.get("between", F.col("at") + 1)
+    # what stands beside a candidate is cut out before the rows multiply, so that a row is short whatever its text
+    end = lambda x: F.right(x, F.lit(BESIDE))
     # a name that is a candidate itself still stands before its value
-    before = F.concat(F.when(F.col("at") > 0, F.get("c", F.col("at") - 1)).otherwise(""), F.get("between", F.col("at")))
-    return each.where(lead >= 1).select(
-        "doc_id",
-        *others,
-        (F.col("at") + 1).cast("bigint").alias("nth"),
-        "candidate",
-        F.right(before, F.lit(BESIDE)).alias("left"),
-        F.left(after, F.lit(BESIDE)).alias("right"),
+    before = lambda i: F.when(i > 0, end(F.get("c", i - 1))).otherwise("")
+    found = F.transform(
+        "c",
+        lambda c, i: F.struct(
+            c.alias("candidate"), end(F.concat(before(i), end(F.get("between", i)))).alias("left"), F.left(F.get("between", i + 1), F.lit(BESIDE)).alias("right")
+        ),
     )
+    each = parts.select("doc_id", *others, found.alias("found")).select("doc_id", *others, F.posexplode("found").alias("at", "f"))
+    return each.select("doc_id", *others, (F.col("at") + 1).cast("bigint").alias("nth"), "f.candidate", "f.left", "f.right")
 
 
 def _share(count: Column, of: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import decontam, gru_lm, langid_kn, media_ts, mixing_soft, secret_forest, url_redirects, wordscan
 from chronoweave.session import table
 from tests.llm.conftest import HARD, crc, words
+from tests.llm.labelled import LINES
 
 
 def test_words_and_grams():
@@ -296,6 +297,55 @@ def test_secrets_of_env_files(make):
     assert ("YWJjZGVmZ2hpamtsbW5vcDE=" in [r["candidate"] for r in found]) and not any(r["is_secret"] for r in found if r["doc_id"] == 2)
 
 
+def test_secret_features_against_plain_counts(spark):
+    import re
+
+    found = secret_forest.findings(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LINES)], "doc_id bigint, text string"))
+    rows = secret_forest.described(found).collect()
+    assert len(rows) > 30
+    for r in rows:
+        c, n = r["candidate"], len(r["candidate"])
+        kind = lambda x: "a" if x in "abcdefghijklmnopqrstuvwxyz" else "B" if x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "0" if x in "0123456789" else "_"
+        covered, at = 0, 0
+        while at < n:  # the longest word that starts here, else one character on
+            word = max((w for w in secret_forest.DICTIONARY if c.lower().startswith(w, at)), key=len, default="")
+            covered, at = covered + len(word), at + (len(word) or 1)
+        want = {
+            "length": n, "changes": sum(kind(x) != kind(y) for x, y in zip(c, c[1:])) / max(1, n - 1), "distinct": len(set(c)) / n, "digits": sum(x.isdigit() for x in c) / n,
+            "uppers": sum(x.isupper() for x in c) / n, "hexes": sum(x in "0123456789abcdefABCDEF" for x in c) / n, "covered": covered / n, "paths": c.count("/"),
+            "quoted": float(r["left"][-1:] in list("\"'`") and r["right"][:1] in list("\"'`")), "assigned": float(bool(re.search("[=:]\\s*[\"'`]?$", r["left"]))),
+        }
+        assert {k: r[k] for k in want} == pytest.approx(want), c
+
+
+def test_secrets_in_lines_labelled_by_hand(spark):
+    """The default forest on lines that it was not trained on: precision and recall by line."""
+    got = secret_forest.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LINES)], "doc_id bigint, text string")).where("is_secret").collect()
+    said = {(r["doc_id"], r["candidate"]) for r in got}
+    true = {(k, c) for k, (_, c) in enumerate(LINES) if c}
+    precision, recall = len(said & true) / len(said), len(said & true) / len(true)
+    print(f"precision {precision:.3f}, recall {recall:.3f}", sorted(said - true), sorted(true - said))
+    assert precision >= 0.8 and recall >= 0.8
+
+
+def test_secrets_planted_in_documents(spark, small):
+    docs = table(spark, small.replace("sf0.001", "sf0.01"), "documents")
+    import re
+
+    true = {(r["doc_id"], m) for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+    said = {(r["doc_id"], r["candidate"]) for r in secret_forest.scan(docs).where("is_secret").collect()}
+    assert len(true) > 10 and said == true
+
+
+def test_secrets_of_hard_rows(make, spark):
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(None, f"token={secret}"), (1, None), (1, ""), (2, f"token={secret}"), (2, f"token={secret}"), (3, f"x1234567890123456 " * 3000 + f'key = "{secret}"')]
+    got = secret_forest.scan(make(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["candidate"]) for r in got if r["is_secret"]) == [(0, secret), (2, secret), (2, secret), (3, secret)]
+    assert sum(r["doc_id"] == 3 for r in got) == 3001
+    assert secret_forest.scan(make(rows).where("false")).count() == 0
+
+
 def test_forest_is_repeatable(spark):
     labelled = secret_forest.example_findings(spark, 400)
     a, b = secret_forest.fit(labelled), secret_forest.fit(labelled.repartition(5))
