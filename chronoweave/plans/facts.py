@@ -73,11 +73,11 @@ def endpoint_validate(spark, d):
 
 @query(
     "reference_times",
-    f"""WITH e AS (SELECT user_id, list(strftime(ts, {TIME}) ORDER BY event_id)[1:4] AS ts FROM events GROUP BY user_id)
+    f"""WITH e AS (SELECT user_id, list(strftime(ts, {TIME}) ORDER BY event_id) AS ts FROM events GROUP BY user_id)
 SELECT user_id, coalesce(CASE WHEN user_id % 6 < len(ts) THEN ts[user_id % 6 + 1] END, ts[1]) AS reference_time, list_max(ts) AS latest, replace(ts[1], 'T', ' ') AS spaced FROM e""",
 )
 def reference_times(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("event_id", time_text("ts").alias("t")))), 1, 4), lambda x: x["t"]).alias("ts"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", time_text("ts").alias("t")))), lambda x: x["t"]).alias("ts"))
     first = F.get("ts", 0)
     return e.select(
         "user_id", extraction.reference_time(F.array(F.col("user_id") % 6), F.col("ts"), first).alias("reference_time"), extraction.latest(F.col("ts")).alias("latest"), text.spaced_time(first).alias("spaced")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from chronoweave.functions.jsontext import canonical_json
+from chronoweave.functions.timestamps import iso_seconds
 from chronoweave.models import providers
 from chronoweave.operators import conformance, ingest
 from chronoweave.plans import views
@@ -98,42 +101,45 @@ def graph_dump(spark, d):
     return store.graph_dump(n, e, p)
 
 
-FIRST_ORDERS = """first_orders AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)"""
-
-
 @query(
     "add_episode_batch",
-    f"""WITH {FIRST_ORDERS}, f AS (SELECT * FROM first_orders WHERE k = 1), g AS (SELECT * FROM first_orders WHERE k = 2)
-SELECT 'c' || g.o_custkey AS group_id, 'c' || g.o_custkey || ' PREFERS p' || left(g.o_orderpriority, 1) AS fact, f.o_orderpriority = g.o_orderpriority AS duplicate,
-  CASE WHEN f.o_orderpriority <> g.o_orderpriority AND f.o_orderdate < g.o_orderdate THEN 1 ELSE 0 END::BIGINT AS n_ended, 1 + (f.o_orderpriority = g.o_orderpriority)::BIGINT AS n_merges
-FROM f JOIN g USING (o_custkey)""",
+    """WITH m AS (SELECT DISTINCT o_custkey AS c, left(o_orderpriority, 1) AS p, year(o_orderdate) AS y FROM orders),
+f AS (SELECT c, p, min(y) AS y, count(*) AS n FROM m GROUP BY ALL), fresh AS (SELECT c, y, min(p) AS p FROM f GROUP BY ALL),
+l AS (SELECT f.c, f.p, min(fresh.y) AS later FROM f JOIN fresh ON fresh.c = f.c AND fresh.y > f.y LEFT JOIN m ON m.c = f.c AND m.p = f.p AND m.y = fresh.y
+  WHERE m.p IS NULL OR f.p > fresh.p GROUP BY ALL)
+SELECT 'c' || c AS group_id, 'c' || c || ' PREFERS p' || p AS fact, y || '-01-01T00:00:00+00:00' AS valid_at, later || '-01-01T00:00:00+00:00' AS invalid_at, n AS n_episodes
+FROM f LEFT JOIN l USING (c, p)""",
 )
 def add_episode_batch(spark, d):
-    """The first two orders of each customer as episodes, ingested one after the other; what the second one decides."""
+    """All orders, a customer's of one year as an episode, ingested year by year: the facts, their bounds and how many episodes hold them.
+
+    A year's first fact that is new ends those of earlier years, but for what the year has said again by then.
+    """
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).where("k <= 2")
-    who, what = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), F.left("o_orderpriority", F.lit(1)))
-    line = F.concat_ws(" ", who, F.lit("PREFERS"), what)
-    # two speakers and one fact
-    content = F.concat(who, F.lit(": hello\n"), what, F.lit(": hello\n"), line)
-    e = o.select(
-        F.concat(F.lit("ep-"), F.col("o_orderkey").cast("string")).alias("episode_id"), who.alias("group_id"), F.lit("text").alias("kind"), F.lit("orders").alias("source"),
-        content.alias("content"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_at"), F.col("k").cast("bigint").alias("seq"),
+    who = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    o = table(spark, d, "orders").select(who.alias("group_id"), F.year("o_orderdate").alias("year"), F.concat(F.lit("p"), F.left("o_orderpriority", F.lit(1))).alias("what"))
+    years = o.groupBy("group_id", "year").agg(F.sort_array(F.collect_set("what")).alias("what"))  # a handful of priorities
+    line = lambda x: F.concat(F.col("group_id"), F.lit(" PREFERS "), x)
+    said = F.concat(F.array(F.concat("group_id", F.lit(": hello"))), F.transform("what", lambda x: F.concat(x, F.lit(": hello"))), F.transform("what", line))
+    episodes = materialize(
+        years.select(
+            F.concat_ws("-", F.lit("ep"), "group_id", "year").alias("episode_id"), "group_id", F.lit("text").alias("kind"), F.lit("orders").alias("source"),
+            F.array_join(said, "\n").alias("content"), F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("valid_at"),
+            F.row_number().over(Window.partitionBy("group_id").orderBy("year")).cast("bigint").alias("seq"),
+        )
     )
     types = spark.createDataFrame([(1, "Person")], "type_id bigint, type_name string")
     now = F.lit(views.NOW).cast("timestamp")
-    none = {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("nodes", "edges")}
-    take = lambda k, nodes, edges: ingest.step(
-        x := e.where(F.col("seq") == k), nodes, edges, providers.rule_entities(x), providers.rule_edges(x), types, now, ("PREFERS",)
-    )
-    first = take(1, none["nodes"], none["edges"])
-    nodes = materialize(ingest.upserted(none["nodes"], first.nodes, "node_id"))
-    edges = materialize(ingest.upserted(none["edges"], first.edges, "edge_id"))
-    second = take(2, nodes, edges)
-    said = e.where("seq = 2").select("group_id", "episode_id", F.regexp_extract("content", r"(?m)^(\S+ PREFERS \S+)$", 1).alias("fact"))
-    fresh = second.edges.select("group_id", F.lit(1).alias("is_new"))
-    ended = second.bounds.join(edges.select("edge_id", "group_id"), "edge_id").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_ended"))
-    merges = second.nodes.where("merged_into is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_merges"))
-    out = said.join(fresh, "group_id", "left").join(ended, "group_id", "left").join(merges, "group_id", "left")
-    return out.select("group_id", "fact", F.col("is_new").isNull().alias("duplicate"), F.coalesce("n_ended", F.lit(0)).cast("bigint").alias("n_ended"), F.coalesce("n_merges", F.lit(0)).cast("bigint").alias("n_merges"))
+    nodes, edges = (spark.createDataFrame([], store.SCHEMAS[n]) for n in ("nodes", "edges"))
+    mentions = []
+    for k in range(1, (episodes.agg(F.max("seq")).first()[0] or 0) + 1):
+        now_in = episodes.where(F.col("seq") == k)
+        c = ingest.step(now_in, nodes, edges, providers.rule_entities(now_in), providers.rule_edges(now_in), types, now, ("PREFERS",))
+        mentions.append(materialize(c.mentions.where("target_kind = 'edge'").select("target_id")))
+        edges = materialize(ingest.upserted(ingest.bounded(edges, c.bounds), c.edges, "edge_id"))
+        nodes = materialize(ingest.upserted(nodes, c.nodes, "node_id"))
+    if not mentions:
+        mentions = [spark.createDataFrame([], "target_id string")]
+    held = reduce(DataFrame.unionByName, mentions).groupBy(F.col("target_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("n_episodes"))
+    return edges.join(held, "edge_id").select("group_id", "fact", iso_seconds(F.col("valid_at")).alias("valid_at"), iso_seconds(F.col("invalid_at")).alias("invalid_at"), "n_episodes")
