@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text
@@ -10,7 +12,7 @@ from chronoweave.operators import extraction, resolution, search, summaries, tem
 from chronoweave.plans import views
 from chronoweave.plans.names import COSINE, exact
 from chronoweave.plans.views import TIME, time_text, with_views
-from chronoweave.session import table
+from chronoweave.session import materialize, scratch_dir, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -385,13 +387,14 @@ TERMS = {
     "words": "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')",
     "trigrams": "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3))) ELSE []::VARCHAR[] END",
 }
+LENGTH = {"words": "len(t)", "trigrams": "greatest(length(fact) - 2, 0)"}
 
 
 def _leg(name: str, query_text: str) -> str:
     terms = TERMS[name]
     q = terms.format(f"'{query_text}'")
-    return f""", {name}_t AS (SELECT id, {terms.format('fact')} AS t FROM c), {name}_a AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {name}_t),
-{name}_h AS (SELECT id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM {name}_t) WHERE list_contains({q}, term) GROUP BY id, term),
+    return f""", {name}_t AS (SELECT id, t, {LENGTH[name]} AS n FROM (SELECT id, fact, {terms.format('fact')} AS t FROM c)), {name}_a AS (SELECT count(*) AS n, avg(n) AS a FROM {name}_t),
+{name}_h AS (SELECT id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT id, n, unnest(t) AS term FROM {name}_t) WHERE list_contains({q}, term) GROUP BY id, term),
 {name}_d AS (SELECT term, count(*) AS df FROM {name}_h GROUP BY term),
 {name}_s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM {name}_h JOIN {name}_d USING (term), {name}_a
   GROUP BY id HAVING count(*) = len(list_distinct({q}))),
@@ -399,12 +402,8 @@ def _leg(name: str, query_text: str) -> str:
 
 
 def _corpus(spark, d):
-    return views.supply_edges(spark, d).select(F.col("edge_id").alias("id"), "fact", "src", "dst")
-
-
-def _rounded(scores):
-    """Scores of one size must tie whatever the order of their sum."""
-    return scores.withColumn("score", F.round("score", 9))
+    """Facts as a table, which a search reads more than once."""
+    return materialize(views.supply_edges(spark, d).select(F.col("edge_id").alias("id"), "fact", "src", "dst"))
 
 
 WORD_QUERY, GRAM_QUERY = "supplier 7 part", "part:77"
@@ -412,12 +411,12 @@ WORD_QUERY, GRAM_QUERY = "supplier 7 part", "part:77"
 
 @query("bm25_search", with_views("supply", FACT_ROWS + _leg("words", WORD_QUERY) + " SELECT id, rank FROM words_r"))
 def bm25_search(spark, d):
-    return search.ranked(_rounded(search.bm25(_corpus(spark, d), WORD_QUERY, search.words)), 100).select("id", F.col("rank").cast("bigint").alias("rank"))
+    return search.ranked(search.bm25(_corpus(spark, d), WORD_QUERY, search.WORDS), 100).select("id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("trigram_search", with_views("supply", FACT_ROWS + _leg("trigrams", GRAM_QUERY) + " SELECT id, rank FROM trigrams_r"))
 def trigram_search(spark, d):
-    return search.ranked(_rounded(search.bm25(_corpus(spark, d), GRAM_QUERY, search.trigrams)), 100).select("id", F.col("rank").cast("bigint").alias("rank"))
+    return search.ranked(search.bm25(_corpus(spark, d), GRAM_QUERY, search.TRIGRAMS), 100).select("id", F.col("rank").cast("bigint").alias("rank"))
 
 
 QUERY_VECTOR = [1.0 if k % 2 else -0.5 for k in range(64)]
@@ -446,7 +445,7 @@ SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score, any_value(fact) AS fact FR
 )
 def hybrid_rrf(spark, d):
     c = _corpus(spark, d)
-    legs = [search.ranked(_rounded(search.bm25(c, "supplier 7", search.words)), 100), search.ranked(_rounded(search.bm25(c, "supplier:7 ", search.trigrams)), 100)]
+    legs = [search.ranked(search.bm25(c, "supplier 7", search.WORDS), 100), search.ranked(search.bm25(c, "supplier:7 ", search.TRIGRAMS), 100)]
     return search.fused(legs).join(c.select("id", "fact"), "id").select("id", F.round("score", 6).alias("score"), "fact")
 
 
@@ -462,3 +461,42 @@ SELECT id, count(*)::DOUBLE AS score FROM (SELECT id, src AS node FROM c UNION S
 def graph_expansion(spark, d):
     c = _corpus(spark, d)
     return search.expansion(c.where("src = 'supplier:7'").select("id"), c)
+
+
+@query("stored_postings", with_views("supply", FACT_ROWS + _leg("words", WORD_QUERY) + " SELECT id, rank FROM words_r"))
+def stored_postings(spark, d):
+    """The word search over postings that are written first and then read by the query's terms."""
+    path = f"{scratch_dir(spark)}/postings-{uuid.uuid4().hex}"
+    search.store_postings(_corpus(spark, d), search.WORDS, path)
+    return search.ranked(search.search_postings(spark, path, WORD_QUERY, search.WORDS), 100).select("id", F.col("rank").cast("bigint").alias("rank"))
+
+
+SEARCH_TEXT, SEARCH_TIME = "supplier:3 part", "1998-06-01 00:00:00"
+
+
+@query(
+    "search_edges",
+    with_views(
+        "supply",
+        f""", v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT {QUERY_VECTOR}::DOUBLE[] AS q),
+c AS (SELECT edge_id AS id, fact, src, dst, valid_at, embedding AS vec FROM supply LEFT JOIN v ON dst = 'part:' || vec_id WHERE valid_at <= TIMESTAMP '{SEARCH_TIME}')"""
+        + _leg("words", SEARCH_TEXT)
+        + _leg("trigrams", SEARCH_TEXT)
+        + f""", vec_r AS (SELECT id, row_number() OVER (ORDER BY round({COSINE.format('vec', 'q')}, 9) DESC, id) AS rank FROM c, q WHERE vec IS NOT NULL AND {COSINE.format('vec', 'q')} > 0 QUALIFY rank <= 100),
+h AS (SELECT id FROM words_r UNION SELECT id FROM trigrams_r UNION SELECT id FROM vec_r), ends AS (SELECT src AS node FROM c JOIN h USING (id) UNION SELECT dst FROM c JOIN h USING (id)),
+near AS (SELECT id, count(*) AS score FROM (SELECT id, src AS node FROM c UNION SELECT id, dst FROM c) JOIN ends USING (node) WHERE id NOT IN (SELECT id FROM h) GROUP BY id),
+near_r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 100),
+u AS (SELECT * FROM words_r UNION ALL SELECT * FROM trigrams_r UNION ALL SELECT * FROM vec_r UNION ALL SELECT * FROM near_r),
+sums AS (SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY id),
+best AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM sums QUALIFY place <= 10)
+SELECT place AS rank, id, fact, round(score, 6) AS score, strftime(c.valid_at, {TIME}) AS valid_at, 'ep-' || substr(id, 8) AS episodes FROM best JOIN c USING (id)""",
+    ),
+)
+def search_edges(spark, d):
+    """Facts current at a time, by words, trigrams, vectors (a part's) and shared ends, with their episodes."""
+    e = views.supply_edges(spark, d)
+    vec = table(spark, d, "embeddings").select(F.concat(F.lit("part:"), F.col("vec_id").cast("string")).alias("dst"), F.col("embedding").alias("vec"))
+    items = e.select(F.col("edge_id").alias("id"), F.lit("edge").alias("kind"), "fact", "src", "dst", "valid_at", F.lit(None).cast("timestamp_ntz").alias("invalid_at")).join(vec, "dst", "left")
+    mentions = e.select("episode_id", F.col("edge_id").alias("target_id"))
+    out = search.search_edges(items, SEARCH_TEXT, QUERY_VECTOR, current_at=views.stamp(SEARCH_TIME), mentions=mentions)
+    return out.select(F.col("rank").cast("bigint").alias("rank"), "id", "fact", F.round("score", 6).alias("score"), time_text("valid_at").alias("valid_at"), F.array_join("episodes", "|").alias("episodes"))

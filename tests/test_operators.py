@@ -77,11 +77,30 @@ def test_graph(spark):
 
 def test_search(spark):
     facts = [("1", "a", "b", "Ana works at Northwind"), ("2", "a", "c", "Ana moved to Lisbon"), ("3", "d", "c", "小明喜欢北京烤鸭")]
-    df = spark.createDataFrame([(i, s, t, f, None, None, [1.0, 0.0]) for i, s, t, f in facts], "id string, src string, dst string, fact string, valid_at timestamp_ntz, invalid_at timestamp_ntz, vec array<float>")
-    assert search.search_edges(df, "works northwind").orderBy(F.desc("score"), "id").first()["id"] == "1"
+    schema = "id string, src string, dst string, fact string, valid_at timestamp_ntz, invalid_at timestamp_ntz, vec array<float>, group_id string, kind string"
+    df = spark.createDataFrame([(i, s, t, f, None, None, [1.0, 0.0], "g", "edge") for i, s, t, f in facts] + [("n", None, None, "Northwind", None, None, None, "g", "node"), ("x", "a", "b", "Northwind in h", None, None, None, "h", "edge")], schema)
+    mentions = spark.createDataFrame([("e2", "1"), ("e1", "1"), ("e9", "2")], "episode_id string, target_id string")
+    first = search.search_edges(df, "works northwind", group_id="g", mentions=mentions).first()
+    assert (first["id"], first["rank"], first["episodes"], first["src"]) == ("1", 1, ["e1", "e2"], "a")
     assert [r["id"] for r in search.search_edges(df.where("id = '3' or id = '1'"), "北京烤").collect()] == ["3"]
-    assert search.search_edges(df, "works", limit=0).count() == 0
-    assert [r["id"] for r in search.bm25(df, "ana works", search.words).collect()] == ["1"]
+    assert search.search_edges(df, "works", limit=0, mentions=mentions).count() == 0
+    assert {r["id"] for r in search.search(df, "northwind", kinds=("node",)).collect()} == {"n"}
+    # a vector of another dimension is passed over, and a query of short words has no trigram leg
+    assert search.search_edges(df, "zzz", [1.0, 0.0, 0.0], group_id="g").count() == 0 and search.search_edges(df, "zzz", [1.0, 0.0], group_id="g").count() == 3
+    assert search.search_edges(df, "a-t x", group_id="g").count() == 0
+    assert [r["id"] for r in search.bm25(df, "ana works", search.WORDS).collect()] == ["1"]
+    assert search.bm25(df, " ", search.WORDS).count() == 0
+
+
+def test_stored_postings(spark, tmp_path):
+    facts = spark.createDataFrame([(str(k), f"fact {k % 3} of {k % 5} and {'x ' * (k % 4)}") for k in range(60)], "id string, fact string")
+    for leg, q in ((search.WORDS, "fact 1 x"), (search.TRIGRAMS, "of 3 and")):
+        path = str(tmp_path / ("w" if leg is search.WORDS else "t"))
+        search.store_postings(facts, leg, path)
+        got = {r["id"]: round(r["score"], 9) for r in search.search_postings(spark, path, q, leg).collect()}
+        assert got and got == {r["id"]: round(r["score"], 9) for r in search.bm25(facts, q, leg).collect()}
+    plan = search.search_postings(spark, path, "abc", search.TRIGRAMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part" in plan
 
 
 def test_state_difference(spark):
