@@ -4,29 +4,87 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronoweave.functions.hashing import MIN_JACCARD, lsh_bands, minhash_signature
 from chronoweave.functions.text import has_high_entropy, jaccard, normalize_exact, normalize_fuzzy, promoted_labels, shingles
-from chronoweave.functions.vectors import cosine
 from chronoweave.operators import temporal
 from chronoweave.session import materialize
 
 # Fixed values.
 POOL_SIZE = 15
 MIN_COSINE = 0.6
+#: Vectors on a side that are compared in one matrix product.
+POOL_BLOCK = 2048
+
+
+def _unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one as rows, shorter ones filled with zeros, and which have a direction."""
+    rows = [np.asarray(x.values, np.float64) if x.is_valid else np.zeros(0) for x in column]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    norm = np.sqrt((out * out).sum(1))
+    return out / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+
+def _nearest(least: float, k: int, schema: pa.Schema):
+    """The k nearest of a block's stored vectors for each of its drafts, group by group: matrix products."""
+
+    def run(drafts: pa.Table, stored: pa.Table) -> pa.Table:
+        parts = []
+        stored = stored.sort_by("node_id")  # ties go to the first id
+        groups = set(drafts.column("group_id").to_pylist()) & set(stored.column("group_id").to_pylist())
+        for group in groups:
+            a, b = (t.filter(pc.equal(t.column("group_id"), group)) for t in (drafts, stored))
+            (x, x_ok), (y, y_ok) = _unit(a.column("vec")), _unit(b.column("vec"))
+            width = max(x.shape[1], y.shape[1])
+            x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
+            # rounded, so that equal vectors tie whatever the order of the sums
+            score = np.round(x @ y.T, 12)
+            score[~x_ok], score[:, ~y_ok] = -np.inf, -np.inf
+            if len(b) > k:
+                cut = np.partition(score, len(b) - k, axis=1)[:, len(b) - k]
+                rows, columns = np.nonzero((score > least) & (score >= cut[:, None]))
+            else:
+                rows, columns = np.nonzero(score > least)
+            order = np.lexsort((columns, -score[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            first = np.searchsorted(rows, rows)
+            keep = np.arange(len(rows)) - first < k
+            rows, columns = rows[keep], columns[keep]
+            parts.append(pa.Table.from_arrays([a.column("draft_id").take(pa.array(rows)), b.column("node_id").take(pa.array(columns)), pa.chunked_array([pa.array(score[rows, columns])])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return run
 
 
 def cosine_pool(drafts: DataFrame, stored: DataFrame, least: float = MIN_COSINE, k: int = POOL_SIZE) -> DataFrame:
-    """draft_id, node_id, score, rank: the k nearest stored vectors of a draft's group, over `least`.
+    """draft_id, node_id, score, rank: the k nearest stored vectors of a draft's group, over `least`; ties by id.
 
-    drafts: draft_id, group_id, vec; stored: node_id, group_id, vec. The join is on the group;
-    ranks are cut in each task before they are dealt by draft.
+    drafts: draft_id, group_id, vec; stored: node_id, group_id, vec. Every draft meets all of its
+    group, as the definition asks, in blocks of POOL_BLOCK by POOL_BLOCK vectors: a large group is
+    many blocks, small ones share a block. Each block gives k rows a draft at most.
     """
-    pairs = drafts.select("draft_id", "group_id", F.col("vec").alias("_a")).join(stored.select("node_id", "group_id", F.col("vec").alias("_b")), "group_id")
-    scored = pairs.select("draft_id", "node_id", cosine(F.col("_a"), F.col("_b")).alias("score")).where(F.col("score") > least)
+    d, n = drafts.select("draft_id", "group_id", "vec"), stored.select("node_id", "group_id", "vec")
+    count = lambda rows, name: rows.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / POOL_BLOCK).alias(name))
+    blocks = materialize(count(d, "_d").join(count(n, "_n"), "group_id"))
+    cells = max(1, blocks.where("_d = 1 and _n = 1").count() * 64 // POOL_BLOCK, drafts.sparkSession.sparkContext.defaultParallelism)
+    large = (F.col("_d") > 1) | (F.col("_n") > 1)
+    cell = F.when(large, F.xxhash64("group_id", "_i", "_j")).otherwise(F.pmod(F.xxhash64("group_id"), F.lit(cells)))
+    spread = lambda size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(size) - 1))
+    dealt = lambda key, size: F.pmod(F.xxhash64(key), F.col(size))
+    a = d.join(blocks, "group_id").withColumn("_i", dealt("draft_id", "_d")).withColumn("_j", spread("_n")).select(cell.alias("_cell"), "draft_id", "group_id", "vec")
+    b = n.join(blocks, "group_id").withColumn("_j", dealt("node_id", "_n")).withColumn("_i", spread("_d")).select(cell, "node_id", "group_id", "vec").toDF("_cell", "node_id", "group_id", "vec")
+    types = {f.name: f.dataType for f in (*d.schema, *n.schema)}
+    out = T.StructType([T.StructField("draft_id", types["draft_id"]), T.StructField("node_id", types["node_id"]), T.StructField("score", T.DoubleType())])
+    near = a.groupBy("_cell").cogroup(b.groupBy("_cell")).applyInArrow(_nearest(least, k, to_arrow_schema(out)), out)
     w = Window.partitionBy("draft_id").orderBy(F.desc("score"), "node_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def exact_matches(drafts: DataFrame, stored: DataFrame) -> DataFrame:
@@ -62,15 +120,41 @@ def fuzzy_matches(drafts: DataFrame, stored: DataFrame, least: float = MIN_JACCA
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def resolve_names(drafts: DataFrame, stored: DataFrame) -> DataFrame:
-    """draft_id, node_id, how: exact, fuzzy, ambiguous or new. The pool is all stored names of the group.
+def pooled_matches(drafts: DataFrame, stored: DataFrame, pool: DataFrame) -> DataFrame:
+    """draft_id, n_matches, exact, fuzzy: what the names of a draft's own candidates (pool: draft_id, node_id, rank) say.
+
+    exact is the only candidate of equal normalized name; fuzzy the best that shares a band and is
+    similar enough, ties by the first band, then by rank, and only where no name is equal.
+    """
+    signed = lambda rows, key, name: rows.select(
+        key, normalize_exact(F.col("name")).alias(f"{name}_norm"), normalize_fuzzy(F.col("name")).alias(f"{name}_f"), shingles(normalize_fuzzy(F.col("name"))).alias(f"{name}_s")
+    ).withColumn("_signature", minhash_signature(f"{name}_s")).withColumn(f"{name}_bands", lsh_bands(F.col("_signature"))).drop("_signature")
+    wanted = stored.join(pool.select("node_id").distinct(), "node_id", "left_semi")
+    pairs = pool.select("draft_id", "node_id", "rank").join(signed(drafts, "draft_id", "d"), "draft_id").join(signed(wanted, "node_id", "s"), "node_id")
+    shared = F.array_position(F.zip_with("d_bands", "s_bands", lambda x, y: F.coalesce(x == y, F.lit(False))), True)
+    score = jaccard(F.col("d_s"), F.col("s_s"))
+    near = has_high_entropy(F.col("d_f")) & (shared > 0) & (score >= MIN_JACCARD)
+    same = F.col("d_norm") == F.col("s_norm")
+    out = pairs.groupBy("draft_id").agg(
+        F.count_if(same).alias("n_matches"), F.min(F.when(same, F.col("node_id"))).alias("_exact"),
+        F.min(F.when(near, F.struct((-score).alias("a"), shared.alias("b"), F.col("rank").alias("c"), F.col("node_id").alias("id")))).alias("_near"),
+    )
+    return out.select("draft_id", "n_matches", F.when(F.col("n_matches") == 1, F.col("_exact")).alias("exact"), F.when(F.col("n_matches") == 0, F.col("_near.id")).alias("fuzzy"))
+
+
+def resolve_names(drafts: DataFrame, stored: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """draft_id, node_id, how: exact, fuzzy, ambiguous or new, among a draft's pool (cosine_pool()); without one, all stored names of the group.
 
     Only drafts without an exact hit go on to the costly tier; an ambiguous hit does not.
     """
+    how = F.when(F.col("n_matches") == 1, "exact").when(F.col("n_matches") > 1, "ambiguous").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("new")
+    if pool is not None:
+        found = pooled_matches(drafts, stored, pool).withColumnsRenamed({"fuzzy": "_fuzzy", "exact": "_exact"})
+        out = drafts.select("draft_id").join(found, "draft_id", "left")
+        return out.select("draft_id", F.coalesce("_exact", "_fuzzy").alias("node_id"), how.alias("how"))
     exact = materialize(exact_matches(drafts, stored))
     rest = exact.where("n_matches = 0").select("draft_id", "group_id", "name")
     fuzzy = fuzzy_matches(rest, stored).select("draft_id", F.col("node_id").alias("_fuzzy"))
-    how = F.when(F.col("n_matches") == 1, "exact").when(F.col("n_matches") > 1, "ambiguous").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("new")
     return exact.join(fuzzy, "draft_id", "left").select("draft_id", F.coalesce("node_id", "_fuzzy").alias("node_id"), how.alias("how"))
 
 
@@ -82,12 +166,26 @@ def guarded_judgments(judgments: DataFrame, n_drafts: Column, n_candidates: Colu
     return kept.withColumn("candidate_id", F.when(good, F.col("candidate_id")).otherwise(F.lit(-1).cast("bigint")))
 
 
-def resolve_nodes(drafts: DataFrame, stored: DataFrame, judgments: DataFrame | None = None) -> DataFrame:
+def judged_nodes(unresolved: DataFrame, pool: DataFrame, replies: DataFrame) -> DataFrame:
+    """draft_id, node_id from a model's replies (batch_id, pos, id, candidate_id) about the drafts that names left open.
+
+    unresolved: batch_id, draft_id, pos; ids count them from 0 in the order of pos within a batch,
+    candidate ids the candidates of the batch's pool (batch_id, node_id, pos). Ids out of range and
+    repeats are passed over; a candidate out of range says that the draft is new.
+    """
+    numbered = lambda rows, name: rows.withColumn(name, (F.row_number().over(Window.partitionBy("batch_id").orderBy("pos")) - 1).cast("bigint")).drop("pos")
+    drafts, candidates = numbered(unresolved.select("batch_id", "draft_id", "pos"), "id"), numbered(pool.select("batch_id", "node_id", "pos"), "candidate_id")
+    sizes = drafts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_d")).join(candidates.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n")), "batch_id", "left")
+    good = guarded_judgments(replies.join(sizes, "batch_id"), F.col("_d"), F.coalesce("_n", F.lit(0)))
+    return good.join(drafts, ["batch_id", "id"]).join(candidates, ["batch_id", "candidate_id"]).select("draft_id", "node_id")
+
+
+def resolve_nodes(drafts: DataFrame, stored: DataFrame, judgments: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """resolve_names(), then judgments (draft_id, node_id) for those left over; what no tier resolves is new. With promoted labels.
 
-    drafts: draft_id, group_id, name, labels; stored: node_id, group_id, name, labels.
+    drafts: draft_id, group_id, name, labels; stored: node_id, group_id, name, labels; pool as in resolve_names().
     """
-    out = resolve_names(drafts, stored)
+    out = resolve_names(drafts, stored, pool)
     if judgments is not None:
         out = out.join(judgments.select("draft_id", F.col("node_id").alias("_j")), "draft_id", "left")
         out = out.select("draft_id", F.coalesce("node_id", "_j").alias("node_id"), F.when(F.col("node_id").isNull() & F.col("_j").isNotNull(), "judged").otherwise(F.col("how")).alias("how"))
@@ -133,6 +231,22 @@ def split_contradictions(judged: DataFrame) -> DataFrame:
     )
 
 
+def judged_edges(drafts: DataFrame, stored: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """duplicates and contradictions (draft_id, edge_id each) from a model's replies (draft_id, duplicates, contradicted: index arrays).
+
+    Indices count candidate_lists(): related edges from 0, then the rest of the group. Of
+    duplicates the first related one holds; contradictions may be in either list.
+    """
+    lists = materialize(candidate_lists(drafts, stored))
+    sizes = lists.groupBy("draft_id").agg(F.count_if(F.col("list") == "related").alias("n_related"), F.count_if(F.col("list") == "pool").alias("n_pool"))
+    judged = replies.join(sizes, "draft_id")
+    same = judged.select("draft_id", first_duplicate(F.col("duplicates"), F.col("n_related")).alias("idx")).where("idx is not null")
+    against = split_contradictions(judged.select("draft_id", "contradicted", "n_related", "n_pool")).join(sizes.select("draft_id", "n_related"), "draft_id")
+    against = against.select("draft_id", F.when(F.col("list") == "related", F.col("at")).otherwise(F.col("at") + F.col("n_related")).alias("idx")).distinct()
+    of = lambda rows: rows.join(lists, ["draft_id", "idx"]).select("draft_id", "edge_id")
+    return of(same), of(against)
+
+
 def resolve_edges(drafts: DataFrame, stored: DataFrame, duplicates: DataFrame, contradictions: DataFrame, extracted: DataFrame | None, now: Column) -> tuple[DataFrame, DataFrame]:
     """Resolved drafts, and the decisions on stored edges.
 

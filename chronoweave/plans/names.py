@@ -8,7 +8,7 @@ from chronoweave.functions import hashing, text, vectors
 from chronoweave.operators import extraction, resolution
 from chronoweave.plans import views
 from chronoweave.plans.views import with_views
-from chronoweave.session import table
+from chronoweave.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -212,16 +212,52 @@ def resolution_guard(spark, d):
     "node_resolution",
     with_views(
         "nodes",
-        f""", e AS (SELECT group_id, {exact('name')} AS norm, count(*) AS n, min(node_id) AS id FROM nodes GROUP BY ALL),
-x AS (SELECT 'd:' || d.node_id AS draft_id, n, id, d.merged_into FROM nodes d JOIN e ON e.group_id = d.group_id AND e.norm = {exact("' ' || upper(d.name) || '  '")}),
-r AS (SELECT draft_id, CASE WHEN n = 1 THEN id ELSE merged_into END AS node_id, CASE WHEN n = 1 THEN 'exact' WHEN merged_into IS NOT NULL THEN 'judged' ELSE 'ambiguous' END AS how FROM x)
-SELECT draft_id, r.node_id, how, CASE WHEN r.node_id IS NULL OR len(s.labels) = 1 THEN 'Entity|Thing' ELSE array_to_string(s.labels, '|') END AS labels
+        f""", v AS (SELECT nodes.*, embedding FROM nodes LEFT JOIN embeddings ON vec_id = seq),
+pairs AS (SELECT d.node_id AS draft, s.node_id, {exact("' ' || upper(d.name) || '  '")} = {exact('s.name')} AS same, round({COSINE.format('d.embedding', 's.embedding')}, 12) AS score
+  FROM v d JOIN v s ON d.group_id = s.group_id WHERE s.expired_at IS NULL),
+pool AS (SELECT *, row_number() OVER (PARTITION BY draft ORDER BY score DESC, node_id) AS rank FROM pairs WHERE score > {POOL_COSINE} QUALIFY rank <= 15),
+e AS (SELECT draft, count(*) AS n, min(node_id) AS id FROM pool WHERE same GROUP BY draft),
+r AS (SELECT v.node_id AS draft, n, CASE WHEN n = 1 THEN id ELSE merged_into END AS node_id, merged_into FROM v LEFT JOIN e ON draft = v.node_id)
+SELECT 'd:' || draft AS draft_id, r.node_id, CASE WHEN n = 1 THEN 'exact' WHEN r.merged_into IS NOT NULL THEN 'judged' WHEN n > 1 THEN 'ambiguous' ELSE 'new' END AS how,
+  CASE WHEN r.node_id IS NULL OR len(s.labels) = 1 THEN 'Entity|Thing' ELSE array_to_string(s.labels, '|') END AS labels
 FROM r LEFT JOIN nodes s ON s.node_id = r.node_id""",
     ),
 )
 def node_resolution(spark, d):
-    """Every node's name against all nodes; judgments send merged ones to where they went."""
+    """Every node's name among the live nodes whose vectors are near its own; judgments send merged ones to where they went."""
     n = views.nodes(spark, d)
-    drafts = _drafts(spark, d).withColumn("labels", F.array(F.lit("Entity"), F.lit("Thing")))
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("seq"), F.col("embedding").alias("vec"))
+    n = materialize(n.join(vec, "seq", "left"))
+    drafts = n.select(F.concat(F.lit("d:"), F.col("node_id")).alias("draft_id"), "group_id", F.concat(F.lit(" "), F.upper("name"), F.lit("  ")).alias("name"), "vec")
+    drafts = drafts.withColumn("labels", F.array(F.lit("Entity"), F.lit("Thing")))
+    pool = materialize(resolution.cosine_pool(drafts, n.where("expired_at is null"), POOL_COSINE))
     judged = n.where("merged_into is not null").select(F.concat(F.lit("d:"), F.col("node_id")).alias("draft_id"), F.col("merged_into").alias("node_id"))
-    return resolution.resolve_nodes(drafts, n, judged).select("draft_id", "node_id", "how", F.array_join("labels", "|").alias("labels"))
+    return resolution.resolve_nodes(drafts, n, judged, pool).select("draft_id", "node_id", "how", F.array_join("labels", "|").alias("labels"))
+
+
+JUDGED = """, g AS (SELECT edge_id, src AS group_id, src, dst, fact FROM priority),
+c AS (SELECT d.edge_id AS draft_id, s.edge_id, s.src = d.src AND s.dst = d.dst AS related, row_number() OVER (PARTITION BY d.edge_id ORDER BY (s.src = d.src AND s.dst = d.dst) DESC, s.fact, s.edge_id) - 1 AS idx
+  FROM g d JOIN g s USING (group_id)),
+z AS (SELECT draft_id, count(*) FILTER (related) AS related, count(*) AS n FROM c GROUP BY draft_id),
+j AS (SELECT 'order:' || o_orderkey AS draft_id, [o_orderkey % 9 - 1, o_custkey % 3] AS dup, [o_orderkey % 7, o_custkey % 11 - 1, o_orderkey % 7] AS con FROM orders)"""
+
+
+@query(
+    "judged_edges",
+    with_views(
+        "priority",
+        JUDGED
+        + """ SELECT draft_id, edge_id, 'duplicate' AS kind FROM j JOIN z USING (draft_id) JOIN c USING (draft_id) WHERE idx = list_filter(dup, lambda i: i >= 0 AND i < z.related)[1]
+UNION ALL SELECT DISTINCT draft_id, edge_id, 'contradicted' FROM j JOIN c USING (draft_id) WHERE list_contains(con, idx)""",
+    ),
+)
+def judged_edges(spark, d):
+    """Index replies about every order's fact, read against its candidate lists."""
+    e = views.priority_edges(spark, d).withColumn("group_id", F.col("src"))
+    o = table(spark, d, "orders")
+    replies = o.select(
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("draft_id"), F.array(F.col("o_orderkey") % 9 - 1, F.col("o_custkey") % 3).alias("duplicates"),
+        F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 11 - 1, F.col("o_orderkey") % 7).alias("contradicted"),
+    )
+    same, against = resolution.judged_edges(e.withColumnRenamed("edge_id", "draft_id"), e, replies)
+    return same.withColumn("kind", F.lit("duplicate")).unionByName(against.withColumn("kind", F.lit("contradicted")))
