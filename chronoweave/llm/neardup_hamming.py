@@ -283,7 +283,8 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
 
     wide = held.where(100 * F.col("common") >= percent * F.col("n_shingles")).select("rep", "sig")
     symbols = materialize(map_batches(wide, _symbols, "symbol bigint, rep bigint"))
-    counts = symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join can split the rows of a frequent symbol
+    counts = materialize(symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     w = Window.partitionBy("rep")
     rank = F.row_number().over(w.orderBy("n", "symbol")) + SYMBOLS - F.count(F.lit(1)).over(w)
     rare = materialize(symbols.join(counts, "symbol").withColumn("rank", rank).where(F.col("rank") <= prefix).select("symbol", "rep", "n"))
@@ -316,7 +317,8 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     buckets = materialize(keys.join(shared.select("key"), "key"))
     places = materialize(buckets.groupBy("rep").agg(F.count(F.lit(1)).alias("places")))
     wanted = materialize(reps.join(places, "rep", "left_semi").select("rep", "least", "s1", "s2"))
-    texts = base.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # a merge join at every size: what is wanted grows with the input
+    texts = base.join(wanted.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     made = map_batches(texts, _sets(size), "least bigint, s1 bigint, s2 bigint, hashes binary")
     sets = materialize(made.join(wanted, ["least", "s1", "s2"]).select("rep", "hashes").dropDuplicates(["rep"]))
     links = _Links(reps, sets, similarity, 2 * chunks - 1)
