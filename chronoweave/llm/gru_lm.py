@@ -474,10 +474,37 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def _trained(learned: DataFrame, vocabulary: Vocabulary, w: dict) -> dict:
+    """Weights after the driver's warm-up and ROUNDS passes of all tasks over all tokens of learned (doc_id, text)."""
+    spark = learned.sparkSession
+    # the warm-up's sample: documents of the lowest draws
+    short = learned.where(F.length("text").between(1, MOST_CHARS)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))
+    share = min(1.0, WARM_DOCS / max(1, short.count()))
+    sample = [r["text"] for r in sorted(short.where(F.col("draw") < int(share * (1 << 30))).collect(), key=lambda r: r["draw"])[:WARM_DOCS]]
+    adam = Adam(w, 4e-3)
+    for epoch in range(WARM_EPOCHS):
+        draws = np.random.default_rng(epoch).integers(0, 1 << 30, len(sample))
+        train(w, [list(_sequences(pa.array(sample, pa.string()), vocabulary, WARM_TOKENS, draws))], adam)
+        adam.rate *= 0.7
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((w, vocabulary))
+        sums = map_batches(learned.select("text"), _local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        with tidy_shuffles(spark):
+            rows = sums.collect()
+        if rows:
+            flat = np.empty(len(rows))
+            flat[np.array([r["at"] for r in rows]) + 1] = [r["x"] for r in rows]
+            flat, at = (flat[1:] / flat[0]).astype(f32), 0
+            for name in sorted(w):
+                w[name], at = flat[at : at + w[name].size].reshape(w[name].shape), at + w[name].size
+    return w
+
+
+def score_documents(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
-    Null text is empty: its one token is the end. Rows without an id are trained on. Other columns
+    The network is trained here unless weights are given. Null text is empty: its one token is the
+    end. Rows without an id are trained on. Other columns
     are passed over, repeated rows get equal scores. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -508,27 +535,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     unigram = np.full(VOCABULARY, 1e-9)
     unigram[END], unigram[UNKNOWN] = 10**end_log, 10**rest
     unigram[2 : 2 + len(words)] = 10 ** log10(n[words])
-    w = new_weights(np.log(unigram / unigram.sum()))
-    # the warm-up's sample: documents of the lowest draws
-    short = learned.where(F.length("text").between(1, MOST_CHARS)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))
-    share = min(1.0, WARM_DOCS / max(1, short.count()))
-    sample = [r["text"] for r in sorted(short.where(F.col("draw") < int(share * (1 << 30))).collect(), key=lambda r: r["draw"])[:WARM_DOCS]]
-    adam = Adam(w, 4e-3)
-    for epoch in range(WARM_EPOCHS):
-        draws = np.random.default_rng(epoch).integers(0, 1 << 30, len(sample))
-        train(w, [list(_sequences(pa.array(sample, pa.string()), vocabulary, WARM_TOKENS, draws))], adam)
-        adam.rate *= 0.7
-    for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((w, vocabulary))
-        sums = map_batches(learned.select("text"), _local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
-        with tidy_shuffles(spark):
-            rows = sums.collect()
-        if rows:
-            flat = np.empty(len(rows))
-            flat[np.array([r["at"] for r in rows]) + 1] = [r["x"] for r in rows]
-            flat, at = (flat[1:] / flat[0]).astype(f32), 0
-            for name in sorted(w):
-                w[name], at = flat[at : at + w[name].size].reshape(w[name].shape), at + w[name].size
+    w = weights or _trained(learned, vocabulary, new_weights(np.log(unigram / unigram.sum())))
     vocabulary_logs = np.zeros(VOCABULARY)
     vocabulary_logs[2 : 2 + len(words)] = log10(n[words])
     shared = spark.sparkContext.broadcast((w, Places(hashes[order]), log10(n[order]), end_log, vocabulary_logs))

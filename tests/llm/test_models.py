@@ -583,6 +583,26 @@ def test_lm_scores(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_score_against_a_plain_network(make):
+    """The score of every text, one number at a time: the network's words by plain_gru(), the others by their share of what it leaves."""
+    rng, weights = random.Random(7), {k: v + np.random.default_rng(3).standard_normal(v.shape).astype(np.float32) * 0.2 for k, v in gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY))).items()}
+    texts = [" ".join(rng.choice("alpha Beta gamma delta eps zeta".split()) + str(rng.randrange(3)) for _ in range(rng.randint(0, 30))) for _ in range(30)] + [None, "never seen words"]
+    rows = list(enumerate(texts, 1))
+    learned = [words(t, fold=True) for i, t in rows if crc(i) % 10]
+    counts = Counter(w for ws in learned for w in ws)
+    below = sum(counts.values()) + len(learned) + 0.1 * (len(counts) + 2)
+    p = lambda c: (c + 0.1) / below
+    hashes = {w: int(next(wordscan.scan(pa.array([w]), True))[2].hash[0]) for w in counts}
+    ids = {w: k + 2 for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], hashes[w])))}
+    rest = 1 - p(len(learned)) - sum(p(c) for c in counts.values())
+    got = {r["doc_id"]: r["score"] for r in gru_lm.score_documents(make(rows), weights).collect()}
+    for i, t in rows:
+        ws = words(t, fold=True)
+        want = plain_gru(weights, [*(ids.get(w, gru_lm.UNKNOWN) for w in ws), gru_lm.END]) / math.log(10)
+        want += sum(math.log10(p(0) / rest) for w in ws if w not in ids)
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_hard_cases(make):
     got = {r["doc_id"]: r for r in gru_lm.score_documents(make([*HARD, (None, "a b")])).collect()}
     assert got[1]["n_tokens"] == 1 and got[8]["n_tokens"] == 20_001 and got[None]["n_tokens"] == 3
