@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chronoweave.session import materialize
+from chronoweave.session import children, delete_folder, exists, materialize, touch
 
 # Fixed values.
 QUEUE_SLOTS = 256
@@ -24,40 +25,70 @@ PARTS = 64
 DEALT = ("nodes", "edges")
 
 
+#: Tables that only grow: each step's rows are a folder of their own.
+LOGS = ("mentions", "episodes")
+
+
 class Store:
-    """Parquet tables under one path; a missing one reads as empty."""
+    """Parquet tables under one path; a missing one reads as empty.
+
+    A step's changes are written whole to a folder of their own, then marked as ready, then applied.
+    Applying reads nothing but that folder and may be repeated, so after a crash recover() takes
+    every step either whole or not at all. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _exists(self, name: str) -> bool:
-        sc = self.spark.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
-
     def _dealt(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name] + ", part int").parquet(f"{self.path}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        if not self._exists(name):
+        if not exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], SCHEMAS[name])
         if name in DEALT:
             return self._dealt(name).drop("part")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._fit(name, rows).write.mode("append").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(SCHEMAS[name] + ", step string").parquet(f"{self.path}/{name}").drop("step")
 
-    def merge(self, name: str, rows: DataFrame, key: str) -> None:
-        """Put rows in place of those with equal keys, or add them; parts without a group of theirs are not touched."""
+    def _merged(self, name: str, rows: DataFrame, key: str) -> DataFrame | None:
+        """All rows of the parts that rows belong to, with rows in place of those with equal keys; None without rows."""
         new = materialize(self._fit(name, rows).withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(PARTS)).cast("int")))
         parts = [r["part"] for r in new.select("part").distinct().collect()]  # PARTS at most
         if not parts:
-            return
-        if self._exists(name):
-            old = self._dealt(name).where(F.col("part").isin(parts))
-            new = materialize(old.join(new.select(key), key, "left_anti").unionByName(new))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+            return None
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return new
+        old = self._dealt(name).where(F.col("part").isin(parts))
+        return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+    def write(self, rows: dict[str, DataFrame]) -> None:
+        """Take rows of several tables in one step: of DEALT ones by key (node_id, edge_id), of LOGS as additions."""
+        step = uuid.uuid4().hex
+        for name, new in rows.items():
+            out = self._merged(name, new, f"{name[:-1]}_id") if name in DEALT else self._fit(name, new)
+            if out is not None:
+                writer = out.write.partitionBy("part") if name in DEALT else out.write
+                writer.parquet(f"{self.path}/changes/{step}/{name}")
+        touch(self.spark, f"{self.path}/changes/{step}/_ready")
+        self._apply(step)
+
+    def _apply(self, step: str) -> None:
+        at = f"{self.path}/changes/{step}"
+        for name in (x for x in children(self.spark, at) if x in SCHEMAS):
+            if name in DEALT:
+                rows = self.spark.read.schema(SCHEMAS[name] + ", part int").parquet(f"{at}/{name}")
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+            else:
+                self.spark.read.schema(SCHEMAS[name]).parquet(f"{at}/{name}").write.mode("overwrite").parquet(f"{self.path}/{name}/step={step}")
+        delete_folder(self.spark, at)
+
+    def recover(self) -> None:
+        """Finish steps that were ready when a writer stopped, and forget those that were not."""
+        for step in children(self.spark, f"{self.path}/changes"):
+            if exists(self.spark, f"{self.path}/changes/{step}/_ready"):
+                self._apply(step)
+            else:
+                delete_folder(self.spark, f"{self.path}/changes/{step}")
 
     def _fit(self, name: str, rows: DataFrame) -> DataFrame:
         columns = self.spark.createDataFrame([], SCHEMAS[name]).schema

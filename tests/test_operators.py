@@ -167,15 +167,104 @@ def test_streaming_ingestion(spark, tmp_path):
     assert [s.read(t).count() for t in ("nodes", "edges", "mentions", "episodes")] == before == [4, 2, 6, 2]
 
 
+def _state(s):
+    return [sorted(map(str, s.read(t).select(*cols).collect())) for t, cols in (("nodes", ("node_id", "name", "summary", "merged_into")), ("edges", ("edge_id", "fact", "invalid_at")), ("mentions", ("episode_id", "target_id")), ("episodes", ("episode_id",)))]
+
+
+@pytest.mark.parametrize("writes", [0, 1, 3])
+def test_a_writer_that_stops_between_writes(spark, tmp_path, writes, monkeypatch):
+    """A step is taken whole or not at all: stopped before or after its changes were ready, the batch is run again to the same state."""
+    types = spark.createDataFrame([(1, "Person")], "type_id bigint, type_name string")
+    now = F.lit("2030-01-01").cast("timestamp")
+    rows = spark.createDataFrame(EPISODES, "episode_id string, group_id string, kind string, source string, content string, valid_at string, seq bigint")
+    whole = store.Store(spark, str(tmp_path / "whole"))
+    Ingester(whole, types, now, contradictory=("WORKS_AT",)).add(rows)
+    cut = store.Store(spark, str(tmp_path / "cut"))
+    real_children, real_touch, calls = store.children, store.touch, []
+
+    def children(spark, path):  # the tables that a step applies; it stops after some of them
+        names = real_children(spark, path)
+        return names[:writes] if "/changes/" in path and not calls else names
+
+    def touch(spark, path):
+        if not writes:
+            raise RuntimeError("stopped")
+        real_touch(spark, path)
+
+    def delete(spark, path):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "children", children)
+        m.setattr(store, "touch", touch)
+        m.setattr(store, "delete_folder", delete)
+        with pytest.raises(RuntimeError):
+            Ingester(cut, types, now, contradictory=("WORKS_AT",)).add(rows)
+    Ingester(cut, types, now, contradictory=("WORKS_AT",)).add(rows)
+    assert _state(cut) == _state(whole) and real_children(spark, str(tmp_path / "cut" / "changes")) == []
+
+
 def test_breaker(spark, tmp_path):
-    ingester = Ingester(store.Store(spark, str(tmp_path)), None, None)
-    bad = spark.createDataFrame([], "nothing string")
+    types = spark.createDataFrame([(1, "Person")], "type_id bigint, type_name string")
+    rows = spark.createDataFrame(EPISODES, "episode_id string, group_id string, kind string, source string, content string, valid_at string, seq bigint")
+
+    def broken(_):
+        raise RuntimeError("no model")
+
+    ingester = Ingester(store.Store(spark, str(tmp_path)), types, F.lit("2030-01-01").cast("timestamp"), entities=broken)
     for _ in range(2):
-        with pytest.raises(Exception):
-            ingester.batch(bad, 0)
-    ingester.batch(bad, 0)
-    ingester.batch(bad, 0)
-    assert ingester.failures == 3
+        with pytest.raises(RuntimeError):
+            ingester.batch(rows, 0)
+    assert ingester.set_aside().count() == 0
+    ingester.batch(rows.where("episode_id = '1'"), 0)
+    ingester.batch(rows.where("episode_id = '2'"), 1)
+    ingester.batch(rows.where("episode_id = '2'"), 1)  # a batch that is run again is set aside once
+    assert ingester.failures == 3 and sorted((r["batch"], r["reason"]) for r in ingester.set_aside().collect()) == [(0, "no model"), (1, "the breaker is open")]
+    ingester.entities = providers.rule_entities
+    ingester.retry()
+    assert ingester.failures == 0 and ingester.set_aside().count() == 0 and ingester.store.read("episodes").count() == 2
+
+
+def test_names_resolve_within_their_pool(spark):
+    """An equal name whose vector is far is another node; vectors are kept."""
+    vec = {"Ana": [1.0, 0.0], "ANA": [0.0, 1.0], "Sam": [0.6, 0.8], "SAM": [0.61, 0.79], "Ana KNOWS Sam": [1.0, 1.0], "ANA KNOWS SAM": [1.0, 1.0]}
+    lookup = spark.createDataFrame(list(vec.items()), "text string, vec array<double>")
+    types = spark.createDataFrame([(1, "Person")], "type_id bigint, type_name string")
+    now = F.lit("2030-01-01").cast("timestamp")
+    none = {n: spark.createDataFrame([], store.SCHEMAS[n]) for n in ("nodes", "edges")}
+    e = spark.createDataFrame([("1", "g", "text", "s", "Ana: hi\nSam: hi\nAna KNOWS Sam", "2024-01-01", 1), ("2", "g", "text", "s", "ANA: hi\nSAM: hi\nANA KNOWS SAM", "2024-02-01", 2)], "episode_id string, group_id string, kind string, source string, content string, valid_at string, seq bigint")
+    vectors = lambda texts: texts.join(lookup, "text")
+    take = lambda x, nodes, edges: ingest.step(x, nodes, edges, providers.rule_entities(x), providers.rule_edges(x), types, now, vectors=vectors)
+    first = take(e.where("seq = 1"), none["nodes"], none["edges"])
+    nodes, edges = first.nodes, first.edges
+    assert {r["name"]: [round(x, 3) for x in r["name_vec"]] for r in nodes.collect()} == {"Ana": [1.0, 0.0], "Sam": [0.6, 0.8]}
+    assert [r["fact_vec"] for r in edges.collect()] == [[1.0, 1.0]]
+    second = take(e.where("seq = 2"), nodes, edges)
+    got = {r["name"]: r["merged_into"] is not None for r in second.nodes.where("expired_at is null or merged_into is not null").collect()}
+    assert got == {"ANA": False, "SAM": True, "Sam": False} and second.edges.count() == 1
+    # a model's replies, by index, about what names left open
+    open_ = spark.createDataFrame([("2", "d1", 0), ("2", "d2", 1)], "batch_id string, draft_id string, pos int")
+    pool = spark.createDataFrame([("2", "n1", 5), ("2", "n2", 7)], "batch_id string, node_id string, pos int")
+    replies = spark.createDataFrame([("2", 0, 1, 1), ("2", 1, 1, 0), ("2", 2, 9, 0), ("2", 3, 0, 5)], "batch_id string, pos int, id bigint, candidate_id bigint")
+    assert rows(resolution.judged_nodes(open_, pool, replies), "draft_id", "node_id") == [("d2", "n2")]
+
+
+def test_cosine_pool_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resolution, "POOL_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((60, 5)).round(1)
+    v[10], v[20], v[30] = v[5], v[5], 0
+    group = ["big"] * 40 + [f"g{k % 6}" for k in range(20)]
+    data = [(f"x{k:02d}", group[k], v[k].tolist() if k != 31 else None) for k in range(60)]
+    a, b = spark.createDataFrame(data, "draft_id string, group_id string, vec array<double>"), spark.createDataFrame(data, "node_id string, group_id string, vec array<double>")
+    unit = v / np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None]
+    want = []
+    for i in range(60):
+        near = sorted((-round(float(unit[i] @ unit[j]), 12), f"x{j:02d}") for j in range(60) if group[i] == group[j] and 31 not in (i, j) and unit[i] @ unit[j] > 0.2)
+        want += [(f"x{i:02d}", n, r + 1) for r, (_, n) in enumerate(near[:4])]
+    assert rows(resolution.cosine_pool(a, b, 0.2, 4), "draft_id", "node_id", "rank") == sorted(want)
 
 
 def test_spec(spark, tmp_path):
