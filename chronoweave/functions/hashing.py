@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -16,23 +17,30 @@ def shingle_hash(seed: int, shingle: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{shingle}".encode(), digest_size=8).digest(), "big")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def minhash_signature(sets: pd.Series) -> pd.Series:
-    """For each permutation the least hash of the set, as 16 hex digits; none for an empty set."""
-    known: dict[str, list[int]] = {}
-
-    def hashes(shingle: str) -> list[int]:
-        if shingle not in known:
-            known[shingle] = [shingle_hash(k, shingle) for k in range(PERMUTATIONS)]
-        return known[shingle]
+#: Distinct shingles that are hashed at once.
+AT_ONCE = 1 << 16
 
-    def one(shingles) -> list[str] | None:
-        if shingles is None:
-            return None
-        rows = [hashes(s) for s in shingles]
-        return [f"{min(column):016x}" for column in zip(*rows, strict=True)]
 
-    return sets.map(one)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def minhash_signature(sets: pd.Series) -> pd.Series:
+    """For each permutation the least hash of the set, as 16 hex digits; none for an empty set. Each distinct shingle of some rows is hashed once."""
+    out: list[list[str] | None] = []
+    at, rows = 0, sets.tolist()
+    while at < len(rows):
+        known: dict[str, int] = {}
+        stop = at
+        while stop < len(rows) and (stop == at or len(known) < AT_ONCE):
+            for s in rows[stop] if rows[stop] is not None else ():
+                known.setdefault(s, len(known))
+            stop += 1
+        hashes = np.array([[shingle_hash(k, s) for k in range(PERMUTATIONS)] for s in known], np.uint64).reshape(-1, PERMUTATIONS)
+        for row in rows[at:stop]:
+            if row is None:
+                out.append(None)
+            else:
+                out.append([f"{x:016x}" for x in hashes[[known[s] for s in row]].min(0).tolist()] if len(row) else [])
+        at = stop
+    return pd.Series(out, index=sets.index, dtype=object)
 
 
 def lsh_bands(signature: Column) -> Column:

@@ -31,13 +31,19 @@ def subgraph_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def history(edges: DataFrame, node_ids: DataFrame) -> DataFrame:
-    """node_id with each incident edge: two equality joins, not one with OR; an edge from a node to itself counts once."""
+    """node_id with each incident edge: two equality joins, not one with OR; an edge from a node to itself counts once. in_order() numbers them."""
     ids = node_ids.select("node_id")
     out = edges.join(ids.withColumn("src", F.col("node_id")), "src").select("node_id", *edges.columns)
     into = edges.where("src <> dst").join(ids.withColumn("dst", F.col("node_id")), "dst").select("node_id", *edges.columns)
     return out.unionByName(into)
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """history() with pos: an edge's place among its node's by created_at, then id."""
+    w = Window.partitionBy("node_id").orderBy(F.col("created_at").asc_nulls_first(), "edge_id")
+    return found.withColumn("pos", F.row_number().over(w).cast("bigint"))
+
+
 def canonical(merges: DataFrame, hops: int = 32) -> DataFrame:
     """node_id, into, hops: where a chain of merges (node_id, merged_into) ends, by pointer doubling."""
     now = merges.where("merged_into is not null").select("node_id", F.col("merged_into").alias("into"), F.lit(1).alias("hops"))

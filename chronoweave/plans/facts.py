@@ -500,3 +500,50 @@ def search_edges(spark, d):
     mentions = e.select("episode_id", F.col("edge_id").alias("target_id"))
     out = search.search_edges(items, SEARCH_TEXT, QUERY_VECTOR, current_at=views.stamp(SEARCH_TIME), mentions=mentions)
     return out.select(F.col("rank").cast("bigint").alias("rank"), "id", "fact", F.round("score", 6).alias("score"), time_text("valid_at").alias("valid_at"), F.array_join("episodes", "|").alias("episodes"))
+
+
+@query(
+    "extraction_gate",
+    with_views(
+        "priority",
+        f""" SELECT edge_id AS draft_id, CASE WHEN o_custkey % 4 <> 0 THEN strftime(o_orderdate, {TIME}) WHEN o_orderstatus <> 'O' AND o_orderkey % 3 <> 0 THEN strftime(o_orderdate + INTERVAL 1 DAY, {TIME}) END AS valid_at,
+  CASE WHEN o_custkey % 4 = 0 AND o_orderstatus <> 'O' AND o_orderkey % 3 <> 0 THEN strftime(o_orderdate + INTERVAL 9 DAY, {TIME}) END AS invalid_at
+FROM priority JOIN orders ON edge_id = 'order:' || o_orderkey""",
+    ),
+)
+def extraction_gate(spark, d):
+    """New facts without times take extracted ones, if there is a reference time; others keep theirs."""
+    none = F.lit(None).cast("timestamp_ntz")
+    date, src = F.col("o_orderdate").cast("timestamp_ntz"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string"))
+    drafts = table(spark, d, "orders").select(
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("draft_id"), src.alias("group_id"), F.col("o_orderkey").alias("seq"), src.alias("src"), F.col("o_orderpriority").alias("dst"),
+        F.concat_ws(" ", src, F.lit("order"), F.col("o_orderkey").cast("string")).alias("fact"), F.when(F.col("o_custkey") % 4 != 0, date).alias("valid_at"), none.alias("invalid_at"), none.alias("expired_at"),
+        F.when(F.col("o_orderstatus") != "O", date).alias("reference_time"), date.alias("date"),
+    )
+    found = drafts.where(F.col("seq") % 3 != 0).select("draft_id", (F.col("date") + F.expr("interval 1 day")).alias("valid_at"), (F.col("date") + F.expr("interval 9 days")).alias("invalid_at"))
+    stored = drafts.select(F.col("draft_id").alias("edge_id"), "group_id", "src", "dst", "fact", "valid_at", "invalid_at", "expired_at").limit(0)
+    nothing = drafts.select("draft_id", F.lit(None).cast("string").alias("edge_id")).limit(0)
+    out, _ = resolution.resolve_edges(drafts.drop("date"), stored, nothing, nothing, found, now())
+    return out.select("draft_id", time_text("valid_at").alias("valid_at"), time_text("invalid_at").alias("invalid_at"))
+
+
+@query(
+    "group_override",
+    with_views(
+        "messages",
+        r""", e AS (SELECT episode_id, unnest(list_distinct(regexp_extract_all(content, '(?:^|\n)([^:\n]+):', 1))) AS name FROM messages)
+SELECT episode_id, 'other' AS group_id, name || ' SPOKE_IN room' AS fact FROM e""",
+    ),
+)
+def group_override(spark, d):
+    """Facts of every speaker, put into another group than the episode's."""
+    from chronoweave.models import providers
+
+    m = views.messages(spark, d)
+    people = extraction.extract_nodes(providers.rule_entities(m), spark.createDataFrame([(1, "Person")], "type_id bigint, type_name string"))
+    edge = F.struct(F.col("name").alias("source_entity_name"), F.lit("room").alias("target_entity_name"), F.lit("SPOKE_IN").alias("relation_type"), F.concat("name", F.lit(" SPOKE_IN room")).alias("fact"))
+    replies = people.groupBy("episode_id").agg(F.to_json(F.struct(F.collect_list(edge).alias("edges"))).alias("reply"))
+    room = people.select("episode_id", F.lit("room").alias("name"), F.lit("room").alias("node_id"), F.lit(99).alias("pos")).distinct()
+    ends = people.select("episode_id", "name", F.col("name").alias("node_id"), "pos").unionByName(room)
+    reference = m.select("episode_id", "group_id", F.col("occurred_at").alias("reference_time"))
+    return extraction.extract_edges(replies, ends, reference, "other").select("episode_id", "group_id", "fact")

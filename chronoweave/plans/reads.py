@@ -192,12 +192,14 @@ def remapped_edges(spark, d):
     "node_history",
     with_views(
         "supply",
-        f""" SELECT node_id, edge_id, strftime(valid_at, {TIME}) AS valid_at FROM (SELECT src AS node_id, * FROM supply UNION ALL SELECT dst, * FROM supply)""",
+        f""" SELECT node_id, edge_id, strftime(valid_at, {TIME}) AS valid_at, row_number() OVER (PARTITION BY node_id ORDER BY supply_at, edge_id) AS pos
+  FROM (SELECT src AS node_id, *, valid_at AS supply_at FROM supply UNION ALL SELECT dst, *, valid_at FROM supply)""",
     ),
 )
 def node_history(spark, d):
-    """Histories of all nodes."""
-    return graph.history(views.supply_edges(spark, d), views.nodes(spark, d)).select("node_id", "edge_id", time_text("valid_at").alias("valid_at"))
+    """Histories of all nodes, in the order in which facts were made."""
+    e = views.supply_edges(spark, d).withColumn("created_at", F.col("valid_at"))
+    return graph.in_order(graph.history(e, views.nodes(spark, d))).select("node_id", "edge_id", time_text("valid_at").alias("valid_at"), "pos")
 
 
 def _traverse_sql(where: str) -> str:

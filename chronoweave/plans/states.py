@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from chronoweave.functions.jsontext import canonical_json
+from chronoweave.functions.jsontext import canonical_json, python_repr, spaced_json
 from chronoweave.functions.timestamps import iso_seconds
 from chronoweave.models import providers
 from chronoweave.operators import conformance, ingest
@@ -93,7 +93,15 @@ def facts_outside(spark, d):
     return conformance.results_outside(results, views.place_edges(spark, d)).select("fact")
 
 
-@query("graph_dump")
+@query(
+    "graph_dump",
+    with_views(
+        "nodes place messages",
+        """ SELECT group_id, 'nodes' AS section, node_id AS id, to_json({id: node_id, name: name})::VARCHAR AS json FROM nodes
+  UNION ALL SELECT group_id, 'edges', edge_id, to_json({id: edge_id, src: src, dst: dst, fact: fact})::VARCHAR FROM place
+  UNION ALL SELECT group_id, 'episodes', episode_id, to_json({id: episode_id, content: content})::VARCHAR FROM messages""",
+    ),
+)
 def graph_dump(spark, d):
     n = views.nodes(spark, d).select("node_id", "group_id", "name")
     e = views.place_edges(spark, d).select("edge_id", "group_id", "src", "dst", "fact")
@@ -101,6 +109,29 @@ def graph_dump(spark, d):
     return store.graph_dump(n, e, p)
 
 
+def _nation_json(spark, d):
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", F.array("n_regionkey", F.lit(1)).alias("at"))).alias("j"))
+
+
+@query("spaced_json", """SELECT n_nationkey, '{"n_nationkey": ' || n_nationkey || ', "n_name": "' || n_name || '", "at": [' || n_regionkey || ', 1]}' AS json FROM nation""")
+def spaced(spark, d):
+    return _nation_json(spark, d).select("n_nationkey", spaced_json("j").alias("json"))
+
+
+@query("python_repr", """SELECT n_nationkey, '{''n_nationkey'': ' || n_nationkey || ', ''n_name'': ''' || n_name || ''', ''at'': [' || n_regionkey || ', 1]}' AS literal FROM nation""")
+def shown(spark, d):
+    return _nation_json(spark, d).select("n_nationkey", python_repr("j").alias("literal"))
+
+
+@query("expiry_agrees", "SELECT o_orderkey, (o_orderstatus = 'F') = (o_custkey % 3 = 0) AS agrees FROM orders")
+def expiry_agrees(spark, d):
+    """Filled orders as expired, those of every third customer as bounded."""
+    o = table(spark, d, "orders")
+    at = lambda when: F.when(when, F.col("o_orderdate"))
+    return o.select("o_orderkey", conformance.expiry_agrees(at(F.col("o_orderstatus") == "F"), at(F.col("o_custkey") % 3 == 0)).alias("agrees"))
+
+
 @query(
     "add_episode_batch",
     """WITH m AS (SELECT DISTINCT o_custkey AS c, left(o_orderpriority, 1) AS p, year(o_orderdate) AS y FROM orders),

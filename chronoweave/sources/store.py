@@ -119,15 +119,23 @@ def tagged_lines(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def graph_dump(nodes: DataFrame, edges: DataFrame, episodes: DataFrame) -> DataFrame:
-    """group_id, json: all of a group as one document, in id order. For groups that one task can hold."""
+    """group_id, section, id, json: each row of a group as a line of JSON; a group's document is its lines by section and id.
+
+    Lines and not one value a group, so that no task has to hold a group.
+    """
     parts = []
     for name, rows, key in (("nodes", nodes, "node_id"), ("edges", edges, "edge_id"), ("episodes", episodes, "episode_id")):
         rest = [c for c in rows.columns if c not in (key, "group_id")]
-        row = F.struct(F.col(key).alias("id"), *rest)
-        parts.append(rows.groupBy("group_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias(name)))
-    joined = reduce(lambda a, b: a.join(b, "group_id", "full"), parts)
-    body = F.concat(*[x for n in ("nodes", "edges", "episodes") for x in (F.lit((", " if n != "nodes" else "{") + f'"{n}": '), F.coalesce(n, F.lit("[]")))], F.lit("}"))
-    return joined.select("group_id", body.alias("json"))
+        line = F.to_json(F.struct(F.col(key).alias("id"), *rest))
+        parts.append(rows.select("group_id", F.lit(name).alias("section"), F.col(key).alias("id"), line.alias("json")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def graph_document(dump: DataFrame, group_id: str) -> str:
+    """The lines of one group that fits the driver as one document {nodes, edges, episodes}, in id order."""
+    lines = dump.where(F.col("group_id") == group_id).orderBy("section", "id").select("section", "json").collect()
+    body = {n: ", ".join(r["json"] for r in lines if r["section"] == n) for n in ("nodes", "edges", "episodes")}
+    return "{" + ", ".join(f'"{n}": [{x}]' for n, x in body.items()) + "}"
 
 
 def formatted_turns(turns: DataFrame, user: str = "User", assistant: str = "Assistant") -> DataFrame:
