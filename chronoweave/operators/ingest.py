@@ -77,8 +77,8 @@ def step(episodes: DataFrame, nodes: DataFrame, edges: DataFrame, entity_replies
     facts = facts.withColumns({"expired_at": none, "reference_time": F.col("occurred_at"), "seq": F.col("pos"), "rel": F.col("name")})
     facts = materialize(facts.withColumn("valid_at", F.coalesce("valid_at", F.when(F.col("invalid_at").isNull(), F.col("occurred_at")))))
     one_at_a_time = facts.where(F.col("rel").isin(list(contradictory))) if contradictory else facts.limit(0)
-    old = edges.select("group_id", F.col("src").alias("_s"), F.col("rel").alias("_rel"), F.col("dst").alias("_d"), F.col("edge_id"))
-    contra = one_at_a_time.join(old, "group_id").where("src = _s and rel = _rel and dst <> _d").select("draft_id", "edge_id")
+    old = edges.select("group_id", "src", "rel", F.col("dst").alias("_d"), "edge_id")
+    contra = one_at_a_time.join(old, ["group_id", "src", "rel"]).where("dst <> _d").select("draft_id", "edge_id")
     same = facts.select("draft_id", F.lit(None).cast("string").alias("edge_id")).limit(0)
     if judged_edges is not None:
         same, against = resolution.judged_edges(facts, edges, judged_edges)

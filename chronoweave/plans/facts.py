@@ -213,8 +213,8 @@ SELECT edge_id, strftime(CASE WHEN invalid_at IS NULL THEN later ELSE invalid_at
 )
 def self_expiry(spark, d):
     e = _bounded(spark, d).withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
-    other = e.select("src", F.col("dst").alias("od"), F.col("valid_at").alias("ov"))
-    cand = e.select("edge_id", "src", "dst").join(other, "src").where("dst <> od").select("edge_id", F.col("ov").alias("valid_at"))
+    # of all later starts of another object the next is enough: two windows by subject, no pairs
+    cand = temporal.superseded(e.drop("invalid_at"), ["src"]).where("invalid_at is not null").select("edge_id", F.col("invalid_at").alias("valid_at"))
     out = temporal.self_expired(e, cand, ["edge_id"], now())
     return out.select("edge_id", time_text("invalid_at").alias("invalid_at"), time_text("expired_at").alias("expired_at"))
 

@@ -9,12 +9,12 @@ from chronoweave.session import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models reject go."""
+    """Documents that the language models reject go: those without a letter, null texts too, and those that fit no language. Repeated rows fare alike."""
     return langid_kn.accepted(docs, langid_kn.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in three documents or more stay in the one with the largest id only."""
+    """Lines found in three documents or more stay in the one with the largest id only. Null texts and rows without an id stay as they are."""
     return line_runs.cleaned(docs)
 
 
@@ -26,12 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts stay; repeated rows fare alike."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its rate (mix_rate) and number of copies (mix_copies)."""
+    """Every document with its rate (mix_rate) and number of copies (mix_copies). Null texts have no tokens and a rate all the same; rows without an id are rated too."""
     model = mixing_soft.fit(docs, table(spark, sf_dir, "labels"))
     rated = mixing_soft.Mix(docs, model).rated(docs, model)
     return rated.withColumn("mix_copies", mixing_soft.copies(F.col("mix_rate")))
