@@ -27,7 +27,7 @@ from chronoweave.session import delete_folder, map_batches, materialize, release
 
 U = np.uint64
 #: Counters in a row for each window expected; bytes of a word, by which windows are expected.
-CELLS_PER_WINDOW, WORD_BYTES = 2, 6
+CELLS_PER_WINDOW, WORD_BYTES = 4, 6
 #: Counters of a shard, at least and at most, and how many shards a row has before they grow.
 LEAST_SHARD, MOST_SHARD, SHARDS = 1 << 20, 1 << 27, 4096
 #: Rows of a block at least; blocks grow so that a block has some 128 windows in each shard.
@@ -145,12 +145,12 @@ def _candidates(sizes: Sizes, n: int):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows or not replies.num_rows:
             return CANDIDATES.empty_table()
-        parts = sorted(zip(replies.column("shard").to_pylist(), replies.column("cells").to_pylist(), strict=True))
         # a block that two tasks sketched has two replies of a shard
-        seen = np.concatenate([unpack_gaps(cells) + shard * sizes.shard for shard, cells in parts])
-        seen = np.sort(seen).astype(U)
+        parts = zip(replies.column("shard").to_pylist(), replies.column("cells").to_pylist(), strict=True)
+        seen = np.concatenate([unpack_gaps(cells) + shard * sizes.shard for shard, cells in parts]).view(U)
+        del replies, parts
+        seen.sort()
         kept = []
-        texts = texts.combine_chunks()
         ids, column = np.asarray(texts.column("doc_id").combine_chunks()), texts.column("text").combine_chunks()
         for i, _, words in wordscan.scan(column, False):
             h, rows, place = words.grams(n)
@@ -161,16 +161,21 @@ def _candidates(sizes: Sizes, n: int):
                 at[at == len(seen)] = 0
                 found = found[seen[at] == cells]
             second = words.grams(n, salt=1)[0][found] if len(found) else h[:0]
-            kept.append((h[found], second >> U(32), ids[rows[found] + i], place[found]))
+            kept.append((h[found], (second >> U(32)).astype(np.uint32), ids[rows[found] + i], place[found].astype(np.uint32)))
+        del seen, texts, column
         h, second, doc, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
         order = np.lexsort((doc, second, h))
-        h, second, doc, place = h[order], second[order], doc[order], place[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (second[1:] != second[:-1])]) if len(h) else np.zeros(0, np.int64)
-        least = np.repeat(doc[first], np.diff(np.r_[first, len(h)]))
-        columns = [h.view(np.int64), (second << U(32) | place.astype(U)).view(np.int64), doc, doc > least]
-        # dealt on in the order of the texts, in which neighbours compress well
-        order = np.lexsort((place, doc))
-        return pa.table([pa.array(c[order], t) for c, t in zip(columns, CANDIDATES.types, strict=True)], schema=CANDIDATES)
+        same = (h[order[1:]] == h[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+        first = np.flatnonzero(np.r_[True, ~same]) if len(h) else np.zeros(0, np.int64)
+        decided = np.empty(len(h), bool)
+        decided[order] = doc[order] > np.repeat(doc[order[first]], np.diff(np.r_[first, len(h)]))
+        del order, same, first
+        tail = second.astype(U) << U(32) | place
+        del second, place
+        # in the order of the texts, in which neighbours compress well; decided rows need no hash
+        h[decided], tail[decided] = 0, tail[decided] & U(0xFFFFFFFF)
+        return pa.table([pa.array(h.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(doc, pa.int64()), pa.array(decided)], schema=CANDIDATES)
 
     return run
 
