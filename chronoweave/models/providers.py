@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronoweave.functions.jsontext import canonical, canonical_json
 from chronoweave.functions.text import speakers
@@ -115,6 +115,82 @@ def embedded(rows: DataFrame, column: str, embed: Callable[[list[str]], list[lis
     return rows.mapInPandas(run, f"{schema}, vec array<float>")
 
 
+# What is tried again, and how often.
+RETRIED = (408, 429)
+RETRIES = 3
+
+
+class Refused(Exception):
+    """What a client raises for a reply of another status than success."""
+
+    def __init__(self, status: int, text: str = ""):
+        super().__init__(f"status {status}: {text}")
+        self.status = status
+
+
+def with_retries(call: Callable[[], dict], pause: Callable[[float], None] = time.sleep) -> dict:
+    """The reply of a call; overload, time-outs and server errors are tried again after 2, 4 and 8 seconds."""
+    for attempt in range(RETRIES + 1):
+        try:
+            return call()
+        except Refused as e:
+            if attempt == RETRIES or not (e.status in RETRIED or e.status >= 500):
+                raise
+        pause(float(2 ** (attempt + 1)))
+    raise AssertionError
+
+
+def ordered_vectors(reply: dict, expected: int, dim: int) -> list[list[float]]:
+    """Vectors of an embeddings reply {data: [{index, embedding}]} in the order of their indices, cut to dim."""
+    data = reply.get("data")
+    if not isinstance(data, list) or len(data) != expected or sorted(x.get("index", -1) for x in data) != list(range(expected)):
+        raise ValueError(f"embeddings reply does not hold one vector for each of {expected} texts")
+    if any(len(x.get("embedding") or ()) < dim for x in data):
+        raise ValueError(f"embeddings reply has vectors of fewer than {dim} components")
+    return [[float(v) for v in x["embedding"][:dim]] for x in sorted(data, key=lambda x: x["index"])]
+
+
+def embedding_client(post: Callable[[dict], dict], model: str, dim: int, pause: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float]]]:
+    """An embed callable for embedded() over a post callable, which sends a body and returns the reply or raises Refused."""
+    return lambda texts: ordered_vectors(with_retries(lambda: post({"model": model, "input": texts}), pause), len(texts), dim)
+
+
+def embedding_request(inputs: Column, model_id: str) -> Column:
+    """The form under which a batch of texts is recorded."""
+    return F.to_json(F.struct(inputs.alias("inputs"), F.lit(model_id).alias("model_id")))
+
+
+def replayed_embeddings(batches: DataFrame, recordings: DataFrame, model_id: str) -> DataFrame:
+    """batches (with inputs, an array of texts) and vecs, one for each text; a batch that was not recorded is an error."""
+    asked = replayed(batches.withColumn("request", embedding_request(F.col("inputs"), model_id)), recordings)
+    return asked.withColumn("vecs", F.from_json("reply", "array<array<float>>")).drop("request", "request_key", "reply")
+
+
+def save_recordings(recordings: DataFrame, path: str) -> None:
+    """Write request, response (JSON) rows as one JSON array a file, the form that read_recordings() takes."""
+    line = F.concat(F.lit('{"request": '), "request", F.lit(', "response": '), "response", F.lit("}"))
+    rows = recordings.select("seq" if "seq" in recordings.columns else F.monotonically_increasing_id().alias("seq"), line.alias("line"))
+    one = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("l"))  # a capture run's exchanges
+    one.select(F.concat(F.lit("["), F.array_join("l", ",\n "), F.lit("]"))).write.mode("overwrite").text(path)
+
+
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """request, response, seq of files that hold a JSON array of {request, response}."""
+    text = spark.read.text(path, wholetext=True)
+    each = text.select(F.posexplode(F.from_json("value", "array<struct<request: string, response: string>>")).alias("seq", "r"))
+    return each.select("r.request", "r.response", F.col("seq").cast("bigint").alias("seq"))
+
+
+def text_provider(kind: str, chat: Callable[[list[dict], int, str], str] | None = None, recordings: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """What answers requests (request_id, request) with request_id, reply: a host's chat callable or a replay. Networked providers are not built in."""
+    if kind == "host" and chat is not None:
+        return lambda requests: prompted(requests, chat)
+    if kind == "replay" and recordings is not None:
+        known = loaded_recordings(recordings)
+        return lambda requests: replayed(requests, known).select("request_id", "reply")
+    raise ValueError(f"provider {kind!r} is unknown, or misses its chat callable or recordings")
+
+
 def missing_names(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     """Sorted distinct names without a stored vector."""
     return drafts.where("name <> ''").select("name").distinct().join(stored.where("name_vec is not null").select("name"), "name", "left_anti").orderBy("name")

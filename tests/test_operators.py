@@ -137,6 +137,44 @@ def test_embedded(spark):
     assert [r["vec"] for r in out] == [[1.0, 2.0], None]
 
 
+def test_recordings_and_dispatch(spark, tmp_path):
+    log = spark.createDataFrame([('{"b": "x\\"y", "a": 2}', '{"r": [1]}', 1), ('{"inputs": ["s", "t"], "model_id": "m"}', "[[1.0, 2.0], [3.0, 4.0]]", 2), ('{"a": 2, "b": "x\\"y"}', '{"r": [2]}', 3)], "request string, response string, seq bigint")
+    providers.save_recordings(log, str(tmp_path / "rec"))
+    back = providers.read_recordings(spark, str(tmp_path / "rec"))
+    assert [(json.loads(r["request"]), json.loads(r["response"]), r["seq"]) for r in back.orderBy("seq").collect()] == [(json.loads(r["request"]), json.loads(r["response"]), r["seq"] - 1) for r in log.orderBy("seq").collect()]
+    asked = spark.createDataFrame([("1", '{"a": 2, "b": "x\\"y"}')], "request_id string, request string")
+    assert rows(providers.text_provider("replay", recordings=back)(asked), "request_id", "reply") == [("1", '{"r":[2]}')]
+    batches = spark.createDataFrame([(["s", "t"],)], "inputs array<string>")
+    assert providers.replayed_embeddings(batches, providers.loaded_recordings(back), "m").first()["vecs"] == [[1.0, 2.0], [3.0, 4.0]]
+    for kind in ("host", "replay", "anything"):
+        with pytest.raises(ValueError, match="provider"):
+            providers.text_provider(kind)
+
+
+def test_embedding_client():
+    replies = [providers.Refused(429), providers.Refused(503), {"data": [{"index": 1, "embedding": [3, 4, 5]}, {"index": 0, "embedding": [1, 2, 9]}]}]
+    waits = []
+
+    def post(body):
+        assert body == {"model": "m", "input": ["a", "b"]}
+        r = replies.pop(0)
+        if isinstance(r, Exception):
+            raise r
+        return r
+
+    assert providers.embedding_client(post, "m", 2, waits.append)(["a", "b"]) == [[1.0, 2.0], [3.0, 4.0]] and waits == [2.0, 4.0]
+    replies[:] = [providers.Refused(400)]
+    with pytest.raises(providers.Refused):
+        providers.embedding_client(post, "m", 2, waits.append)(["a", "b"])
+    replies[:] = [providers.Refused(500)] * 9
+    with pytest.raises(providers.Refused):
+        providers.embedding_client(post, "m", 2, waits.append)(["a", "b"])
+    assert len(replies) == 5
+    for bad in ({}, {"data": []}, {"data": [{"index": 0, "embedding": [1, 2]}, {"index": 0, "embedding": [1, 2]}]}, {"data": [{"index": 0, "embedding": [1]}, {"index": 1, "embedding": [1, 2]}]}):
+        with pytest.raises(ValueError):
+            providers.ordered_vectors(bad, 2, 2)
+
+
 EPISODES = [
     {"episode_id": "1", "group_id": "g", "kind": "text", "source": "s", "content": "Ana: hi\nNorthwind: hi\nAna WORKS_AT Northwind", "valid_at": "2024-01-01", "seq": 1},
     {"episode_id": "2", "group_id": "g", "kind": "text", "source": "s", "content": "ANA: hi\nMeridian: hi\nANA WORKS_AT Meridian", "valid_at": "2024-02-01", "seq": 2},
