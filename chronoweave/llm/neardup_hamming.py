@@ -271,9 +271,9 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
 
     def joined(rows: DataFrame, on: str, bound: str) -> DataFrame:
         """Pairs with an equal `on` among rows (on, rep, all of a rep's in order) whose bounds allow the similarity; each once, at its first."""
-        one = rows.join(held.select("rep", "n_shingles", bound, "c"), "rep")
-        mixed = one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on)
-        # written, so that the join deals both sides anew and can split a frequent value's rows
+        # each written, so that the joins deal both sides anew and can split a frequent value's rows
+        one = materialize(rows.join(held.select("rep", "n_shingles", bound, "c"), "rep"))
+        mixed = materialize(one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on))
         one = materialize(one.join(mixed, on))
         two = one.select(on, *[F.col(x).alias(y) for x, y in (("rep", "b"), ("c", "cb"), ("n_shingles", "nb"), (bound, "other"), ("all", "all_b"))])
         most = F.least(bound, "other")

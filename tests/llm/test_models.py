@@ -53,6 +53,10 @@ def test_broken_streams():
         assert media_ts.demux(bad).error
 
 
+def test_media_of_an_empty_table(make):
+    assert media_ts.read_media(media_ts.text_media(make([(1, "x")]).where("false"))).count() == 0
+
+
 def test_media_columns(make):
     got = {r["doc_id"]: r for r in media_ts.read_media(media_ts.text_media(make(HARD))).collect()}
     for k, t in enumerate(HARD, 1):
