@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoweave.functions.text import CANDIDATE_SUMMARY_CHARS, GENERIC_LABEL, brief_type_description, spaced_time, specific_labels
+from chronoweave.functions.text import CANDIDATE_SUMMARY_CHARS, GENERIC_LABEL, brief_type_description, concatenate_episodes, spaced_time, specific_labels
 
 # Fixed values.
 NO_DESCRIPTION = "Default Entity Type"
@@ -56,12 +56,26 @@ def numbered(rows: Column, first: str, number: str) -> Column:
     return F.transform(F.array_sort(rows), lambda x, i: F.struct(i.alias(number), *[x[f].alias(f) for f in first.split()]))
 
 
-def extraction(episodes: DataFrame, types: DataFrame) -> DataFrame:
-    """episode_id, request, context: kind chooses the request. episodes: episode_id, kind, source, content, valid_at, previous."""
+#: Goes with requests about several episodes at once.
+ATTRIBUTION = " Give with each entity the numbers of the episodes that mention it, counted from 0."
+
+
+def extraction(episodes: DataFrame, types: DataFrame, custom: str = "") -> DataFrame:
+    """episode_id, request, context: kind chooses the request. episodes: episode_id, kind, source, content, valid_at, previous.
+
+    With a column `parts` (array of content, occurred_at), rows of several parts are taken together:
+    their contents are joined, and the instructions ask for each entity's episodes.
+    """
     listed = entity_types(types).agg(F.array_sort(F.collect_list(F.struct("entity_type_id", "entity_type_name", "entity_type_description"))).alias("entity_types"))
+    content, instructions = F.col("content"), F.lit(custom)
+    if "parts" in episodes.columns:
+        several = F.size("parts") > 1
+        joined = concatenate_episodes(F.transform("parts", lambda x: x["content"]), F.transform("parts", lambda x: x["occurred_at"]))
+        content, instructions = F.when(several, joined).otherwise(content), F.when(several, F.lit(custom + ATTRIBUTION)).otherwise(instructions)
     body = F.struct(
-        F.col("content").alias("episode_content"), previous(F.col("previous")).alias("previous_episodes"), "entity_types", F.col("source").alias("source_description"), F.col("valid_at").alias("episode_timestamp")
-    )
+        content.alias("episode_content"), previous(F.col("previous")).alias("previous_episodes"), instructions.alias("custom_extraction_instructions"), "entity_types",
+        F.col("source").alias("source_description"), F.col("valid_at").alias("episode_timestamp"),
+    )
     rows = episodes.join(F.broadcast(listed))  # one row: the caller's list of types
     return rows.select("episode_id", F.concat(F.lit("extract_"), "kind").alias("request"), F.to_json(body).alias("context"))
 
@@ -78,13 +92,29 @@ def edge_extraction(episodes: DataFrame, drafts: DataFrame, fact_types: DataFram
     return rows.select("episode_id", F.lit("edge").alias("request"), F.to_json(body).alias("context"))
 
 
-def node_dedupe(drafts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """episode_id, request, context for drafts (episode_id, pos, name, labels, entity_type_description) and candidates (episode_id, place, name, labels, summary)."""
+def node_dedupe(drafts: DataFrame, candidates: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
+    """episode_id, request, context for drafts (episode_id, pos, name, labels, entity_type_description) and candidates (episode_id, place, name, labels, summary).
+
+    Candidates may have `attributes` (map of strings), which stand beside their other fields.
+    episodes (episode_id, content, previous) add what the drafts come from.
+    """
     new = drafts.groupBy("episode_id").agg(F.collect_list(F.struct("pos", "name", F.col("labels").alias("entity_type"), "entity_type_description")).alias("n"))
     short = F.left("summary", F.lit(CANDIDATE_SUMMARY_CHARS)).alias("summary")
-    old = candidates.groupBy("episode_id").agg(F.collect_list(F.struct("place", "name", F.col("labels").alias("entity_types"), short)).alias("o"))
-    body = F.struct(numbered(F.col("n"), "name entity_type entity_type_description", "id").alias("extracted_nodes"), numbered(F.col("o"), "name entity_types summary", "candidate_id").alias("existing_nodes"))
-    return new.join(old, "episode_id", "left").select("episode_id", F.lit("dedupe_nodes").alias("request"), F.to_json(body).alias("context"))
+    bare = F.to_json(bare_attributes(F.col("attributes"))) if "attributes" in candidates.columns else F.lit(None).cast("string")
+    old = candidates.groupBy("episode_id").agg(F.collect_list(F.struct("place", "name", F.col("labels").alias("entity_types"), short, bare.alias("attributes"))).alias("o"))
+    none = F.array().cast("array<struct<candidate_id: int, name: string, entity_types: array<string>, summary: string, attributes: string>>")
+    known = F.coalesce(numbered(F.col("o"), "name entity_types summary attributes", "candidate_id"), none)
+    # an entry's attributes come first, then its own fields, as one object
+    own = lambda x: F.to_json(F.struct(*[x[f].alias(f) for f in ("candidate_id", "name", "entity_types", "summary")]))
+    entry = lambda x: F.when(F.length(x["attributes"]) > 2, F.concat(F.regexp_replace(x["attributes"], r"\}$", ","), F.substr(own(x), F.lit(2)))).otherwise(own(x))
+    rows = new.join(old, "episode_id", "left")
+    drafted = F.to_json(F.struct(numbered(F.col("n"), "name entity_type entity_type_description", "id").alias("extracted_nodes")))
+    parts = [F.regexp_replace(drafted, r"\}$", ""), F.lit(',"existing_nodes":['), F.array_join(F.transform(known, entry), ","), F.lit("]")]
+    if episodes is not None:
+        rows = rows.join(episodes.select("episode_id", "content", "previous"), "episode_id", "left")
+        from_ = F.struct(F.coalesce("content", F.lit("")).alias("episode_content"), previous(F.col("previous")).alias("previous_episodes"))
+        parts += [F.lit(","), F.regexp_replace(F.substr(F.to_json(from_), F.lit(2)), r"\}$", "")]
+    return rows.select("episode_id", F.lit("dedupe_nodes").alias("request"), F.concat(*parts, F.lit("}")).alias("context"))
 
 
 def edge_dedupe(drafts: DataFrame, listed: DataFrame) -> DataFrame:

@@ -30,6 +30,16 @@ def test_contexts(spark):
     assert [(n["id"], n["name"]) for n in context["extracted_nodes"]] == [(0, "Ana"), (1, "Bo")]
     assert context["existing_nodes"][0]["candidate_id"] == 0 and len(context["existing_nodes"][0]["summary"]) == 120
 
+    assert "episode_content" not in context
+    old = old.withColumn("attributes", F.create_map(F.lit("age"), F.lit('4"2'), F.lit("labels"), F.lit("x")))
+    context = json.loads(contexts.node_dedupe(drafts, old, e).first()["context"])
+    assert context["existing_nodes"][0]["age"] == '4"2' and "labels" not in context["existing_nodes"][0] and context["existing_nodes"][0]["name"] == "Anna"
+    assert context["episode_content"] == "Ana: hi" and context["previous_episodes"] == [{"content": "old", "timestamp": "2023"}]
+    assert json.loads(contexts.node_dedupe(drafts, old.where("false"), e).first()["context"])["existing_nodes"] == []
+    two = e.withColumn("parts", F.array(*[F.struct(F.lit(c).alias("content"), F.lit(t).alias("occurred_at")) for c, t in (("first", "2024"), ("second", None))]))
+    context = json.loads(contexts.extraction(two, types, "Only people.").first()["context"])
+    assert "first" in context["episode_content"] and "second" in context["episode_content"] and context["custom_extraction_instructions"].startswith("Only people.") and len(context["custom_extraction_instructions"]) > 20
+
     nodes = spark.createDataFrame([(0, 1, "Bo", "b", ["Entity"]), (0, 0, "Ana", "a", ["Entity"])], "flight bigint, pos bigint, name string, summary string, labels array<string>")
     context = json.loads(contexts.summary(nodes, types).first()["context"])
     assert [x["name"] for x in context["entities"]] == ["Ana", "Bo"] and context["entity_type_descriptions"] == {"Person": "One person. Two. Three."}
