@@ -32,8 +32,8 @@ VOCABULARY = CLASSES * CLASS_SIZE
 END, UNKNOWN = 0, 1
 #: Steps of a window of backpropagation, rounds over all tokens of all documents.
 WINDOW, ROUNDS = 32, 1
-#: Documents that are trained on side by side.
-BATCH = 256
+#: Documents that are trained on side by side, and the rate at which tasks learn.
+BATCH, RATE = 256, 2e-3
 #: Documents (of at most MOST_CHARS characters, WARM_TOKENS tokens of each) that the driver warms up on, and epochs.
 WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
@@ -488,7 +488,7 @@ def _trained(learned: DataFrame, vocabulary: Vocabulary, w: dict) -> dict:
         adam.rate *= 0.7
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, vocabulary))
-        sums = map_batches(learned.select("text"), _local(shared, 1e-3 / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        sums = map_batches(learned.select("text"), _local(shared, RATE / (k + 1)), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
         with tidy_shuffles(spark):
             rows = sums.collect()
         if rows:
