@@ -27,8 +27,12 @@ from chronoweave.llm import wordscan
 from chronoweave.session import map_batches, materialize, tidy_shuffles
 
 U = np.uint64
-HIDDEN, CLASSES, CLASS_SIZE = 32, 32, 64
-VOCABULARY = CLASSES * CLASS_SIZE
+HIDDEN = 32
+#: Words of each class: the most frequent words are in small ones, so that most tokens need a short softmax.
+SIZES = np.array([16] * 8 + [32] * 8 + [104] * 16)
+CLASSES, VOCABULARY = len(SIZES), int(SIZES.sum())
+STARTS = np.r_[0, np.cumsum(SIZES)]
+CLASS_OF = np.repeat(np.arange(CLASSES), SIZES)
 END, UNKNOWN = 0, 1
 #: Steps of a window of backpropagation, rounds over all tokens of all documents.
 WINDOW, ROUNDS = 32, 1
@@ -47,9 +51,7 @@ f32 = np.float32
 def new_weights(log_unigram: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(f32)
-    groups = log_unigram.reshape(CLASSES, CLASS_SIZE)
-    top = groups.max(1, keepdims=True)
-    by_class = (top + np.log(np.exp(groups - top).sum(1, keepdims=True)))[:, 0]
+    by_class = np.logaddexp.reduceat(log_unigram, STARTS[:-1])
     return {
         "embed": small(VOCABULARY, HIDDEN),
         "input": small(3 * HIDDEN, HIDDEN),
@@ -58,7 +60,7 @@ def new_weights(log_unigram: np.ndarray, seed: int = 11) -> dict[str, np.ndarray
         "class": small(CLASSES, HIDDEN),
         "class_bias": by_class.astype(f32),
         "word": small(VOCABULARY, HIDDEN),
-        "word_bias": (groups - by_class[:, None]).reshape(-1).astype(f32),
+        "word_bias": (log_unigram - by_class[CLASS_OF]).astype(f32),
     }
 
 
@@ -111,14 +113,13 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.nd
 
 
 def _outputs(h: np.ndarray, target: np.ndarray, w: dict) -> Iterator[tuple]:
-    """States sorted by their target's class: first the class's part, then each class's words: place, targets, probabilities, logs, weights, their rows."""
-    group = target // CLASS_SIZE
-    ends = np.searchsorted(group, np.arange(CLASSES + 1))
+    """States sorted by their target: first the class's part, then each class's words: place, targets, probabilities, logs, weights, their rows."""
+    group, ends = CLASS_OF[target], np.searchsorted(target, STARTS)
     yield slice(0, len(target)), group, *_softmax(w["class"], w["class_bias"], h, group), "class", slice(0, CLASSES)
     for c in range(CLASSES):
         a, b = int(ends[c]), int(ends[c + 1])
         if a < b:
-            part, inner = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), target[a:b] - c * CLASS_SIZE
+            part, inner = slice(int(STARTS[c]), int(STARTS[c + 1])), target[a:b] - STARTS[c]
             yield slice(a, b), inner, *_softmax(w["word"][part], w["word_bias"][part], h[:, a:b], inner), "word", part
 
 
@@ -376,14 +377,15 @@ def _sequences(column: pa.Array, vocabulary: Vocabulary, most: int | None, draws
     """Network ids of each row with its end; of `most` tokens at a drawn place, if given."""
     row = 0
     for i, j, words in wordscan.scan(column, True):
-        ids = vocabulary.ids(words.hash)
-        for k in range(j - i):
-            seq = np.append(ids[words.first[k] : words.first[k + 1]], END).astype(np.int16)
-            if most and len(seq) > most:
-                at = int(draws[row]) % (len(seq) - most + 1)
-                seq = seq[at : at + most]
+        # every row's end goes behind its words
+        tokens = np.insert(vocabulary.ids(words.hash).astype(np.int16), words.first[1:], END)
+        edges = (words.first + np.arange(j - i + 1)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if most and b - a > most:
+                a += int(draws[row]) % (b - a - most + 1)
+                b = a + most
             row += 1
-            yield seq
+            yield tokens[a:b]
 
 
 def _long_first(sequences: Iterable[np.ndarray]) -> list[np.ndarray]:

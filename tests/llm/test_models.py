@@ -499,7 +499,7 @@ def plain_gru(w, tokens):
     """Natural log probability of tokens after an end, one number at a time, from the definition."""
     dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
-    n, size = gru_lm.HIDDEN, gru_lm.CLASS_SIZE
+    n = gru_lm.HIDDEN
     h, last, total = [0.0] * n, gru_lm.END, 0.0
     for t in tokens:
         e = w["embed"][last]
@@ -508,10 +508,11 @@ def plain_gru(w, tokens):
         z, r = [sigmoid(gx[k] + gh[k]) for k in range(n)], [sigmoid(gx[n + k] + gh[n + k]) for k in range(n)]
         c = [math.tanh(gx[2 * n + k] + r[k] * gh[2 * n + k]) for k in range(n)]
         h = [(1 - z[k]) * c[k] + z[k] * h[k] for k in range(n)]
-        group = int(t) // size
+        group = max(c for c in range(gru_lm.CLASSES) if gru_lm.STARTS[c] <= t)
+        low, high = int(gru_lm.STARTS[group]), int(gru_lm.STARTS[group + 1])
         classes = [dot(w["class"][k], h) + float(w["class_bias"][k]) for k in range(gru_lm.CLASSES)]
-        words_ = [dot(w["word"][k], h) + float(w["word_bias"][k]) for k in range(group * size, (group + 1) * size)]
-        total += classes[group] - math.log(sum(map(math.exp, classes))) + words_[t - group * size] - math.log(sum(map(math.exp, words_)))
+        words_ = [dot(w["word"][k], h) + float(w["word_bias"][k]) for k in range(low, high)]
+        total += classes[group] - math.log(sum(map(math.exp, classes))) + words_[t - low] - math.log(sum(map(math.exp, words_)))
         last = int(t)
     return total
 
