@@ -121,6 +121,15 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(target, True).close()
 
 
+#: Files that kept() writes for each core at most.
+FILES_PER_CORE = 8
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """materialize() for what comes out of a shuffle: where partitions far outnumber the cores, several go into one task and file, one after the other."""
+    return materialize(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
