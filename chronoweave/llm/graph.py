@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoweave.session import materialize, release
+from chronoweave.session import kept, release
 
 
 #: Up to so many edges a round is one task's work, without a shuffle.
@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a table, and a digest of them."""
-    table = materialize(edges)
+    table = kept(edges)
     row = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return table, tuple(row)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm import wordscan
 from chronoweave.llm.graph import components
-from chronoweave.session import map_batches, materialize, release
+from chronoweave.session import kept, map_batches, materialize, release
 
 U = np.uint64
 SYMBOLS = 72
@@ -207,12 +207,12 @@ class _Links:
         bounds = [f(c).alias(f"{name}_{c}") for c in ("s1", "s2") for name, f in (("lo", F.min), ("hi", F.max))]
         several = signed.where("doc_id is not null").groupBy("doc_id").agg(*bounds).where("lo_s1 < hi_s1 or lo_s2 < hi_s2").select("doc_id")
         rows = signed.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct()
-        rows = materialize(rows.join(self.identity, ["s1", "s2"]).select("doc_id", "rep"))
+        rows = kept(rows.join(self.identity, ["s1", "s2"]).select("doc_id", "rep"))
         if rows.isEmpty():
             return None
-        first = materialize(rows.groupBy("doc_id").agg(F.min("rep").alias("v")))
-        self.links.append(materialize(rows.join(first, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")))
-        self.comps = materialize(components(self.links[0]))
+        first = kept(rows.groupBy("doc_id").agg(F.min("rep").alias("v")))
+        self.links.append(kept(rows.join(first, "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v")))
+        self.comps = kept(components(self.links[0]))
         return first.withColumnRenamed("v", "rep")
 
     def labelled(self, rows: DataFrame, column: str, as_: str) -> DataFrame:
@@ -230,13 +230,13 @@ class _Links:
 
     def confirm(self, pairs: DataFrame, bounded: bool = False) -> None:
         """Test near pairs on the full sets and follow the links. Pairs that bounds on their sets left over need no distance."""
-        pairs = materialize(pairs if bounded else self.near(pairs))
+        pairs = kept(pairs if bounded else self.near(pairs))
         if pairs.isEmpty():
             return
         one = lambda c: self.sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"set_{c}"))
         both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
-        self.links.append(materialize(map_batches(both, _confirmed(self.similarity), "u bigint, v bigint")))
-        self.comps = materialize(components(reduce(DataFrame.unionByName, self.links)))
+        self.links.append(kept(map_batches(both, _confirmed(self.similarity), "u bigint, v bigint")))
+        self.comps = kept(components(reduce(DataFrame.unionByName, self.links)))
         release(pairs)
 
     def degrees(self) -> DataFrame:
@@ -258,23 +258,23 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
     """
     percent = round(links.similarity * 100)
     sets = links.sets.join(among, "rep", "left_semi").select("rep", "hashes")
-    hashes = materialize(map_batches(sets, _spread, "h bigint, rep bigint"))
+    hashes = kept(map_batches(sets, _spread, "h bigint, rep bigint"))
     holders = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where(F.col("k") <= RARE)
-    holders = materialize(holders)
-    few = materialize(hashes.join(holders.where("k > 1").select("h"), "h"))
+    holders = kept(holders)
+    few = kept(hashes.join(holders.where("k > 1").select("h"), "h"))
     count = lambda rows, name: rows.groupBy("rep").agg(F.count(F.lit(1)).alias(name))
     held = links.reps.join(among, "rep", "left_semi").join(count(holders.where("k = 1"), "_alone"), "rep", "left").join(count(few, "_few"), "rep", "left")
     able = F.col("n_shingles") - F.coalesce("_alone", F.lit(0))
     held = held.select("rep", "sig", "n_shingles", able.alias("able"), (able - F.coalesce("_few", F.lit(0))).alias("common"))
-    held = materialize(links.labelled(held.where(100 * F.col("able") >= percent * F.col("n_shingles")), "rep", "c"))
+    held = kept(links.labelled(held.where(100 * F.col("able") >= percent * F.col("n_shingles")), "rep", "c"))
     release(hashes)
 
     def joined(rows: DataFrame, on: str, bound: str) -> DataFrame:
         """Pairs with an equal `on` among rows (on, rep, all of a rep's in order) whose bounds allow the similarity; each once, at its first."""
         # each written, so that the joins deal both sides anew and can split a frequent value's rows
-        one = materialize(rows.join(held.select("rep", "n_shingles", bound, "c"), "rep"))
-        mixed = materialize(one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on))
-        one = materialize(one.join(mixed, on))
+        one = kept(rows.join(held.select("rep", "n_shingles", bound, "c"), "rep"))
+        mixed = kept(one.groupBy(on).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(on))
+        one = kept(one.join(mixed, on))
         two = one.select(on, *[F.col(x).alias(y) for x, y in (("rep", "b"), ("c", "cb"), ("n_shingles", "nb"), (bound, "other"), ("all", "all_b"))])
         most = F.least(bound, "other")
         can = 100 * most >= percent * (F.col("n_shingles") + F.col("nb") - most)
@@ -282,12 +282,12 @@ def _leftover_pairs(links: _Links, among: DataFrame, prefix: int) -> DataFrame:
         return one.join(two, on).where((F.col("rep") > F.col("b")) & (F.col("c") != F.col("cb")) & can & once).select(F.col("rep").alias("a"), "b")
 
     wide = held.where(100 * F.col("common") >= percent * F.col("n_shingles")).select("rep", "sig")
-    symbols = materialize(map_batches(wide, _symbols, "symbol bigint, rep bigint"))
+    symbols = kept(map_batches(wide, _symbols, "symbol bigint, rep bigint"))
     # written, so that the join can split the rows of a frequent symbol
-    counts = materialize(symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = kept(symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     w = Window.partitionBy("rep")
     rank = F.row_number().over(w.orderBy("n", "symbol")) + SYMBOLS - F.count(F.lit(1)).over(w)
-    rare = materialize(symbols.join(counts, "symbol").withColumn("rank", rank).where(F.col("rank") <= prefix).select("symbol", "rep", "n"))
+    rare = kept(symbols.join(counts, "symbol").withColumn("rank", rank).where(F.col("rank") <= prefix).select("symbol", "rep", "n"))
     listed = rare.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "symbol"))), lambda x: x["symbol"]).alias("all"))
     rare = rare.join(listed, "rep").select("symbol", "rep", "all")
     # few holders, so few repeats: a shingle stands for itself
@@ -311,16 +311,16 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
     real = signed.where("n_shingles > 0 and doc_id is not null")
     # a number for each different set
     by_set = real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    reps = materialize(by_set.withColumn("rep", F.monotonically_increasing_id()))
+    reps = kept(by_set.withColumn("rep", F.monotonically_increasing_id()))
     keys = map_batches(reps.select("rep", "sig"), _keys(chunks), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    buckets = materialize(keys.join(shared.select("key"), "key"))
-    places = materialize(buckets.groupBy("rep").agg(F.count(F.lit(1)).alias("places")))
-    wanted = materialize(reps.join(places, "rep", "left_semi").select("rep", "least", "s1", "s2"))
+    buckets = kept(keys.join(shared.select("key"), "key"))
+    places = kept(buckets.groupBy("rep").agg(F.count(F.lit(1)).alias("places")))
+    wanted = kept(reps.join(places, "rep", "left_semi").select("rep", "least", "s1", "s2"))
     # a merge join at every size: what is wanted grows with the input
     texts = base.join(wanted.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     made = map_batches(texts, _sets(size), "least bigint, s1 bigint, s2 bigint, hashes binary")
-    sets = materialize(made.join(wanted, ["least", "s1", "s2"]).select("rep", "hashes").dropDuplicates(["rep"]))
+    sets = kept(made.join(wanted, ["least", "s1", "s2"]).select("rep", "hashes").dropDuplicates(["rep"]))
     links = _Links(reps, sets, similarity, 2 * chunks - 1)
     of_id = links.join_rows_of_one_id(signed)
     for k in range(ROUNDS):
@@ -329,14 +329,14 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
         rank = places.withColumnRenamed("places", "degree") if rank is None else rank
         at = buckets.join(rank, "rep", "left").fillna(0, ["degree"])
         pivots = at.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("p"))
-        pivots = materialize(pivots.select("key", (-F.col("p.minus")).alias("pivot")))
+        pivots = kept(pivots.select("key", (-F.col("p.minus")).alias("pivot")))
         pairs = buckets.join(pivots, "key").where("rep <> pivot")
         pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         links.confirm(links.labelled(links.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
         left = buckets.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
         left = links.labelled(left, "rep", "c")
         mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        before, buckets = buckets, materialize(left.join(mixed, "key").select("key", "rep"))
+        before, buckets = buckets, kept(left.join(mixed, "key").select("key", "rep"))
         release(before)
         release(pivots)
         if buckets.isEmpty():
@@ -345,8 +345,8 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFram
         links.confirm(_leftover_pairs(links, buckets.select("rep").distinct(), 2 * chunks), bounded=True)
     # a component's smallest doc_id, then every row by its set; written, so that joins can split large groups
     labelled = links.labelled(reps.select("rep", "least", "s1", "s2"), "rep", "c")
-    low = materialize(labelled.groupBy("c").agg(F.min("least").alias("component_id")))
-    named = materialize(labelled.join(low, "c").select("rep", "s1", "s2", "component_id"))
+    low = kept(labelled.groupBy("c").agg(F.min("least").alias("component_id")))
+    named = kept(labelled.join(low, "c").select("rep", "s1", "s2", "component_id"))
     found = signed.select("doc_id", "n_shingles", "s1", "s2").join(named.drop("rep"), ["s1", "s2"], "left")
     component = F.coalesce("component_id", "doc_id")
     if of_id is not None:  # empty texts of an id that has others
