@@ -43,8 +43,12 @@ WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
 HOT_WORDS = 131_072
 SMOOTH = 0.1
-#: Steps and tokens that are scored together.
-SCORE_WINDOW, SCORE_TOKENS = 64, 16_384
+#: Documents and tokens that are scored together.
+SCORE_LANES, SCORE_TOKENS = 1024, 16_384
+#: Outputs that are computed together: products of so many are fastest, and a core's cache holds them. Those nearer to 0 than SMALL need no greatest one taken off.
+OUTPUTS, SMALL = 30_000, 80.0
+#: Words that a window has more often are summed one by one, of so many tokens at once; weights that are moved together.
+FEW, SOME = 16, 16_384
 f32 = np.float32
 
 
@@ -67,28 +71,6 @@ def new_weights(log_unigram: np.ndarray, seed: int = 11) -> dict[str, np.ndarray
 # Arrays hold features by tokens, so that gates are whole blocks and sums over features run along tokens.
 
 
-def inputs(w: dict) -> np.ndarray:
-    """What each word of the vocabulary adds to the gates."""
-    return w["input"] @ w["embed"].T + w["bias"][:, None]
-
-
-def _step(gx: np.ndarray, h: np.ndarray, w: dict) -> tuple:
-    gh = w["state"] @ h
-    gates = gx[: 2 * HIDDEN] + gh[: 2 * HIDDEN]
-    gates *= f32(0.5)
-    np.tanh(gates, out=gates)
-    gates *= f32(0.5)
-    gates += f32(0.5)
-    z, r, c = gates[:HIDDEN], gates[HIDDEN:], gh[2 * HIDDEN :]
-    n = r * c
-    n += gx[2 * HIDDEN :]
-    np.tanh(n, out=n)
-    new = h - n
-    new *= z
-    new += n
-    return new, z, r, n, c
-
-
 _rooms: dict[str, np.ndarray] = {}
 
 
@@ -100,94 +82,147 @@ def _room(name: str, *shape: int) -> np.ndarray:
     return _rooms[name][:size].reshape(shape)
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the outputs in each column of states (in room that the next call uses again), and the log probability of its target."""
-    x = np.matmul(weights, h, out=_room("outputs", len(weights), h.shape[1]))
-    x += bias[:, None]
-    x -= x.max(0)
-    logp = x[target, np.arange(len(target))]
-    np.exp(x, out=x)
-    total = x.sum(0)
-    x *= 1 / total
-    return x, logp - np.log(total)
+def _gates(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What each word of the vocabulary adds to the gates and the candidate (a row each), and the states' weights; halved for the gates, as a gate is 0.5 + 0.5 * tanh(half its sum)."""
+    half = np.repeat(np.array([0.5, 1], f32), [2 * HIDDEN, HIDDEN])
+    table = np.matmul(w["embed"], (w["input"] * half[:, None]).T, out=_room("table", VOCABULARY, 3 * HIDDEN))
+    table += w["bias"] * half
+    return table, w["state"] * half[:, None]
+
+
+def _inputs(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The words' rows of the table as columns (in room that the next call uses again); whole rows are read faster than columns."""
+    rows = np.take(table, words, 0, out=_room("rows", len(words), 3 * HIDDEN), mode="clip")
+    gx = _room("gx", 3 * HIDDEN, len(words))
+    gx[:] = rows.T
+    return gx
+
+
+def _step(gx: np.ndarray, h: np.ndarray, state: np.ndarray, sums: np.ndarray, n: np.ndarray, new: np.ndarray) -> None:
+    """One step from states h to `new`; sums gets the gates and the states' part of the candidate, n the candidate."""
+    np.matmul(state, h, out=sums)
+    gates = sums[: 2 * HIDDEN]
+    gates += gx[: 2 * HIDDEN]
+    np.tanh(gates, out=gates)
+    gates *= f32(0.5)
+    gates += f32(0.5)
+    np.multiply(gates[HIDDEN:], sums[2 * HIDDEN :], out=n)
+    n += gx[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=new)
+    new *= gates[:HIDDEN]
+    new += n
 
 
-def _outputs(h: np.ndarray, target: np.ndarray, w: dict) -> Iterator[tuple]:
-    """States sorted by their target: first the class's part, then each class's words: place, targets, probabilities, logs, weights, their rows."""
-    group, ends = CLASS_OF[target], np.searchsorted(target, STARTS)
-    yield slice(0, len(target)), group, *_softmax(w["class"], w["class_bias"], h, group), "class", slice(0, CLASSES)
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of states: exponents of the outputs (a column, in room that the next call uses again), their sum, the flat place of its target in them, and that one's log probability.
+
+    small: no output can be so far from 0 that its exponent would leave the range of numbers.
+    """
+    n = len(target)
+    h = _room("columns", HIDDEN, n)
+    h[:] = rows.T
+    x = np.matmul(weights, h, out=_room("outputs", len(weights), n))
+    x += bias[:, None]
+    if not small:
+        x -= x.max(0)
+    place = target * n + np.arange(n)
+    logp = x.reshape(-1)[place]
+    np.exp(x, out=x)
+    total = np.ones(len(x), x.dtype) @ x
+    return x, total, place, logp - np.log(total)
+
+
+def _outputs(rows: np.ndarray, target: np.ndarray, w: dict) -> Iterator[tuple]:
+    """States (a row each) sorted by their target, some at a time: the class's part, then each class's words: place, what _softmax() returns, weights, their rows."""
+    if not len(target):
+        return
+    reach = max(float(rows.max()), -float(rows.min()))
+    widest = [np.abs(w[name]).sum(1) * reach + np.abs(w[f"{name}_bias"]) for name in ("class", "word")]
+    small, group, ends = widest[0].max() < SMALL, CLASS_OF[target], np.searchsorted(target, STARTS).tolist()
+    for a in range(0, len(target), OUTPUTS // CLASSES):
+        at = slice(a, min(a + OUTPUTS // CLASSES, len(target)))
+        yield at, *_softmax(w["class"], w["class_bias"], rows[at], group[at], small), "class", slice(0, CLASSES)
     for c in range(CLASSES):
-        a, b = int(ends[c]), int(ends[c + 1])
-        if a < b:
-            part, inner = slice(int(STARTS[c]), int(STARTS[c + 1])), target[a:b] - STARTS[c]
-            yield slice(a, b), inner, *_softmax(w["word"][part], w["word_bias"][part], h[:, a:b], inner), "word", part
+        if ends[c] == ends[c + 1]:
+            continue
+        part = slice(int(STARTS[c]), int(STARTS[c + 1]))
+        small, step = widest[1][part].max() < SMALL, OUTPUTS // int(SIZES[c])
+        for a in range(ends[c], ends[c + 1], step):
+            at = slice(a, min(a + step, ends[c + 1]))
+            yield at, *_softmax(w["word"][part], w["word_bias"][part], rows[at], target[at] - STARTS[c], small), "word", part
 
 
 def log_output(h: np.ndarray, target: np.ndarray, w: dict) -> np.ndarray:
     """Natural log probability of the targets given states."""
     order = np.argsort(target.astype(np.int16), kind="stable")
     out = np.zeros(len(target), h.dtype)
-    for at, _, _, logp, _, _ in _outputs(np.take(h, order, 1, mode="clip"), target[order], w):
+    for at, _, _, _, logp, _, _ in _outputs(np.take(h.T, order, 0, mode="clip"), target[order], w):
         out[at] += logp
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
+def _sums_by_word(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and the sums of their rows: frequent words one by one, the others' first rows, second rows and so on together."""
+    by_word = np.argsort(words, kind="stable")
+    ids = words[by_word]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    counts = np.diff(np.r_[first, len(ids)])
+    frequent_first = np.argsort(-counts, kind="stable")
+    ids, first, counts = ids[first][frequent_first], first[frequent_first], counts[frequent_first]
+    many = int((counts > FEW).sum())
+    sums = np.zeros((len(ids), rows.shape[1]), rows.dtype)
+    for k, (a, n) in enumerate(zip(first[:many].tolist(), counts[:many].tolist(), strict=True)):
+        for i in range(a, a + n, SOME // 16):
+            some = by_word[i : min(i + SOME // 16, a + n)]
+            sums[k] += np.ones(len(some), rows.dtype) @ np.take(rows, some, 0, out=_room("by_word", len(some), rows.shape[1]), mode="clip")
+    for n in range(int(counts[many]) if many < len(counts) else 0):
+        stop = int(np.searchsorted(-counts, -n))
+        sums[many:stop] += np.take(rows, by_word[first[many:stop] + n], 0, out=_room("by_word", stop - many, rows.shape[1]), mode="clip")
+    return ids, sums
+
+
 def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w: dict) -> tuple[dict, float, np.ndarray]:
     """Gradients of the mean loss of a window (steps x batch), the summed loss, and the last state."""
     steps, batch = x.shape
     h2 = 2 * HIDDEN
-    table, state = inputs(w), w["state"].copy()
-    table[:h2] *= f32(0.5)  # a gate is 0.5 + 0.5 * tanh(half its sum)
-    state[:h2] *= f32(0.5)
-    hs, zr = _room("states", steps + 1, HIDDEN, batch), _room("gates", steps, h2, batch)
-    ns, cs, gx, gh = _room("candidates", steps, HIDDEN, batch), _room("inner", steps, HIDDEN, batch), _room("gx", 3 * HIDDEN, batch), _room("gh", 3 * HIDDEN, batch)
-    hs[0] = h
+    table, state = _gates(w)
+    hs, sums, ns = _room("states", steps + 1, HIDDEN, batch), _room("sums", steps, 3 * HIDDEN, batch), _room("candidates", steps, HIDDEN, batch)
+    rows = _room("states by tokens", steps + 1, batch, HIDDEN)
+    hs[0], rows[0] = h, h.T
     for t in range(steps):
-        np.take(table, x[t], 1, out=gx, mode="clip")
-        np.matmul(state, hs[t], out=gh)
-        gates, n, new = zr[t], ns[t], hs[t + 1]
-        np.add(gx[:h2], gh[:h2], out=gates)
-        np.tanh(gates, out=gates)
-        gates *= f32(0.5)
-        gates += f32(0.5)
-        cs[t] = gh[h2:]
-        np.multiply(gates[HIDDEN:], cs[t], out=n)
-        n += gx[h2:]
-        np.tanh(n, out=n)
-        np.subtract(hs[t], n, out=new)
-        new *= gates[:HIDDEN]
-        new += n
+        _step(_inputs(table, x[t]), hs[t], state, sums[t], ns[t], hs[t + 1])
+        rows[t + 1] = hs[t + 1].T
     g = {k: np.zeros_like(v) for k, v in w.items()}
     # the outputs, tokens sorted by target
     target = y.reshape(-1).astype(np.int16)
     scale = mask.reshape(-1).astype(f32) / f32(max(1, int(mask.sum())))
     order = np.argsort(target, kind="stable")
-    flat = _room("flat", HIDDEN, steps, batch)
-    flat[:] = hs[1:].transpose(1, 0, 2)
-    so, ss, loss = np.take(flat.reshape(HIDDEN, -1), order, 1, out=_room("sorted", HIDDEN, steps * batch), mode="clip"), scale[order], 0.0
-    dso = _room("dsorted", HIDDEN, steps * batch)
-    counted = mask.reshape(-1)[order]
-    for at, inner, d, logp, name, part in _outputs(so, target[order].astype(np.int64), w):
-        loss -= float(logp[counted[at]].sum(dtype=np.float64))
-        d[inner, np.arange(len(inner))] -= 1
-        d *= ss[at]
-        g[name][part] = d @ so[:, at].T
-        g[f"{name}_bias"][part] = d.sum(1)
+    so = np.take(rows[1:].reshape(-1, HIDDEN), order, 0, out=_room("sorted", steps * batch, HIDDEN), mode="clip")
+    ss, loss, dso = scale[order], 0.0, _room("dsorted", steps * batch, HIDDEN)
+    counted = (ss > 0).astype(f32)
+    for at, d, total, place, logp, name, part in _outputs(so, target[order].astype(np.int64), w):
+        loss -= float(np.vdot(logp, counted[at]))
+        d *= ss[at] / total
+        d.reshape(-1)[place] -= ss[at]
+        g[name][part] += d @ so[at]
+        g[f"{name}_bias"][part] += d @ np.ones(d.shape[1], f32)
         if name == "class":
-            np.matmul(w[name][part].T, d, out=dso)
+            np.matmul(d.T, w[name][part], out=dso[at])
         else:
-            dso[:, at] += np.matmul(w[name][part].T, d, out=_room("part", HIDDEN, d.shape[1]))
+            dso[at] += np.matmul(d.T, w[name][part], out=_room("part", d.shape[1], HIDDEN))
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    np.take(dso, back, 1, out=flat.reshape(HIDDEN, -1), mode="clip")
-    # back through time: dgx to the gates' inputs; dgh, which differs in the candidate, to the states' part
-    dgx, dgh, carry = _room("dgx", 3 * HIDDEN, steps, batch), _room("dgh", 3 * HIDDEN, batch), np.zeros((HIDDEN, batch), f32)
-    rest, state_back, d, dz, dr = _room("rest", HIDDEN, batch), np.ascontiguousarray(w["state"].T), _room("d", HIDDEN, batch), dgh[:HIDDEN], dgh[HIDDEN:h2]
+    dh = np.take(dso, back, 0, out=so, mode="clip").reshape(steps, batch, HIDDEN)
+    # back through time: to the candidate's inputs, the gates and the states' part of the candidate; the first three, by tokens, in the place of a step's sums
+    back, carry = _room("back", 4 * HIDDEN, batch), np.zeros((HIDDEN, batch), f32)
+    rest, d, dz, dr, dc = _room("rest", HIDDEN, batch), *(back[k : k + HIDDEN] for k in range(0, 4 * HIDDEN, HIDDEN))
     for t in range(steps - 1, -1, -1):
-        z, r, n = zr[t, :HIDDEN], zr[t, HIDDEN:], ns[t]
-        np.add(flat[:, t], carry, out=d)
+        z, r, c, n = sums[t, :HIDDEN], sums[t, HIDDEN:h2], sums[t, h2:], ns[t]
+        d[:] = dh[t].T
+        d += carry
         np.multiply(d, z, out=carry)
         d -= carry  # to the candidate, as the state is candidate + z * (last state - candidate)
         np.subtract(hs[t + 1], n, out=dz)
@@ -195,23 +230,19 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray, w:
         np.multiply(n, n, out=rest)
         np.subtract(f32(1), rest, out=rest)
         d *= rest
-        np.multiply(d, r, out=dgh[h2:])
+        np.multiply(d, r, out=dc)
         np.subtract(f32(1), r, out=rest)
-        rest *= cs[t]
-        np.multiply(dgh[h2:], rest, out=dr)
-        dgx[:h2, t], dgx[h2:, t] = dgh[:h2], d
-        g["state"] += dgh @ hs[t].T
-        carry += np.matmul(state_back, dgh, out=rest)
+        rest *= c
+        np.multiply(dc, rest, out=dr)
+        sums[t].reshape(batch, 3 * HIDDEN)[:] = back[: 3 * HIDDEN].T
+        g["state"] += back[HIDDEN:] @ rows[t]
+        carry += np.matmul(w["state"].T, back[HIDDEN:], out=rest)
     # by word: the gates' gradients of its places, then of its embedding
-    words = x.reshape(-1).astype(np.int16)
-    by_word = np.argsort(words, kind="stable")
-    ids = words[by_word]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    sums = np.add.reduceat(np.take(dgx.reshape(3 * HIDDEN, -1), by_word, 1, out=_room("by_word", 3 * HIDDEN, steps * batch), mode="clip"), first, 1)
-    ids = ids[first]
-    g["bias"] = sums.sum(1)
-    g["input"] = sums @ w["embed"][ids]
-    g["embed"][ids] = sums.T @ w["input"]
+    ids, by_word = _sums_by_word(sums.reshape(-1, 3 * HIDDEN), x.reshape(-1).astype(np.int16))
+    by_word = np.roll(by_word, -HIDDEN, 1)  # the candidate last
+    g["bias"] = by_word.sum(0)
+    g["input"] = by_word.T @ w["embed"][ids]
+    g["embed"][ids] = by_word @ w["input"]
     return g, loss, hs[steps].copy()
 
 
@@ -224,14 +255,24 @@ class Adam:
     def step(self, w: dict, g: dict, share: float = 1.0) -> None:
         """`share` is how full the window was, so that the few tokens of a part-filled one move the weights by as little."""
         self.t += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         clip = min(1.0, 1.0 / (norm + 1e-12))
         rate = share * self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        # m and v are ten and a thousand times the means; some at a time, so that a core's cache holds them
         for k in w:
-            x = g[k] * f32(clip)
-            self.m[k] += f32(0.1) * (x - self.m[k])
-            self.v[k] += f32(0.001) * (x * x - self.v[k])
-            w[k] -= f32(rate) * self.m[k] / (np.sqrt(self.v[k]) + f32(1e-8))
+            for a in range(0, w[k].size, SOME):
+                m, v, x, y = (z.reshape(-1)[a : a + SOME] for z in (self.m[k], self.v[k], g[k], w[k]))
+                x = np.multiply(x, f32(clip), out=_room("adam", len(x)))
+                m *= f32(0.9)
+                m += x
+                x *= x
+                v *= f32(0.999)
+                v += x
+                np.sqrt(v, out=x)
+                x += f32(1e-8 / math.sqrt(0.001))
+                np.divide(m, x, out=x)
+                x *= f32(0.1 * rate / math.sqrt(0.001))
+                y -= x
 
 
 def train(w: dict, chunks: Iterable[list[np.ndarray]], adam: Adam) -> tuple[float, int]:
@@ -317,36 +358,45 @@ class Vocabulary:
 
 def log_states(tokens: np.ndarray, first: np.ndarray, w: dict) -> np.ndarray:
     """Natural log probability of each row's tokens (network ids, the end included), rows given by offsets."""
-    table = inputs(w)
+    table, state = _gates(w)
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
-    counts, starts = counts[order], first[:-1][order]
     out = np.zeros(len(counts))
-    h = np.zeros((HIDDEN, len(counts)), f32)
-    last = np.full(len(counts), END)
-    longest = int(counts[0]) if len(counts) else 0
-    # rows with more than t tokens, for each t
-    running = len(counts) - np.cumsum(np.bincount(counts, minlength=longest + 1))[: longest + 1]
-    t = 0
+    # rows of like lengths run side by side
+    for lane in range(0, len(counts), SCORE_LANES):
+        rows = order[lane : lane + SCORE_LANES]
+        out[rows] = _log_lanes(tokens, first[:-1][rows], counts[rows], table, state, w)
+    return out
+
+
+def _log_lanes(tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.ndarray, state: np.ndarray, w: dict) -> np.ndarray:
+    """log_states() of some rows, the longest first."""
+    out, longest, t = np.zeros(len(counts)), int(counts[0]), 0
+    h, last = np.zeros((HIDDEN, len(counts)), f32), np.full(len(counts), END)
+    rows = _room("scored", SCORE_TOKENS + len(counts), HIDDEN)
     while t < longest:
-        # fewer steps at once while many rows run, so that states stay small
-        stop = min(longest, t + max(1, min(SCORE_WINDOW, SCORE_TOKENS // int(running[t]))))
-        states, targets, owners = [], [], []
-        for s in range(t, stop):
-            active = int(running[s])
-            if active < h.shape[1]:
-                h = np.ascontiguousarray(h[:, :active])
-            h = _step(np.take(table, last[:active], 1, mode="clip"), h, w)[0]
-            last = tokens[starts[:active] + s]
-            states.append(h)
-            targets.append(last)
-            owners.append(np.arange(active))
-        logs = log_output(np.concatenate(states, 1), np.concatenate(targets), w)
-        out += np.bincount(np.concatenate(owners), logs, len(counts))
-        t = stop
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+        parts, n = [], 0
+        while t < longest and n < SCORE_TOKENS:
+            # steps until one in sixteen of the rows that go on has ended
+            active = int(np.searchsorted(-counts, -t))
+            steps = min(int(counts[active - 1 - active // 16]) - t, -(-(SCORE_TOKENS - n) // active))
+            place = np.arange(t, t + steps)[:, None]
+            valid = place < counts[:active]
+            y = tokens[np.minimum(starts[:active] + place, starts[:active] + counts[:active] - 1)]
+            x = np.concatenate([last[None, :active], y[:-1]])
+            hs, sums, candidate = _room("states", steps + 1, HIDDEN, active), _room("sums", 3 * HIDDEN, active), _room("candidates", HIDDEN, active)
+            hs[0] = h[:, :active]
+            # few rows take all their inputs at once
+            gx = _inputs(table, x.reshape(-1)).reshape(3 * HIDDEN, steps, active) if active <= FEW else None
+            for k in range(steps):
+                _step(_inputs(table, x[k]) if gx is None else gx[:, k], hs[k], state, sums, candidate, hs[k + 1])
+            rows[n : n + steps * active].reshape(steps, active, HIDDEN)[:] = hs[1:].transpose(0, 2, 1)
+            parts.append((n, y, valid))
+            h, last, n, t = hs[steps].copy(), y[-1], n + steps * active, t + steps
+        logs = log_output(rows[:n].T, np.concatenate([y.reshape(-1) for _, y, _ in parts]), w)
+        for at, y, valid in parts:
+            out[: y.shape[1]] += np.where(valid, logs[at : at + y.size].reshape(y.shape), 0).sum(0, dtype=np.float64)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +462,12 @@ def _local(shared, rate: float):
     return run
 
 
+def _by_row(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """The order by row, of which there are n, then by hash."""
+    order = np.argsort(hashes)
+    return order[np.argsort(rows[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
+
+
 def _scored(shared):
     """Per row: tokens, hot tokens, base score of hot tokens and of the vocabulary's, network's log10, unknown tokens, rare words."""
 
@@ -431,7 +487,7 @@ def _scored(shared):
                 base_in = np.bincount(rows, vocabulary_logs[ids], n) + end_log
                 unknown = np.bincount(rows[ids == UNKNOWN], minlength=n)
                 rare_rows, rare = rows[~hot], words.hash[~hot]
-                order = np.lexsort((rare, rare_rows))
+                order = _by_row(rare_rows, rare, n)
                 rare_rows, rare = rare_rows[order], rare[order]
                 new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rare_rows[1:] != rare_rows[:-1])]) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.r_[new, len(rare)])

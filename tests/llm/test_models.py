@@ -531,6 +531,37 @@ def test_gru_is_a_distribution_and_carries_state():
         assert got == pytest.approx(plain_gru(w, r), rel=1e-4)
 
 
+def test_gru_outputs_far_from_zero():
+    """Where exponents would leave the range of numbers the greatest output is taken off; a block ends within a class."""
+    rng = np.random.default_rng(5)
+    for size in (0.3, 40.0):
+        w = {k: (rng.standard_normal(v.shape) * size).astype(np.float32) for k, v in gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY))).items()}
+        h, y = np.tanh(rng.standard_normal((gru_lm.HIDDEN, 5000))).astype(np.float32), np.where(rng.random(5000) < 0.5, 1, rng.integers(0, gru_lm.VOCABULARY, 5000))
+        log = lambda x: x - x.max(0) - np.log(np.exp(x - x.max(0)).sum(0))
+        d = {k: v.astype(float) for k, v in w.items()}
+        classes, at = log(d["class"] @ h + d["class_bias"][:, None]), np.arange(len(y))
+        want = classes[gru_lm.CLASS_OF[y], at]
+        for c in range(gru_lm.CLASSES):
+            part, mine = slice(gru_lm.STARTS[c], gru_lm.STARTS[c + 1]), np.flatnonzero(gru_lm.CLASS_OF[y] == c)
+            want[mine] += log(d["word"][part] @ h[:, mine] + d["word_bias"][part][:, None])[y[mine] - gru_lm.STARTS[c], np.arange(len(mine))]
+        assert np.allclose(gru_lm.log_output(h, y, w), want, rtol=1e-4, atol=1e-3)
+
+
+def test_gru_window_stays_in_a_cache():
+    """What a window of training reads and writes; it was 16.8 MB, so that the steps waited for memory."""
+    rng, shape = np.random.default_rng(6), (gru_lm.WINDOW, gru_lm.BATCH)
+    w = gru_lm.new_weights(np.log(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY)))
+    x, y = (np.minimum(rng.zipf(1.2, shape), gru_lm.VOCABULARY - 1) for _ in range(2))
+    gru_lm._rooms.clear()
+    g, loss, h = gru_lm.gradients(x, y, np.ones(shape, bool), np.zeros((gru_lm.HIDDEN, gru_lm.BATCH), np.float32), w)
+    assert sum(room.nbytes for room in gru_lm._rooms.values()) < 12e6
+    # gradients by word, of frequent words and others, are those of the tokens one by one
+    parts = [gru_lm.gradients(x[:, k : k + 1], y[:, k : k + 1], np.ones((shape[0], 1), bool), np.zeros((gru_lm.HIDDEN, 1), np.float32), w) for k in range(shape[1])]
+    assert sum(p[1] for p in parts) == pytest.approx(loss, rel=1e-5)
+    for k in w:
+        assert np.allclose(sum(p[0][k] for p in parts) / shape[1], g[k], rtol=1e-3, atol=1e-6), k
+
+
 def test_places():
     rng = np.random.default_rng(2)
     for n in (0, 1, 500, 3000):
