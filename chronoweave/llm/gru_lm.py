@@ -43,8 +43,10 @@ WARM_DOCS, MOST_CHARS, WARM_TOKENS, WARM_EPOCHS = 1500, 20_000, 128, 4
 #: Words that tasks look up without a join.
 HOT_WORDS = 131_072
 SMOOTH = 0.1
+#: Bytes of texts whose words are found together, where nothing is sent on for each piece.
+PIECE = 1 << 17
 #: Documents and tokens that are scored together.
-SCORE_LANES, SCORE_TOKENS = 1024, 16_384
+SCORE_LANES, SCORE_TOKENS = 320, 16_384
 #: Outputs that are computed together: products of so many are fastest, and a core's cache holds them. Those nearer to 0 than SMALL need no greatest one taken off.
 OUTPUTS, SMALL = 30_000, 80.0
 #: Words that a window has more often are summed one by one, of so many tokens at once; weights that are moved together.
@@ -409,7 +411,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kept, held = [], 0
     for batch in batches:
-        for _, _, words in wordscan.scan(batch.column(1), True):
+        for _, _, words in wordscan.scan(batch.column(1), True, PIECE):
             kept.append(np.unique(words.hash, return_counts=True))
             held += len(kept[-1][0])
             if held > 1 << 22:
@@ -426,7 +428,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sequences(column: pa.Array, vocabulary: Vocabulary, most: int | None, draws: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Network ids of each row with its end; of `most` tokens at a drawn place, if given."""
     row = 0
-    for i, j, words in wordscan.scan(column, True):
+    for i, j, words in wordscan.scan(column, True, PIECE):
         # every row's end goes behind its words
         tokens = np.insert(vocabulary.ids(words.hash).astype(np.int16), words.first[1:], END)
         edges = (words.first + np.arange(j - i + 1)).tolist()

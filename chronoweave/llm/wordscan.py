@@ -93,7 +93,7 @@ class Words:
     """start, end: byte positions of each word in data; first: index of each row's first word, and the end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
-        solid = ~BLANK[data]
+        solid = ~np.take(BLANK, data, mode="clip")
         start, end = solid.copy(), solid.copy()
         start[1:] &= ~solid[:-1]
         end[:-1] &= ~solid[1:]
@@ -105,8 +105,8 @@ class Words:
         self.data, self.start, self.end = data, np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
-        values = (FOLDED if fold else TABLE)[data]
-        values *= _power(0, np.arange(len(data)))
+        values = np.take(FOLDED if fold else TABLE, data, mode="clip")
+        values *= _power_tables()[0][: len(data)] if len(data) <= BLOCK else _power(0, np.arange(len(data)))
         if len(self.start):
             raw = np.add.reduceat(values, self.start) * _power(1, self.start)
             self.hash = mix(raw + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
